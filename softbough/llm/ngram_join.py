@@ -7,9 +7,10 @@ with identical prefixes and size form one group; only pairs of groups that pass
 size and position filters are expanded to members, and every member pair is verified on
 the whole sets.
 
-A posting list with few members gives all its pairs. A long list (near copies, boilerplate) gives
+Before that, parity signatures (whose differing bits are at most the elements apart, so nothing is lost) drop most pairs
+without moving sets. A posting list with few members gives all its pairs. A long list (near copies, boilerplate) gives
 a star first: members that the star already connects need no further pairs, and what it leaves
-unconnected is starred around other hubs and, at last, paired across components. So links between
+unconnected is starred around another hub and, at last, paired across components in blocks. So links between
 different texts that matter for the components are all verified, but the pairs inside
 a large group of copies are never emitted.
 
@@ -31,7 +32,9 @@ from ._text import chunks, mix, shingle_sets
 from .components import connected_components
 
 FLUSH = 1_500_000
-_SETS = "doc_id long, n int, s1 long, s2 long, part int, block binary"
+BITS = 1024
+_SETS = "doc_id long, n int, s1 long, s2 long, sig binary, part int, block binary"
+_SET_TYPES = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("block", pa.binary())])
 
 
 def _scan_frequent(k: int):
@@ -77,55 +80,63 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def signature(u: np.ndarray) -> bytes:
+    """Parity of the set's hashes in each of BITS bins. Two signatures differ in at most as many bits as the sets have elements apart."""
+    return np.packbits((np.bincount((u & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def _scan_sets(k, num, den, parts, frequent):
+    def rows(columns: dict):
+        m = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(m, f.type) for f in _SET_TYPES], schema=_SET_TYPES)
+
+    def postings(groups):
+        """One block: the groups' prefixes dealt by token; each part has its groups with their members."""
+        prefixes = [p for p, _, _ in groups]
+        lens = np.array([len(p) for p in prefixes])
+        tok = np.concatenate(prefixes)
+        group = np.repeat(np.arange(len(groups)), lens)
+        pos = np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens)
+        to = ((tok >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(parts + 1))
+        n = np.array([n for _, n, _ in groups], np.int64)
+        count = np.array([len(m) for _, _, m in groups], np.int64)
+        member = np.array([x for _, _, m in groups for x in m.values()], np.int64).reshape(-1, 2)
+        first = np.cumsum(count) - count
+        for p in range(parts):
+            o = order[cut[p] : cut[p + 1]]
+            if len(o):
+                have, local = np.unique(group[o], return_inverse=True)
+                at = np.repeat(first[have] - (np.cumsum(count[have]) - count[have]), count[have]) + np.arange(count[have].sum())
+                yield p, _pack(n[have], count[have], member[at], tok[o], local, pos[o])
+
     def run(batches):
         ftok, fcnt = frequent.value
-        rows: dict = {"doc_id": [], "n": [], "s1": [], "s2": []}
-        post, ids, size, seen = [], [], 0, {}
+        out: dict = {"doc_id": [], "n": [], "s1": [], "s2": [], "sig": []}
+        groups: dict = {}
+        size = 0
 
         def flush():
-            nonlocal post, ids, size, seen, rows
-            m = len(rows["doc_id"])
-            cols = {"doc_id": pa.array(rows["doc_id"], pa.int64()), "n": pa.array(rows["n"], pa.int32()), "s1": pa.array(rows["s1"], pa.int64()), "s2": pa.array(rows["s2"], pa.int64()), "part": pa.nulls(m, pa.int32()), "block": pa.nulls(m, pa.binary())}
-            if m:
-                yield pa.RecordBatch.from_pydict(cols)
-            if post:
-                lens = np.array([len(p) for p in post])
-                tok = np.concatenate(post)
-                member = np.repeat(np.arange(len(post), dtype=np.uint32), lens)
-                pos = np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens)
-                to = ((tok >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(to, kind="stable")
-                cut = np.searchsorted(to[order], np.arange(parts + 1))
-                about = np.array(ids, np.int64).reshape(-1, 4)
-                blobs, where = [], []
-                for p in range(parts):
-                    o = order[cut[p] : cut[p + 1]]
-                    if len(o):
-                        have, local = np.unique(member[o], return_inverse=True)
-                        blobs.append(_pack(about[have], tok[o], local, pos[o]))
-                        where.append(p)
-                m = len(blobs)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int32()), "s1": pa.nulls(m, pa.int64()), "s2": pa.nulls(m, pa.int64()), "part": pa.array(where, pa.int32()), "block": pa.array(blobs, pa.binary())})
-            post, ids, size, seen = [], [], 0, {}
-            rows = {x: [] for x in rows}
+            nonlocal groups, size, out
+            if out["doc_id"]:
+                yield rows(out)
+            if groups:
+                where, blobs = zip(*postings(list(groups.values())))
+                yield rows({"part": where, "block": blobs})
+            groups, size = {}, 0
+            out = {x: [] for x in out}
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
             for a, raw, offs in chunks(batch.column("text")):
                 for d, u in enumerate(shingle_sets(raw, offs, k), a):
                     n, doc = len(u), keys[d]
-                    digest = np.frombuffer(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), np.int64)
-                    s1, s2 = int(digest[0]), int(digest[1])
-                    for x, y in (("doc_id", doc), ("n", n), ("s1", s1), ("s2", s2)):
-                        rows[x].append(y)
+                    s1, s2 = np.frombuffer(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), np.int64).tolist()
+                    for x, y in (("doc_id", doc), ("n", n), ("s1", s1), ("s2", s2), ("sig", signature(u))):
+                        out[x].append(y)
                     if not n:
                         continue
-                    if (s1, s2) in seen:  # equal sets: the smallest doc_id stands for them
-                        i = seen[s1, s2]
-                        ids[i][0] = min(ids[i][0], doc)
-                        continue
-                    seen[s1, s2] = len(post)
                     if len(ftok):
                         at = np.minimum(np.searchsorted(ftok, u), len(ftok) - 1)
                         often = ftok[at] == u
@@ -133,26 +144,32 @@ def _scan_sets(k, num, den, parts, frequent):
                             late = u[often]
                             u = np.concatenate([u[~often], late[np.argsort(fcnt[at[often]], kind="stable")]])
                     prefix = u[: prefix_length(n, num, den)]
-                    group = int(np.frombuffer(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), np.int64)[0])
-                    post.append(prefix)
-                    ids.append([doc, s1, group, n])
-                    size += len(prefix)
-                if size > FLUSH or len(rows["doc_id"]) > 50_000:
+                    key = hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest()
+                    if key not in groups:  # documents with identical prefix and size
+                        groups[key] = (prefix, n, {})
+                        size += len(prefix)
+                    members = groups[key][2]
+                    if s1 not in members or doc < members[s1][0]:  # of equal sets the smallest doc_id
+                        members[s1] = (doc, s1)
+                if size > FLUSH or len(out["doc_id"]) > 50_000:
                     yield from flush()
         yield from flush()
 
     return run
 
 
-def _pack(about, tok, local, pos) -> bytes:
-    return b"".join((np.array([len(about), len(tok)], np.int64).tobytes(), about.tobytes(), tok.tobytes(), local.astype(np.uint32).tobytes(), pos.astype(np.uint32).tobytes()))
+def _pack(n, count, member, tok, local, pos) -> bytes:
+    head = np.array([len(n), len(member), len(tok)], np.int64)
+    return b"".join((head.tobytes(), member[:, 0].tobytes(), member[:, 1].tobytes(), tok.tobytes(), n.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), pos.astype(np.uint32).tobytes()))
 
 
 def _unpack(blob):
-    m, t = np.frombuffer(blob, np.int64, 2)
-    at = 16 + 32 * m
-    about = np.frombuffer(blob, np.int64, 4 * m, 16).reshape(-1, 4)
-    return about, np.frombuffer(blob, np.uint64, t, at), np.frombuffer(blob, np.uint32, t, at + 8 * t), np.frombuffer(blob, np.uint32, t, at + 12 * t)
+    g, m, t = np.frombuffer(blob, np.int64, 3).tolist()
+    out, at = [], 24
+    for kind, length in ((np.int64, m), (np.int64, m), (np.uint64, t), (np.uint32, g), (np.uint32, g), (np.uint32, t), (np.uint32, t)):
+        out.append(np.frombuffer(blob, kind, length, at))
+        at += out[-1].nbytes
+    return out
 
 
 def passes(na, pa_, nb, pb, num, den):
@@ -167,24 +184,27 @@ def _match(num, den, short):
 
     def one(blobs):
         got = [_unpack(b) for b in blobs]
-        base = np.cumsum([0] + [len(g[0]) for g in got])
-        about = np.concatenate([g[0] for g in got])
-        tok = np.concatenate([g[1] for g in got])
-        who = np.concatenate([g[2] + b for g, b in zip(got, base)]).astype(np.int64)
-        pos = np.concatenate([g[3] for g in got])
+        goff = np.cumsum([0] + [len(g[3]) for g in got])
+        doc_of, s1_of, tok, n_of, count = (np.concatenate([g[i] for g in got]) for i in range(5))
+        who = np.concatenate([g[5] + b for g, b in zip(got, goff)]).astype(np.int64)
+        pos = np.concatenate([g[6] for g in got])
         got = None
+        count = count.astype(np.int64)
         order = np.argsort(tok, kind="stable")
         tok, who, pos = tok[order], who[order], pos[order]
         twin = np.zeros(len(tok), bool)
         twin[1:] = tok[1:] == tok[:-1]
         twin[:-1] |= twin[1:]
+        twin |= count[who] > 1
         tok, who, pos = tok[twin], who[twin], pos[twin]
-        # members with equal sets: keep the smallest doc_id
-        doc, s1, group, n = about[who].T
-        order = np.lexsort((doc, s1, n, group, tok))
-        tok, doc, s1, group, n, pos = (x[order] for x in (tok, doc, s1, group, n, pos))
+        # groups in a list are expanded to members; of equal sets the smallest doc_id stays
+        first, times = np.cumsum(count) - count, count[who]
+        member = np.repeat(first[who] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        tok, pos, n, doc, s1 = np.repeat(tok, times), np.repeat(pos, times), np.repeat(n_of[who], times).astype(np.int64), doc_of[member], s1_of[member]
+        order = np.lexsort((doc, s1, n, tok))
+        tok, doc, s1, n, pos = (x[order] for x in (tok, doc, s1, n, pos))
         first = np.ones(len(tok), bool)
-        first[1:] = (tok[1:] != tok[:-1]) | (s1[1:] != s1[:-1]) | (group[1:] != group[:-1])
+        first[1:] = (tok[1:] != tok[:-1]) | (s1[1:] != s1[:-1]) | (n[1:] != n[:-1])
         tok, doc, n, pos = tok[first], doc[first], n[first], pos[first].astype(np.int64)
         begin = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate([begin, [len(tok)]]))
@@ -269,6 +289,75 @@ def _verify(num, den):
     return run
 
 
+def _near(sa, sb, total, num, den):
+    """Whether two signatures leave open that the sets link: den * (S - D) >= num * (S + D) for D, the elements apart, at least their differing bits."""
+    return np.bitwise_count(sa ^ sb).sum(-1, dtype=np.int64) * (den + num) <= total * (den - num)
+
+
+def _open_signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def _prefilter(num, den):
+    def run(batches):
+        for batch in batches:
+            sa, sb = (_open_signatures(batch.column(c)) for c in ("ga", "gb"))
+            total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(_near(sa, sb, total, num, den)))
+
+    return run
+
+
+def _cross(num, den, most=1 << 20):
+    """Pairs across components of the block pairs (token, i, j) of long lists."""
+
+    def pairs(token_rows):
+        doc, n, pos, c, block, sig = token_rows
+        for s in range(0, len(doc), max(1, most // max(1, len(doc)))):
+            rows = np.arange(s, min(len(doc), s + max(1, most // max(1, len(doc)))))
+            i, j = np.nonzero((doc[rows][:, None] < doc[None]) & (c[rows][:, None] != c[None]) & ((block[rows][:, None] != block[None]) | (block.min() == block.max())))
+            i = rows[i]
+            ok = passes(n[i], pos[i], n[j], pos[j], num, den)
+            i, j = i[ok], j[ok]
+            ok = _near(sig[i], sig[j], n[i] + n[j], num, den)
+            yield np.stack([doc[i[ok]], doc[j[ok]]], 1)
+
+    def run(batches):
+        rows = list(batches)
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows)
+        key = np.stack([t[x].to_numpy() for x in ("token", "i", "j")], 1)
+        order = np.lexsort(key.T[::-1])
+        cols = [t[x].to_numpy()[order].astype(np.int64) for x in ("doc", "n", "pos", "c", "block")] + [_open_signatures(t["sig"])[order]]
+        key = key[order]
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        held, size = [], 0
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
+            for p in pairs([x[a:b] for x in cols]):
+                held.append(p)
+                size += len(p)
+                if size > most:
+                    held, size = [np.unique(np.concatenate(held), axis=0)], 0
+        out = np.unique(np.concatenate(held), axis=0)
+        yield pa.RecordBatch.from_pydict({"a": out[:, 0], "b": out[:, 1]})
+
+    return run
+
+
+def cross_pairs(members: DataFrame, num: int, den: int, block: int = 1024) -> DataFrame:
+    """All pairs (a, b) across components within the lists of members (token, doc, n, pos, c, sig) that pass the filters.
+
+    A list is dealt in blocks of about `block` members, and each pair of blocks is a unit of work of its own.
+    """
+    per = members.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    given = members.join(per, "token").withColumn("block", F.expr("cast(pmod(xxhash64(doc), nb) as int)"))
+    given = given.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    given = given.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    dealt = given.select("token", "doc", "n", "pos", "c", "sig", "block", "i", "j").repartition(n_parts(members.sparkSession), "token", "i", "j")
+    return dealt.mapInArrow(_cross(num, den), "a long, b long")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the (a, b) pairs that link. Sets are made again from the texts of the documents in pairs only."""
     spark = docs.sparkSession
@@ -284,7 +373,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
     return out
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, most_frequent: int = 1 << 17, short: int = 12, star_rounds: int = 3) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, most_frequent: int = 1 << 17, short: int = 4, star_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; components of Jaccard similarity >= num / den.
 
     most_frequent bounds the shingles that the order puts last (it changes cost, not results); lists of up
@@ -292,41 +381,44 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    parts = 2 * n_parts(spark)
+    parts = n_parts(spark)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k, most_frequent))
     scan = store(docs.mapInArrow(_scan_sets(k, num, den, parts, frequent), _SETS), "postings")
     frequent.destroy()
-    sets = scan.where("part is null").select("doc_id", "n", "s1", "s2")
+    sets = store(scan.where("part is null").select("doc_id", "n", "s1", "s2", "sig"), "classes")
     found = store(
-        scan.where("part is not null").select("part", "block").repartition(n_parts(spark), "part")
+        scan.where("part is not null").select("part", "block").repartition(parts, "part")
         .mapInArrow(_match(num, den, short), "kind int, a long, b long, token long, n int, pos int"), "pairs",
     )
-    links = verified(docs, found.where("kind = 0").select("a", "b").distinct(), k, num, den)
+    discard(scan)
+    signs = sets.select("doc_id", "n", "sig")
+
+    def signed(pairs):
+        """Distinct pairs that the signatures leave open."""
+        pairs = pairs.distinct().join(signs.toDF("a", "na", "ga"), "a").join(signs.toDF("b", "nb", "gb"), "b")
+        return store(pairs.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(_prefilter(num, den), "a long, b long").distinct(), "candidates")
+
+    links = verified(docs, signed(found.where("kind = 0").select("a", "b")), k, num, den)
     rest = found.where("kind = 1").select("token", F.col("a").alias("doc"), "n", "pos")
-    all_links = links
-    for turn in range(star_rounds + 1):
-        if not rest.take(1):
-            break
-        comp = connected_components(all_links)
-        rest = rest.join(comp.select(F.col("node").alias("doc"), F.col("component").alias("c")), "doc", "left")
-        rest = rest.select("token", "doc", "n", "pos", F.coalesce("c", "doc").alias("c"))
+    for turn in range(star_rounds):
+        comp = connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("c"))
+        rest = rest.join(comp, "doc", "left").withColumn("c", F.coalesce("c", "doc"))
         per = rest.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
         open_ = store(rest.join(per.where("lo < hi").select("token"), "token"), "open")
         if not open_.take(1):
             break
-        if turn < star_rounds:  # a star around the list's member that comes first in this turn's random order
+        if turn < star_rounds - 1:  # a star around the list's member that comes first in this turn's random order
             key = F.struct(F.xxhash64("doc", F.lit(turn)), "doc", "n", "pos", "c")
             hub = open_.groupBy("token").agg(F.min(key).alias("h")).select("token", F.expr("h.doc as hdoc"), F.expr("h.n as hn"), F.expr("h.pos as hpos"), F.expr("h.c as hc"))
             pair = open_.join(hub, "token").where("c <> hc")
+            need = f"ceil({num} * (n + hn) / {num + den}D)"
+            pair = pair.where(f"least(n, hn) * {den} >= greatest(n, hn) * {num} and 1 + least(n - pos - 1, hn - hpos - 1) >= {need}")
+            pair = pair.select(F.least("doc", "hdoc").alias("a"), F.greatest("doc", "hdoc").alias("b"))
         else:
-            other = open_.select("token", F.col("doc").alias("hdoc"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("c").alias("hc"))
-            pair = open_.join(other, "token").where("c < hc")
-        need = f"ceil({num} * (n + hn) / {num + den}D)"
-        pair = pair.where(f"least(n, hn) * {den} >= greatest(n, hn) * {num} and 1 + least(n - pos - 1, hn - hpos - 1) >= {need}")
-        pair = store(pair.select(F.least("doc", "hdoc").alias("a"), F.greatest("doc", "hdoc").alias("b")).distinct(), "more")
-        all_links = all_links.unionByName(verified(docs, pair, k, num, den))
+            pair = cross_pairs(open_.join(signs.select(F.col("doc_id").alias("doc"), "sig"), "doc"), num, den)
+        links = links.unionByName(verified(docs, signed(pair), k, num, den))
         rest = open_.select("token", "doc", "n", "pos")
-    comp = connected_components(all_links)
+    comp = connected_components(links)
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(comp, classes.rep == comp.node, "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     named = sets.where("n > 0").join(classes, ["s1", "s2", "n"]).select("doc_id", "n", "component_id")
