@@ -68,9 +68,18 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _tiles(k: int):
+    def rows_of(best):
+        rows = [(q, -y, z) for q, heap in best.items() for z, y in heap]
+        ids, vecs, scores = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_pydict({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(vecs, pa.int64()), "score": pa.array(scores, pa.float64())})
+
     def run(batches):
+        best: dict = {}  # merged over the task's tiles; given out when it holds many queries
         for batch in batches:
             for r in batch.to_pylist():
+                if len(best) > 50_000:
+                    yield rows_of(best)
+                    best = {}
                 (qi, qc, qs, q), (ci, cc, cs, c) = _open(r, "q"), _open(r, "c")
                 # products of int8 codes add up to less than 2**24 below 1040 components: exact in float32
                 kind = np.float32 if qc.shape[1] <= 1040 else np.float64
@@ -82,7 +91,6 @@ def _tiles(k: int):
                 m = min(k, len(ci))
                 floor = np.partition(lower, len(ci) - m, axis=1)[:, len(ci) - m]
                 a, b = np.nonzero(other & (dots + slack >= floor[:, None]))
-                best: dict = {}
                 for s in range(0, len(a), 1 << 18):
                     i, j = a[s : s + (1 << 18)], b[s : s + (1 << 18)]
                     exact = inner(q[i], c[j])
@@ -90,12 +98,10 @@ def _tiles(k: int):
                     i, j, exact = i[order], j[order], exact[order]
                     begin = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
                     place = np.arange(len(i)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(i)]])))
-                    for x, y, z in zip(i[place < k].tolist(), ci[j[place < k]].tolist(), exact[place < k].tolist()):
+                    for x, y, z in zip(qi[i[place < k]].tolist(), ci[j[place < k]].tolist(), exact[place < k].tolist()):
                         heap = best.setdefault(x, [])
                         (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (z, -y))
-                rows = [(int(qi[x]), -y, z) for x, heap in best.items() for z, y in heap]
-                ids, vecs, scores = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(vecs, pa.int64()), "score": pa.array(scores, pa.float64())})
+        yield rows_of(best)
 
     return run
 
