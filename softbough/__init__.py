@@ -1 +1,6 @@
-"""Soft-membership tree analytics on PySpark."""
+"""Soft-membership tree analytics on PySpark. Worker functions are pickled by value, so executors need no copy of this package."""
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -286,7 +286,7 @@ class FuzzyTreeModel:
 
     # tables ----------------------------------------------------------------------------------------------------------
     def node_table(self, spark: SparkSession) -> DataFrame:
-        rows = [(n.node_id, n.parent, n.level, n.is_leaf, n.feature, [int(b) for b in n.left_bins], n.value_index, n.gain, float(n.impurity), [float(v) for v in n.u], [float(v) for v in n.f], list(n.children), json.dumps({k: None if v is None else sorted(v) for k, v in n.history.items()})) for n in self.nodes.values()]
+        rows = [(n.node_id, n.parent, n.level, n.is_leaf, n.feature, [int(b) for b in n.left_bins], n.value_index, None if n.gain is None else float(n.gain), float(n.impurity), [float(v) for v in n.u], [float(v) for v in n.f], list(n.children), json.dumps({k: None if v is None else sorted(v) for k, v in n.history.items()})) for n in self.nodes.values()]
         return spark.createDataFrame(rows, "node_id long, parent long, level int, is_leaf boolean, feature int, bins array<int>, value_index int, gain double, impurity double, u array<double>, f array<double>, children array<long>, history string")
 
     def fuzzy_set_table(self, spark: SparkSession) -> DataFrame:

@@ -1,3 +1,389 @@
-"""The driver's queries on the library."""
+"""The driver's queries on the library, each with its SQL where SQL can express it."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import impurity as I
+from .functions import indexing
+from .functions.fuzzysets import singleton_partition, triangular_partition
+from .functions.tnorms import tnorm
+from .operators.fuzzify import feature_bins, fuzzify
+from .operators.growth import FuzzyTreeClassifier
+from .operators.model import argmax_class, error_rate, merge_confidences
+from .operators.stats import node_stats, prefix_stats
+from .plans.params import Metadata, TreeParams
+from .sources.readers import reservoir_sample
+
+QUANTITY, DISCOUNT = [1.0, 13.0, 25.0, 38.0, 50.0], [0.0, 0.025, 0.05, 0.075, 0.1]
+SIZE, PRICE = [1.0, 13.0, 26.0, 38.0, 50.0], [900.0, 925.0, 950.0, 975.0, 1000.0]
+LABEL3 = "case when l_quantity < 17 then 0 when l_discount < 0.055e0 then 1 else 2 end"
+FEATURES = ["l_quantity", "l_discount"]
+_ROUND = 6
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _lineitem(spark, d):
+    return _read(spark, d, "lineitem").select(*FEATURES).withColumn("y", F.expr(LABEL3))
+
+
+def _params(split="multi_split", **more):
+    return TreeParams(**({"split": split, "num_classes": 3, "max_bins": 100, "cores": {0: QUANTITY, 1: DISCOUNT}} | more))
+
+
+def _frontier(spark, d):
+    bins = fuzzify(_lineitem(spark, d), FEATURES, "y", Metadata(_params(), 2, 1))
+    return bins.select(F.lit(1).cast("long").alias("node_id"), "label", "bins", F.lit(1.0).alias("ad"))
+
+
+# SQL pieces -----------------------------------------------------------------------------------------------------------
+def _d(x):
+    return f"{x!r}::DOUBLE"
+
+
+def _mu(x, cores, i):
+    """Degree of x in set i of a strong partition."""
+    b = cores[i]
+    up = f"when {x} < {_d(b)} then " + (f"greatest(0::DOUBLE, ({x} - {_d(cores[i - 1])}) / {_d(b - cores[i - 1])})" if i else "1::DOUBLE")
+    down = f"else greatest(0::DOUBLE, 1 - ({x} - {_d(b)}) / {_d(cores[i + 1] - b)})" if i + 1 < len(cores) else "else 1::DOUBLE"
+    return f"case {up} when {x} = {_d(b)} then 1::DOUBLE {down} end"
+
+
+def _fired(table, features, label):
+    """(feature, bin, label, md) rows of fired sets."""
+    parts = [f"select {k} as feature, {i} as bin, {label} as label, {_mu(c, cores, i)} as md from {table}" for k, (c, cores) in enumerate(features) for i in range(len(cores))]
+    return "select * from (" + " union all ".join(parts) + ") where md > 0"
+
+
+_LINE = [("l_quantity", QUANTITY), ("l_discount", DISCOUNT)]
+_STATS = f"select feature, bin, label, sum(md) as u, count(*) as freq from ({_fired('lineitem', _LINE, LABEL3)}) group by all"
+_XLX = lambda x: f"(case when {x} > 0 then {x} * ln({x}) else 0 end)"
+_H = lambda parts, total: f"(case when {total} > 0 then ({_XLX(total)} - ({' + '.join(map(_XLX, parts))})) / ({total} * ln(2)) else 0 end)"
+_WIDE = f"select feature, bin, coalesce(sum(u) filter (label = 0), 0) as m0, coalesce(sum(u) filter (label = 1), 0) as m1, coalesce(sum(u) filter (label = 2), 0) as m2, sum(u) as t from ({_STATS}) group by all"
+_N = lambda x: f"floor(round({x}, 9))"
+
+
+def _wide(stats: DataFrame, *keys: str, classes: int = 3) -> DataFrame:
+    return stats.groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(F.col("label") == k, F.col("u"))), F.lit(0.0)).alias(f"m{k}") for k in range(classes)), F.sum("u").alias("t"))
+
+
+# functions ------------------------------------------------------------------------------------------------------------
+@_query("select 0 as feature, (i - 1)::INTEGER as idx, lag(b) over (order by i) as a, b, lead(b) over (order by i) as c from (values (1, 1e0), (2, 13e0), (3, 25e0), (4, 38e0), (5, 50e0)) t(i, b) "
+        "union all select 1, v - 1, null, v::DOUBLE, null from range(1, 6) r(v)".replace("v - 1", "(v - 1)::INTEGER"))
+def partition_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(0, i, s.a, s.b, s.c) for i, s in enumerate(triangular_partition(QUANTITY))] + [(1, i, None, s.b, None) for i, s in enumerate(singleton_partition([3, 1, 2, 5, 4]))]
+    return spark.createDataFrame(rows, "feature int, idx int, a double, b double, c double")
+
+
+_PART = " union all ".join(f"select p_partkey, {k} as feature, {i} as bin, round({_mu(c + '::DOUBLE', cores, i)}, 6) as md from part where {_mu(c + '::DOUBLE', cores, i)} > 0" for k, (c, cores) in enumerate([("p_size", SIZE), ("p_retailprice", PRICE)]) for i in range(5))
+
+
+@_query(_PART)
+def fuzzify_triangular_part(spark, sf_dir):
+    bins = F.array(*(feature_bins(F.col(c), triangular_partition(cores)) for c, cores in (("p_size", SIZE), ("p_retailprice", PRICE))))
+    out = _read(spark, sf_dir, "part").select("p_partkey", F.posexplode(bins).alias("feature", "fired")).select("p_partkey", "feature", F.inline("fired"))
+    return out.select("p_partkey", "feature", "bin", F.round("md", 6).alias("md"))
+
+
+@_query("select o_orderkey, left(o_orderpriority, 1)::INTEGER - 1 as bin, 1::DOUBLE as md from orders")
+def fuzzify_singleton_orders(spark, sf_dir):
+    code = F.substring("o_orderpriority", 1, 1).cast("int") - 1
+    out = _read(spark, sf_dir, "orders").select("o_orderkey", feature_bins(code, singleton_partition(range(5))).alias("b"))
+    return out.select("o_orderkey", F.inline("b"))
+
+
+@_query(f"select round(min(s), 6) as low, round(max(s), 6) as high, count(*) as n from (select {' + '.join(_mu('l_quantity', QUANTITY, i) for i in range(5))} as s from lineitem)")
+def strong_partition_check(spark, sf_dir):
+    s = sum((x.membership(F.col("l_quantity")) for x in triangular_partition(QUANTITY)), F.lit(0.0))
+    out = _read(spark, sf_dir, "lineitem").select(s.alias("s"))
+    return out.agg(F.round(F.min("s"), 6).alias("low"), F.round(F.max("s"), 6).alias("high"), F.count("*").alias("n"))
+
+
+def _tnorm_query(name, sql):
+    a, b = triangular_partition(QUANTITY)[1], triangular_partition(DISCOUNT)[2]
+
+    def f(spark, sf_dir):
+        t = tnorm(name).column(a.membership(F.col("l_quantity")), b.membership(F.col("l_discount")))
+        return _read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(t), 4).alias("mass"), F.count("*").alias("n"))
+
+    f.__name__ = f"tnorm_{name}"
+    m1, m2 = _mu("l_quantity", QUANTITY, 1), _mu("l_discount", DISCOUNT, 2)
+    _query(f"select l_returnflag, round(sum({sql.format(a=m1, b=m2)}), 4) as mass, count(*) as n from lineitem group by 1")(f)
+
+
+_tnorm_query("product", "({a}) * ({b})")
+_tnorm_query("min", "least(1::DOUBLE, {a}, {b})")
+
+
+# statistics -----------------------------------------------------------------------------------------------------------
+@_query(f"select feature, bin, label, round(u, 4) as u, freq from ({_STATS})")
+def root_stats(spark, sf_dir):
+    s = node_stats(_frontier(spark, sf_dir), tnorm("product"))
+    return s.select("feature", "bin", "label", F.round("u", 4).alias("u"), "freq")
+
+
+@_query(f"select feature, bin, round({_H(['m0', 'm1', 'm2'], 't')}, 6) as entropy, {_N('t')}::BIGINT as weight, (case when {_N('t')} = 0 then 0 when m0 >= m1 and m0 >= m2 then 0 when m1 >= m2 then 1 else 2 end)::INTEGER as majority from ({_WIDE})")
+def bin_entropy(spark, sf_dir):
+    w = _wide(node_stats(_frontier(spark, sf_dir), tnorm("product")), "feature", "bin")
+    m = [F.col(f"m{k}") for k in range(3)]
+    return w.select("feature", "bin", F.round(I.entropy(m), 6).alias("entropy"), I.weight(F.col("t")).cast("long").alias("weight"), I.majority(F.array(*m)).alias("majority"))
+
+
+@_query(f"select label as class, round(u / sum(u) over (), 6) as weight, round(max(u) over () / sum(u) over (), 6) as purity from (select label, sum(u) as u from ({_STATS}) where feature = 0 group by 1)")
+def node_class_weights(spark, sf_dir):
+    w = _wide(node_stats(_frontier(spark, sf_dir), tnorm("product")).where("feature = 0"), "feature")
+    masses = F.array("m0", "m1", "m2")
+    out = w.select(F.posexplode(I.class_weights(masses)).alias("class", "weight"), F.try_divide(F.array_max(masses), F.col("t")).alias("purity"))
+    return out.select("class", F.round("weight", 6).alias("weight"), F.round("purity", 6).alias("purity"))
+
+
+_NODE_H = f"(select {_H(['m0', 'm1', 'm2'], 't')} as h from (select sum(m0) as m0, sum(m1) as m1, sum(m2) as m2, sum(t) as t from ({_WIDE}) where feature = 0))"
+_GAIN = f"select feature, {_NODE_H} - sum({_H(['m0', 'm1', 'm2'], 't')} * {_N('t')}) / sum({_N('t')}) as gain from ({_WIDE}) group by 1"
+
+
+def _multi_gain(spark, sf_dir, frontier=None):
+    w = _wide(node_stats(frontier or _frontier(spark, sf_dir), tnorm("product")), "feature", "bin")
+    h = I.entropy([F.col(f"m{k}") for k in range(3)])
+    per = w.groupBy("feature").agg(F.try_divide(F.sum(h * I.weight(F.col("t"))), F.sum(I.weight(F.col("t")))).alias("after"), *(F.sum(c).alias(c) for c in ("m0", "m1", "m2")))
+    return per.select("feature", (I.entropy([F.col("m0"), F.col("m1"), F.col("m2")]) - F.col("after")).alias("gain"))
+
+
+@_query(f"select feature, round(gain, 6) as gain from ({_GAIN})")
+def multi_gain_root(spark, sf_dir):
+    return _multi_gain(spark, sf_dir).select("feature", F.round("gain", 6).alias("gain"))
+
+
+@_query(f"select feature, round(gain, 6) as gain from ({_GAIN}) where gain >= 1e-6 order by round(gain, 12) desc, feature limit 1")
+def multi_best_feature_root(spark, sf_dir):
+    return _multi_gain(spark, sf_dir).where("gain >= 1e-6D").orderBy(F.round("gain", 12).desc(), "feature").limit(1).select("feature", F.round("gain", 6).alias("gain"))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_best_feature_root(spark, sf_dir)
+
+
+_PREFIX = f"select feature, bin, label, sum(u) over (partition by feature, label order by bin) as l, sum(u) over (partition by feature, label) as t from (select f.feature, b.bin, y.label, coalesce(s.u, 0) as u from range(0, 2) f(feature), range(0, 5) b(bin), range(0, 3) y(label) left join ({_STATS}) s on s.feature = f.feature and s.bin = b.bin and s.label = y.label)"
+
+
+def _dense_prefix(spark, sf_dir):
+    s = node_stats(_frontier(spark, sf_dir), tnorm("product"))
+    grid = spark.createDataFrame([(1, f, b, y) for f in range(2) for b in range(5) for y in range(3)], "node_id long, feature int, bin int, label int")
+    dense = grid.join(s, ["node_id", "feature", "bin", "label"], "left").fillna(0.0, ["u"])
+    return prefix_stats(dense)
+
+
+@_query(f"select feature::INTEGER as feature, bin::INTEGER as bin, label::INTEGER as label, round(l, 4) as \"left\", round(t - l, 4) + 0 as \"right\" from ({_PREFIX})")
+def binary_prefix_stats(spark, sf_dir):
+    return _dense_prefix(spark, sf_dir).select("feature", "bin", "label", F.round("left", 4).alias("left"), (F.round("right", 4) + 0).alias("right"))
+
+
+_SIDES = f"select feature, bin, {', '.join(f'sum(l) filter (label = {k}) as l{k}, sum(t - l) filter (label = {k}) as r{k}' for k in range(3))}, sum(l) as lt, sum(t - l) as rt from ({_PREFIX}) where bin < 4 group by 1, 2"
+_BGAIN = f"select feature, bin, {_NODE_H} - ({_H(['l0', 'l1', 'l2'], 'lt')} * {_N('lt')} + {_H(['r0', 'r1', 'r2'], 'rt')} * {_N('rt')}) / ({_N('lt')} + {_N('rt')}) as gain from ({_SIDES})"
+
+
+@_query(f"select feature::INTEGER as feature, bin::INTEGER as bin, round(gain, 6) as gain from (select *, row_number() over (partition by feature order by round(gain, 12) desc, bin) as k from ({_BGAIN})) where k = 1")
+def binary_continuous_split(spark, sf_dir):
+    p = _dense_prefix(spark, sf_dir)
+    side = lambda c, n: [F.sum(F.when(F.col("label") == k, F.col(c))).alias(f"{n}{k}") for k in range(3)]
+    w = p.groupBy("feature", "bin").agg(*side("left", "l"), *side("right", "r"), F.sum("left").alias("lt"), F.sum("right").alias("rt"))
+    h = lambda n: I.entropy([F.col(f"{n}{k}") for k in range(3)])
+    total = I.entropy([F.col(f"l{k}") + F.col(f"r{k}") for k in range(3)])
+    wl, wr = I.weight(F.col("lt")), I.weight(F.col("rt"))
+    g = w.where("bin < 4").select("feature", "bin", (total - F.try_divide(h("l") * wl + h("r") * wr, wl + wr)).alias("gain"))
+    best = g.groupBy("feature").agg(F.max_by(F.struct("bin", "gain"), F.struct(F.round("gain", 12), -F.col("bin"))).alias("b"))
+    return best.select("feature", F.col("b.bin").alias("bin"), F.round("b.gain", 6).alias("gain"))
+
+
+# categorical splits ---------------------------------------------------------------------------------------------------
+_CAT = "select left(o_orderpriority, 1)::INTEGER - 1 as bin, case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as label from orders"
+_CATW = f"select bin, {', '.join(f'(count(*) filter (label = {k}))::DOUBLE as m{k}' for k in range(3))}, count(*)::DOUBLE as t from ({_CAT}) group by 1"
+
+
+def _orders_masses(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    rows = _read(spark, d, "orders").select((F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("bin"), status.alias("label"), F.lit(1.0).alias("u"))
+    return _wide(rows.groupBy("bin", "label").agg(F.sum("u").alias("u")), "bin")
+
+
+@_query(f"select bin, round({_H(['m0', 'm1', 'm2'], 't')}, 6) as centroid, (row_number() over (order by round({_H(['m0', 'm1', 'm2'], 't')}, 12), bin))::INTEGER as place, sum(t) over (order by round({_H(['m0', 'm1', 'm2'], 't')}, 12), bin) as mass_left from ({_CATW})")
+def ordered_categorical_split_mc(spark, sf_dir):
+    from pyspark.sql import Window
+
+    h = I.entropy([F.col(f"m{k}") for k in range(3)])
+    w = Window.orderBy(F.round("h", 12), "bin")  # one row for each category
+    return _orders_masses(spark, sf_dir).withColumn("h", h).select("bin", F.round("h", 6).alias("centroid"), F.row_number().over(w).alias("place"), F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("mass_left"))
+
+
+@_query("select code::BIGINT as code, [j for j in [4, 3, 2, 1, 0] if (code >> j) & 1 = 1]::INTEGER[]::VARCHAR as bins from range(1, 16) r(code)")
+def unordered_subsets(spark, sf_dir):
+    codes = spark.range(1, 1 << 4).withColumnRenamed("id", "code")
+    listed = F.concat(F.lit("["), F.array_join(indexing.subset_positions_column(F.col("code"), 5).cast("array<string>"), ", "), F.lit("]"))
+    return codes.select("code", listed.alias("bins"))
+
+
+_SUB = f"select code, {', '.join(f'coalesce(sum(m{k}) filter ((code >> bin) & 1 = 1), 0) as l{k}, coalesce(sum(m{k}) filter ((code >> bin) & 1 = 0), 0) as r{k}' for k in range(3))} from range(1, 16) s(code), ({_CATW}) group by 1"
+_SUBT = f"select *, l0 + l1 + l2 as lt, r0 + r1 + r2 as rt, l0 + r0 as a0, l1 + r1 as a1, l2 + r2 as a2 from ({_SUB})"
+
+
+@_query(f"select code::BIGINT as code, round({_H(['a0', 'a1', 'a2'], '(lt + rt)')} - ({_H(['l0', 'l1', 'l2'], 'lt')} * lt + {_H(['r0', 'r1', 'r2'], 'rt')} * rt) / (lt + rt), 6) as gain from ({_SUBT})")
+def unordered_categorical_split(spark, sf_dir):
+    """Every subset of the five priorities as the left side; masses by category are summed once and then combined."""
+    codes = F.sequence(F.lit(1).cast("long"), F.lit((1 << 4) - 1).cast("long"))  # 2 ** (arity - 1) - 1, bounded by max_bins
+    m = _orders_masses(spark, sf_dir).withColumn("code", F.explode(codes))
+    inside = F.getbit("code", F.col("bin")) == 1
+    w = m.groupBy("code").agg(*(F.sum(F.when(inside, F.col(f"m{k}")).otherwise(0.0)).alias(f"l{k}") for k in range(3)), *(F.sum(F.when(~inside, F.col(f"m{k}")).otherwise(0.0)).alias(f"r{k}") for k in range(3)))
+    l, r = [F.col(f"l{k}") for k in range(3)], [F.col(f"r{k}") for k in range(3)]
+    lt, rt = I.weight(l[0] + l[1] + l[2]), I.weight(r[0] + r[1] + r[2])
+    gain = I.entropy([a + b for a, b in zip(l, r)]) - F.try_divide(I.entropy(l) * lt + I.entropy(r) * rt, lt + rt)
+    return w.select("code", F.round(gain, 6).alias("gain"))
+
+
+@_query("select * from (values (3, 100, true, 3), (10, 100, false, 9), (5, 32, true, 15), (6, 32, false, 5)) t(arity, max_bins, unordered, splits)")
+def feature_order_decision(spark, sf_dir):
+    rows = []
+    for arity, bins in ((3, 100), (10, 100), (5, 32), (6, 32)):
+        meta = Metadata(TreeParams(num_classes=3, max_bins=bins, categories={0: arity}), 1, 10_000)
+        rows.append((arity, bins, 0 in meta.unordered, meta.num_splits(0)))
+    return spark.createDataFrame(rows, "arity int, max_bins int, unordered boolean, splits int")
+
+
+@_query("select i::BIGINT as id, (2 * i)::BIGINT as left_id, (2 * i + 1)::BIGINT as right_id, (i >> 1)::BIGINT as parent_id, floor(log2(i))::INTEGER as level, (i > 1 and i % 2 = 0) as is_left from range(1, 128) r(i)")
+def heap_index_math(spark, sf_dir):
+    i = F.col("id")
+    return spark.range(1, 128).select("id", F.shiftleft(i, 1).alias("left_id"), (F.shiftleft(i, 1) + 1).alias("right_id"), F.shiftright(i, 1).alias("parent_id"), indexing.level_column(i).alias("level"), ((i > 1) & (i % 2 == 0)).alias("is_left"))
+
+
+# routing, scoring -----------------------------------------------------------------------------------------------------
+@_query(f"select bin as child, label, round(sum(md), 4) as ad, count(*) as n from ({_fired('lineitem', _LINE[:1], LABEL3)}) group by 1, 2")
+def route_multi_level1(spark, sf_dir):
+    from .operators.growth import _route_multi
+
+    splits = spark.createDataFrame([(1, 0, 0)], "node_id long, feature int, first_child long")
+    out = _route_multi(_frontier(spark, sf_dir).withColumn("hist", F.create_map().cast("map<int,int>")), splits, tnorm("product"))
+    return out.groupBy(F.col("node_id").cast("int").alias("child"), "label").agg(F.round(F.sum("ad"), 4).alias("ad"), F.count("*").alias("n"))
+
+
+_LEFT_MU = f"({_mu('l_quantity', QUANTITY, 0)}) + ({_mu('l_quantity', QUANTITY, 1)})"
+
+
+@_query(f"select side::INTEGER as child, label, round(sum(ad), 4) as ad, count(*) as n from (select 2 as side, {LABEL3} as label, {_LEFT_MU} as ad from lineitem where l_quantity < 25 union all select 3, {LABEL3}, 1 - ({_LEFT_MU}) from lineitem where l_quantity > 13) group by 1, 2")
+def route_binary_level1(spark, sf_dir):
+    from .operators.growth import _route_binary
+
+    splits = spark.createDataFrame([(1, 0, [0, 1], 2, 3)], "node_id long, feature int, left_bins array<int>, left_id long, right_id long")
+    out = _route_binary(_frontier(spark, sf_dir).withColumn("hist", F.create_map().cast("map<int,int>")), splits, tnorm("product"))
+    return out.groupBy(F.col("node_id").cast("int").alias("child"), "label").agg(F.round(F.sum("ad"), 4).alias("ad"), F.count("*").alias("n"))
+
+
+_WEIGHTS = [(0.9, 0.1), (0.7, 0.3), (0.5, 0.5), (0.25, 0.75), (0.1, 0.9)]
+
+
+def _fixed_scores(spark, d):
+    """A one-level multi-way tree on p_size with given leaf weights; the label is 1 for sizes over 25."""
+    sets = triangular_partition(SIZE)
+    mu = [s.membership(F.col("p_size").cast("double")) for s in sets]
+    conf = F.array(*(sum((m * F.lit(w[k]) for m, w in zip(mu[1:], _WEIGHTS[1:])), mu[0] * F.lit(_WEIGHTS[0][k])) for k in range(2)))
+    return _read(spark, d, "part").select("p_partkey", (F.col("p_size") > 25).cast("int").alias("label"), conf.alias("conf"))
+
+
+_SCORES = "select p_partkey, (p_size > 25)::INTEGER as label, " + ", ".join(" + ".join(f"({_mu('p_size::DOUBLE', SIZE, i)}) * {_d(w[k])}" for i, w in enumerate(_WEIGHTS)) + f" as c{k}" for k in range(2)) + " from part"
+
+
+@_query(f"select p_partkey, round(c0, 6) as c0, round(c1, 6) as c1 from ({_SCORES})")
+def score_multi_fixed(spark, sf_dir):
+    return _fixed_scores(spark, sf_dir).select("p_partkey", F.round(F.col("conf")[0], 6).alias("c0"), F.round(F.col("conf")[1], 6).alias("c1"))
+
+
+def _predicted(spark, d):
+    rounded = F.transform("conf", lambda c: F.round(c, 9))
+    return _fixed_scores(spark, d).withColumn("prediction", argmax_class(rounded))
+
+
+_PRED = f"select *, (round(c1, 9) >= round(c0, 9))::INTEGER as prediction from ({_SCORES})"
+
+
+@_query(f"select p_partkey, prediction from ({_PRED})")
+def predict_class(spark, sf_dir):
+    return _predicted(spark, sf_dir).select("p_partkey", "prediction")
+
+
+@_query(f"select label, prediction, count(*) as n from ({_PRED}) group by 1, 2")
+def confusion_matrix(spark, sf_dir):
+    return _predicted(spark, sf_dir).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
+@_query(f"select round(avg((label <> prediction)::INTEGER::DOUBLE), 9) as error_rate, round(1 - avg((label <> prediction)::INTEGER::DOUBLE), 9) as accuracy, count(*) as n from ({_PRED})")
+def test_error(spark, sf_dir):
+    e = error_rate(_predicted(spark, sf_dir), "label", "prediction")
+    return e.select(F.round("error_rate", 9).alias("error_rate"), F.round("accuracy", 9).alias("accuracy"), "n")
+
+
+test_error.__test__ = False
+
+
+@_query(f"select p_partkey, round(c0, 6) as k0, round(c1 + 0.5, 6) as k1, 0.25::DOUBLE as k2 from ({_SCORES})")
+def confidence_map_merge(spark, sf_dir):
+    a = F.create_map(F.lit(0), F.col("conf")[0], F.lit(1), F.col("conf")[1])
+    m = merge_confidences(a, F.create_map(F.lit(1), F.lit(0.5), F.lit(2), F.lit(0.25)))
+    return _fixed_scores(spark, sf_dir).select("p_partkey", m.alias("m")).select("p_partkey", *(F.round(F.col("m")[k], 6).alias(f"k{k}") for k in range(3)))
+
+
+# training -------------------------------------------------------------------------------------------------------------
+def _train(spark, d, split, depth):
+    return FuzzyTreeClassifier(_params(split, max_depth=depth)).fit(_lineitem(spark, d), FEATURES, "y")
+
+
+def _nodes(model, spark):
+    t = model.node_table(spark)
+    return t.select("node_id", "level", "is_leaf", "feature", F.array_join(F.array_sort("bins").cast("array<string>"), ",").alias("bins"), F.round("gain", 6).alias("gain"), F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 3).alias("mass"))
+
+
+@_query()
+def train_multi(spark, sf_dir):
+    return _nodes(_train(spark, sf_dir, "multi_split", 2), spark)
+
+
+@_query()
+def train_binary(spark, sf_dir):
+    return _nodes(_train(spark, sf_dir, "binary_split", 4), spark)
+
+
+@_query()
+def trained_error(spark, sf_dir):
+    """Error of a binary tree on its training rows."""
+    scored = _train(spark, sf_dir, "binary_split", 4).predict_class(_lineitem(spark, sf_dir))
+    return error_rate(scored, "y", "prediction")
+
+
+@_query()
+def model_metrics(spark, sf_dir):
+    rows = []
+    for split, depth in (("binary_split", 3), ("multi_split", 2)):
+        m = _train(spark, sf_dir, split, depth)
+        rows.append((split, m.num_nodes, m.num_leaves, m.depth, m.min_depth, float(m.average_depth), m.max_id()))
+    return spark.createDataFrame(rows, "split string, nodes int, leaves int, depth int, min_depth int, average_depth double, max_id int")
+
+
+@_query("with recursive nodes(id, parent) as (select * from (values (1, null), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3)) t(id, parent)), walk(id, depth) as (select 1, 0 union all select n.id, w.depth + 1 from nodes n join walk w on n.parent = w.id) select id, depth from walk")
+def tree_walk(spark, sf_dir):
+    return spark.sql("with recursive nodes(id, parent) as (select * from values (1, null), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3) as t(id, parent)), walk(id, depth) as (select 1, 0 union all select n.id, w.depth + 1 from nodes n join walk w on n.parent = w.id) select id, depth from walk")
+
+
+@_query()
+def sample_reservoir(spark, sf_dir):
+    return reservoir_sample(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), 100)
