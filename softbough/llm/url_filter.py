@@ -11,7 +11,7 @@ Prior strengths are found by moments from all counts of a level (bounded below a
 aggregated with map-side combine, so a host with a third of all pages is no hot key there; each
 host's verdict is joined back to the pages by host.
 
-Edge cases: a null url or one without :// has an empty host and path; such pages are one host, "", with domain and suffix "".
+Edge cases: a null url or one without :// has an empty host and path; such pages have no reputation and are allowed.
 Outcomes of pages that do not exist, null outcomes and repeated ones (the largest counts) are allowed; without any
 outcome nothing is blocked but by rules. An empty table gives no rows.
 """
@@ -94,5 +94,5 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: f
     known = reputation(parsed, outcomes, z).select("host", "rate", "low")
     rule, says = rule_of(rules)
     judged = parsed.join(known, "host", "left")
-    method = F.when(F.col("low") > threshold, "block").otherwise("allow")
+    method = F.when((F.col("host") != "") & (F.col("low") > threshold), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, method).alias("verdict"), "rate", "low")
