@@ -108,7 +108,7 @@ class FuzzyTreeClassifier:
                     kid.u, kid.f, kid.impurity = np.asarray(best.masses[i]), np.asarray(best.counts[i]), best.impurities[i]
                     freq = float(kid.f.sum())
                     few = freq < p.min_instances if p.binary else freq <= p.min_instances
-                    kid.is_leaf = kid.level == p.max_depth or kid.impurity <= 0 or float(kid.u.sum()) <= p.min_fuzzy_instances or few
+                    kid.is_leaf = bool(kid.level == p.max_depth or kid.impurity <= 0 or float(kid.u.sum()) <= p.min_fuzzy_instances or few)
                     node.children.append(own)
                     nodes[own] = kid
                     if not kid.is_leaf:
