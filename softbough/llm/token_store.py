@@ -11,7 +11,8 @@ offsets (uint64 array, one more than documents, into body) and body (zstandard f
 table of one row (dict_hash, dictionary, width). A reader refuses a segment whose dict_hash is not its dictionary's.
 
 Encoding works on units of a text, cut before each single space that stands between two characters that are not white space: the
-tokenizer's own word splitting cuts there too, so the ids are those of the whole text. Equal units of a batch are encoded once. Texts where a space touches other
+tokenizer's own word splitting cuts there too, so the ids are those of the whole text. A comma or full stop after a letter is cut off likewise. Equal units of a slice
+are encoded once. Texts where a space touches other
 white space are encoded whole.
 
 Edge cases: a null or empty text has the end id alone; repeated doc_id rows are all stored; rows with a null doc_id come first;
@@ -52,50 +53,107 @@ def _tokenizer(path: str):
     return _made[path]
 
 
-def encode_column(texts: pa.Array, path: str, cache_units: int = 400_000):
+def _widths(path: str) -> np.ndarray:
+    """Bytes that each id stands for: a byte-level token has a character for each."""
+    if ("widths", path) not in _made:
+        vocab = _tokenizer(path).get_vocab()
+        out = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            out[i] = len(token)
+        _made["widths", path] = out
+    return _made["widths", path]
+
+
+def _one_by_one(units: list[str], path: str) -> list[np.ndarray]:
+    return [np.array(e.ids, np.uint32) for e in _tokenizer(path).encode_batch_fast(units, add_special_tokens=False)]
+
+
+def _joined(units: pa.Array, path: str, block: int = 40_000):
+    """(pool, offsets): ids of units that begin with a space and don't end in white space, joined to long strings for the library and parted by their bytes."""
+    pools = [np.zeros(0, np.uint32)]
+    for a in range(0, len(units), block):
+        text = "".join(units.slice(a, block).to_pylist())
+        pools.append(np.array(_tokenizer(path).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+    pool = np.concatenate(pools)
+    ends = np.concatenate([[0], np.cumsum(_widths(path)[pool])])
+    wanted = np.concatenate([[0], np.cumsum(pc.binary_length(units).to_numpy())])
+    offs = np.searchsorted(ends, wanted)
+    if not np.array_equal(ends[offs], wanted):
+        raise ValueError("a token spans two units")
+    return pool, offs
+
+
+def _distinct_ids(units: pa.Array, path: str):
+    """(pool, begins, lengths) of distinct units, given without the space before them. A comma or full stop after a letter is encoded apart."""
+    spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), units, pa.scalar("", pa.large_string()))
+    odd = pc.match_substring_regex(spaced, r"[\s\x0b\x{85}\p{Z}]$").to_numpy(zero_copy_only=False)
+    ended = pc.match_substring_regex(spaced, r"\p{L}[,.]$")
+    comma = pc.ends_with(spaced, ",").to_numpy(zero_copy_only=False)
+    stems = pc.if_else(ended, pc.utf8_rtrim(spaced, ",."), spaced)
+    ended = ended.to_numpy(zero_copy_only=False)
+    coded = stems.filter(pa.array(~odd)).dictionary_encode()
+    pool, offs = _joined(coded.dictionary, path)
+    rest = _one_by_one([",", ".", *stems.filter(pa.array(odd)).to_pylist()], path)
+    begin = np.concatenate([offs[:-1], len(pool) + np.cumsum([0, *map(len, rest)])[:-1]])
+    lens = np.concatenate([np.diff(offs), list(map(len, rest))]).astype(np.int64)
+    pool, n = np.concatenate([pool, *rest]), len(coded.dictionary)
+    at = np.zeros(len(units), np.int64)
+    at[~odd] = coded.indices.to_numpy()
+    at[odd] = n + 2 + np.arange(odd.sum())
+    seq = np.repeat(at, 1 + ended)
+    seq[np.cumsum(1 + ended)[ended] - 1] = np.where(comma[ended], n, n + 1)
+    ids, ends = _take(pool, begin, lens, seq)
+    marks = ends[np.concatenate([[0], np.cumsum(1 + ended)])]
+    return ids, marks[:-1], np.diff(marks)
+
+
+def encode_column(texts: pa.Array, path: str):
     """(ids, offsets) of a string column. Nulls are empty texts."""
-    tok = _tokenizer(path)
     texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "")
     texts = texts.cast(pa.large_string())
     tight = pc.match_substring_regex(texts, r" [\s\x0b\x{85}\p{Z}]|[\s\x0b\x{85}\p{Z}] ")
     units = pc.split_pattern(pc.if_else(tight, "", texts), " ")
     starts = units.offsets.to_numpy()
-    flat = units.flatten()
-    first = np.zeros(len(flat), bool)
-    first[starts[:-1]] = True  # splitting gives one unit at least
-    flat = pc.binary_join_element_wise(pa.array(np.where(first, "", " ")).cast(pa.large_string()), flat, pa.scalar("", pa.large_string()))
-    coded = flat.dictionary_encode()
-    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    known = _made.setdefault(("units", path), {})
-    if len(known) > cache_units:
-        known.clear()
-    missing = [u for u in names if u not in known]
-    for u, e in zip(missing, tok.encode_batch_fast(missing, add_special_tokens=False)):
-        known[u] = np.array(e.ids, np.uint32)
-    lists = [known[u] for u in names]
-    ids, offs = _gather(lists, codes)
-    per = np.add.reduceat(np.diff(offs), starts[:-1]) if len(codes) else np.zeros(len(texts), np.int64)
+    firsts = starts[:-1]  # splitting gives one unit at least; a text's first unit has no space before it
+    coded = units.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    heads, at = np.unique(codes[firsts], return_inverse=True)
+    pool, begin, lens = _distinct_ids(coded.dictionary, path)
+    rest = _one_by_one(coded.dictionary.take(pa.array(heads)).to_pylist(), path)
+    codes[firsts] = len(begin) + at
+    begin = np.concatenate([begin, len(pool) + np.cumsum([0, *map(len, rest)])[:-1]])
+    lens = np.concatenate([lens, list(map(len, rest))]).astype(np.int64)
+    ids, offs = _take(np.concatenate([pool, *rest]), begin, lens, codes)
+    bounds = offs[starts]
     whole = np.flatnonzero(tight.to_numpy(zero_copy_only=False))
     if len(whole):
-        out = np.split(ids, np.cumsum(per)[:-1])
-        for i, e in zip(whole, tok.encode_batch_fast([texts[int(i)].as_py() for i in whole], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
-        ids, per = np.concatenate(out), np.array([len(x) for x in out])
-    return ids, np.concatenate([[0], np.cumsum(per)])
+        out = np.split(ids, bounds[1:-1])
+        for i in whole:
+            out[i] = np.array(_tokenizer(path).encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
+        ids, bounds = np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
+    return ids, bounds
+
+
+def _take(pool, begin, lens, codes, block: int = 500_000):
+    """Concatenates pool[begin[c] : begin[c] + lens[c]] for c in codes; with the offsets."""
+    offs = np.concatenate([[0], np.cumsum(lens[codes])])
+    out = np.empty(offs[-1], pool.dtype)
+    for a in range(0, len(codes), block):
+        c = codes[a : a + block]
+        take, first = lens[c], offs[a]
+        last = first + take.sum()
+        out[first:last] = pool[np.arange(last - first) + np.repeat(begin[c] - (np.cumsum(take) - take), take)]
+    return out, offs
 
 
 def _gather(lists, codes):
     """Concatenates lists[c] for c in codes."""
     lens = np.array([len(x) for x in lists], np.int64)
-    begin = np.cumsum(lens) - lens
     pool = np.concatenate(lists) if len(lists) else np.zeros(0, np.uint32)
-    take = lens[codes]
-    offs = np.concatenate([[0], np.cumsum(take)])
-    at = np.arange(offs[-1]) - np.repeat(offs[:-1], take) + np.repeat(begin[codes], take)
-    return pool[at], offs
+    return _take(pool, np.cumsum(lens) - lens, lens, codes)
 
 
-def _pieces(batch, size=8 << 20):
+def _pieces(batch, size=12 << 20):
     """Slices of a batch with about size bytes of text each."""
     lens = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)
     total = np.cumsum(lens)
