@@ -39,7 +39,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, dictionary = token_store.write_store(table(spark, sf_dir, "documents"), token_store.tokenizer_file())
-    return token_store.digest(token_store.read_store(segments, dictionary))
+    return token_store.read_store(segments, dictionary, digest=True)
 
 
 def op8_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

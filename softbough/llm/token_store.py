@@ -12,7 +12,7 @@ table of one row (dict_hash, dictionary, width). A reader refuses a segment whos
 
 Encoding works on units of a text, cut before each single space that stands between two characters that are not white space: the
 tokenizer's own word splitting cuts there too, so the ids are those of the whole text. A comma or full stop after a letter is cut off likewise. Equal units of a slice
-are encoded once. Texts where a space touches other
+are encoded once, and a bounded number of them is kept for later slices. Texts where a space touches other
 white space are encoded whole.
 
 Edge cases: a null or empty text has the end id alone; repeated doc_id rows are all stored; rows with a null doc_id come first;
@@ -83,7 +83,25 @@ def _joined(units: pa.Array, path: str, block: int = 40_000):
     return pool, offs
 
 
-def _distinct_ids(units: pa.Array, path: str):
+def _known(stems: pa.Array, path: str, most: int):
+    """(pool, begins, lengths) of distinct stems. Earlier slices' stems are kept as flat arrays, most of them at most before a slice is added."""
+    kept, pool, lens = _made.get(("stems", path)) or (pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    if len(kept) > most:  # what this slice has stays
+        stay = pc.is_in(kept, value_set=stems)
+        at = np.flatnonzero(stay.to_numpy(zero_copy_only=False))
+        pool, _ = _take(pool, np.cumsum(lens) - lens, lens, at)
+        kept, lens = kept.filter(stay), lens[at]
+    at = pc.fill_null(pc.index_in(stems, value_set=kept), -1).to_numpy().astype(np.int64)
+    new = np.flatnonzero(at < 0)
+    more = stems.take(pa.array(new))
+    ids, offs = _joined(more, path)
+    at[new] = len(kept) + np.arange(len(new))
+    pool, lens = np.concatenate([pool, ids]), np.concatenate([lens, np.diff(offs)])
+    _made["stems", path] = pa.concat_arrays([kept, more]), pool, lens
+    return pool, (np.cumsum(lens) - lens)[at], lens[at]
+
+
+def _distinct_ids(units: pa.Array, path: str, most: int = 800_000):
     """(pool, begins, lengths) of distinct units, given without the space before them. A comma or full stop after a letter is encoded apart."""
     spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), units, pa.scalar("", pa.large_string()))
     odd = pc.match_substring_regex(spaced, r"[\s\x0b\x{85}\p{Z}]$").to_numpy(zero_copy_only=False)
@@ -92,10 +110,10 @@ def _distinct_ids(units: pa.Array, path: str):
     stems = pc.if_else(ended, pc.utf8_rtrim(spaced, ",."), spaced)
     ended = ended.to_numpy(zero_copy_only=False)
     coded = stems.filter(pa.array(~odd)).dictionary_encode()
-    pool, offs = _joined(coded.dictionary, path)
+    pool, begin, lens = _known(coded.dictionary, path, most)
     rest = _one_by_one([",", ".", *stems.filter(pa.array(odd)).to_pylist()], path)
-    begin = np.concatenate([offs[:-1], len(pool) + np.cumsum([0, *map(len, rest)])[:-1]])
-    lens = np.concatenate([np.diff(offs), list(map(len, rest))]).astype(np.int64)
+    begin = np.concatenate([begin, len(pool) + np.cumsum([0, *map(len, rest)])[:-1]])
+    lens = np.concatenate([lens, list(map(len, rest))]).astype(np.int64)
     pool, n = np.concatenate([pool, *rest]), len(coded.dictionary)
     at = np.zeros(len(units), np.int64)
     at[~odd] = coded.indices.to_numpy()
@@ -153,7 +171,7 @@ def _gather(lists, codes):
     return _take(pool, np.cumsum(lens) - lens, lens, codes)
 
 
-def _pieces(batch, size=12 << 20):
+def _pieces(batch, size=8 << 20):
     """Slices of a batch with about size bytes of text each."""
     lens = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)
     total = np.cumsum(lens)
@@ -240,8 +258,11 @@ def write_store(docs: DataFrame, path: str, end: int = 2, width: str = "<u2", le
     return out, store(said, "dictionary")
 
 
-def read_store(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): every document of a store; ids is the serialized array, start the ids of all documents before it."""
+def read_store(segments: DataFrame, dictionary: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): every document of a store; ids is the serialized array, start the ids of all documents before it.
+
+    With digest, ids_crc32 is in the place of ids: the checksum of the ids as little-endian unsigned 32-bit integers.
+    """
     spark = segments.sparkSession
     said = dictionary.first()
     raw, width, sign = bytes(said.dictionary), said.width, said.dict_hash
@@ -269,9 +290,10 @@ def read_store(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
                 for a in range(0, len(ids), 2000):
                     b = min(len(ids), a + 2000)
                     out = [d.decompress(r["body"][offs[i] : offs[i + 1]]) for i in range(a, b)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[a:b], mask=ids[a:b] == _NULL), "start": start[a:b], "n_tokens": counts[a:b], "ids": pa.array(out, pa.binary())})
+                    last = {"ids_crc32": pa.array([zlib.crc32(np.frombuffer(x, width).astype("<u4").tobytes()) for x in out], pa.int64())} if digest else {"ids": pa.array(out, pa.binary())}
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[a:b], mask=ids[a:b] == _NULL), "start": start[a:b], "n_tokens": counts[a:b]} | last)
 
-    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
 def read_document(segments: DataFrame, dictionary: DataFrame, doc_id: int) -> list[np.ndarray]:
@@ -289,14 +311,3 @@ def read_document(segments: DataFrame, dictionary: DataFrame, doc_id: int) -> li
         offs = np.frombuffer(r.offsets, "<u8").astype(np.int64)
         out.append(np.frombuffer(d.decompress(bytes(r.body[offs[i] : offs[i + 1]])), said.width).astype(np.uint32))
     return out
-
-
-def digest(stored: DataFrame, width: str = "<u2") -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32): the checksum is of the ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches):
-        for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(x.as_buffer(), width).astype("<u4").tobytes()) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "start", "n_tokens")} | {"ids_crc32": pa.array(sums, pa.int64())})
-
-    return stored.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

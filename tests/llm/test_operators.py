@@ -154,7 +154,7 @@ def test_token_store(docs, rows):
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
     segments, dictionary = token_store.write_store(docs, path)
-    got = token_store.digest(token_store.read_store(segments, dictionary)).collect()
+    got = token_store.read_store(segments, dictionary, digest=True).collect()
     want = collections.Counter()
     for i, t in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
@@ -218,7 +218,7 @@ def test_empty_tables(none):
     assert line_dedup.dedup_lines(none).count() == 0
     assert resharding.reshard(none, F.lit(0), 3, 2).count() == 0
     assert piece_codec.piece_digest(none, piece_codec.model_file()).count() == 0
-    assert token_store.digest(token_store.read_store(*token_store.write_store(none, token_store.tokenizer_file()))).count() == 0
+    assert token_store.read_store(*token_store.write_store(none, token_store.tokenizer_file()), digest=True).count() == 0
     vectors = none.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"))
     assert block_ann.nearest(vectors, F.lit(True)).count() == 0
 
