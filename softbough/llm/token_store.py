@@ -101,7 +101,7 @@ def _known(stems: pa.Array, path: str, most: int):
     return pool, (np.cumsum(lens) - lens)[at], lens[at]
 
 
-def _distinct_ids(units: pa.Array, path: str, most: int = 800_000):
+def _distinct_ids(units: pa.Array, path: str, most: int = 1_500_000):
     """(pool, begins, lengths) of distinct units, given without the space before them. A comma or full stop after a letter is encoded apart."""
     spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), units, pa.scalar("", pa.large_string()))
     odd = pc.match_substring_regex(spaced, r"[\s\x0b\x{85}\p{Z}]$").to_numpy(zero_copy_only=False)
