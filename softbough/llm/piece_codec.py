@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .token_store import _gather, _pieces
+from .token_store import _gather, _pieces, _take, remembered
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.S)
@@ -57,7 +57,6 @@ class PieceModel:
         for row, p in zip(self.piece_chars, names):
             row[: len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
         self.pairs: dict[int, bool] = {}
-        self.units: dict[str, np.ndarray] = {}
 
     def merge(self, text: str) -> list[str]:
         """The model's merges applied to a short text: the best rank first, the leftmost of equal ones."""
@@ -144,10 +143,10 @@ def _ranges(chars, order, model):
     return bound(False), bound(True)
 
 
-def encode_units(units: list[str], model: PieceModel) -> list[np.ndarray]:
-    """The ids of each unit."""
+def encode_units(units: list[str], model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of the units."""
     if not units:
-        return []
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
     lens = np.array([len(u) for u in units], np.int64)
     begin = np.cumsum(lens + 1) - lens - 1
     chars = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -187,7 +186,7 @@ def encode_units(units: list[str], model: PieceModel) -> list[np.ndarray]:
         more = ~starts[at]
         at, who = at[more], who[more]
     if not steps:
-        return [np.zeros(0, np.int64) for _ in units]
+        return np.zeros(0, np.int64), np.zeros(len(units) + 1, np.int64)
     row, tok, back = np.concatenate(rows), np.concatenate(steps), np.repeat(np.arange(len(steps)), [len(r) for r in rows])
     by = np.lexsort((-back, row))
     row, tok = row[by], tok[by]
@@ -196,10 +195,26 @@ def encode_units(units: list[str], model: PieceModel) -> list[np.ndarray]:
         spelled = [np.array([c] if c < model.size else [model.byte_ids[b] for b in chr(c - model.size).encode("utf-8", "surrogatepass")], np.int64) for c in some.tolist()]
         tok, offs = _gather(spelled, code)
         row = np.repeat(row, np.diff(offs))
-    return np.split(tok, np.searchsorted(row, np.arange(1, len(units))))
+    return tok, np.searchsorted(row, np.arange(len(units) + 1))
 
 
-def encode_column(texts: pa.Array, path: str, cache_units: int = 200_000):
+def _fresh(units: pa.Array, model):
+    """(pool, offsets) of units; those that hold the separator itself are encoded around it."""
+    names = units.to_pylist()
+    tok, offs = encode_units(["" if "\0" in u else u for u in names], model)
+    odd = [i for i, u in enumerate(names) if "\0" in u]
+    if odd:
+        lists = np.split(tok, offs[1:-1])
+        for i in odd:
+            ids = []
+            for j, part in enumerate(names[i].split("\0")):
+                ids += [model.byte_ids[0]] * (j > 0) + (encode_units([part], model)[0].tolist() if part else [])
+            lists[i] = np.array(ids, np.int64)
+        tok, offs = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    return tok.astype(np.uint32), offs
+
+
+def encode_column(texts: pa.Array, path: str, cache_units: int = 1_000_000):
     """(ids, offsets) of a string column."""
     model = load(path)
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -219,20 +234,8 @@ def encode_column(texts: pa.Array, path: str, cache_units: int = 200_000):
             own = _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
             parts[i] = np.array([index.setdefault(u, len(index)) for u in own], np.int64)
         names, codes, counts = list(index), np.concatenate(parts), np.array([len(p) for p in parts])
-    known = model.units
-    if len(known) > cache_units:
-        known.clear()
-    missing = [u for u in names if u not in known]
-    odd_units = [u for u in missing if "\0" in u]  # the separator itself: encoded around it
-    for u in odd_units:
-        ids = []
-        for j, part in enumerate(u.split("\0")):
-            ids += [model.byte_ids[0]] * (j > 0) + (encode_units([part], model)[0].tolist() if part else [])
-        known[u] = np.array(ids, np.int64)
-    missing = [u for u in missing if "\0" not in u]
-    for u, ids in zip(missing, encode_units(missing, model)):
-        known[u] = ids.astype(np.uint32)
-    ids, offs = _gather([known[u] for u in names], codes)
+    pool, begins, lens = remembered(pa.array(names, pa.large_string()), ("pieces", path), lambda more: _fresh(more, model), cache_units)
+    ids, offs = _take(pool, begins, lens, codes)
     at = np.concatenate([[0], np.cumsum(counts)])
     return ids.astype(np.uint32), offs[at]
 

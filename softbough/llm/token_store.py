@@ -83,21 +83,24 @@ def _joined(units: pa.Array, path: str, block: int = 40_000):
     return pool, offs
 
 
-def _known(stems: pa.Array, path: str, most: int):
-    """(pool, begins, lengths) of distinct stems. Earlier slices' stems are kept as flat arrays, most of them at most before a slice is added."""
-    kept, pool, lens = _made.get(("stems", path)) or (pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
-    if len(kept) > most:  # what this slice has stays
-        stay = pc.is_in(kept, value_set=stems)
+def remembered(units: pa.Array, key, encode, most: int):
+    """(pool, begins, lengths) of distinct units; encode gives (pool, offsets) of those that earlier slices didn't have.
+
+    What is kept lies in flat arrays, `most` units at most before a slice is added; beyond, those of the slice at hand stay.
+    """
+    kept, pool, lens = _made.get(key) or (pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    if len(kept) > most:
+        stay = pc.is_in(kept, value_set=units)
         at = np.flatnonzero(stay.to_numpy(zero_copy_only=False))
         pool, _ = _take(pool, np.cumsum(lens) - lens, lens, at)
         kept, lens = kept.filter(stay), lens[at]
-    at = pc.fill_null(pc.index_in(stems, value_set=kept), -1).to_numpy().astype(np.int64)
+    at = pc.fill_null(pc.index_in(units, value_set=kept), -1).to_numpy().astype(np.int64)
     new = np.flatnonzero(at < 0)
-    more = stems.take(pa.array(new))
-    ids, offs = _joined(more, path)
+    more = units.take(pa.array(new))
+    ids, offs = encode(more)
     at[new] = len(kept) + np.arange(len(new))
     pool, lens = np.concatenate([pool, ids]), np.concatenate([lens, np.diff(offs)])
-    _made["stems", path] = pa.concat_arrays([kept, more]), pool, lens
+    _made[key] = pa.concat_arrays([kept, more]), pool, lens
     return pool, (np.cumsum(lens) - lens)[at], lens[at]
 
 
@@ -110,7 +113,7 @@ def _distinct_ids(units: pa.Array, path: str, most: int = 1_500_000):
     stems = pc.if_else(ended, pc.utf8_rtrim(spaced, ",."), spaced)
     ended = ended.to_numpy(zero_copy_only=False)
     coded = stems.filter(pa.array(~odd)).dictionary_encode()
-    pool, begin, lens = _known(coded.dictionary, path, most)
+    pool, begin, lens = remembered(coded.dictionary, ("stems", path), lambda more: _joined(more, path), most)
     rest = _one_by_one([",", ".", *stems.filter(pa.array(odd)).to_pylist()], path)
     begin = np.concatenate([begin, len(pool) + np.cumsum([0, *map(len, rest)])[:-1]])
     lens = np.concatenate([lens, list(map(len, rest))]).astype(np.int64)
