@@ -8,7 +8,7 @@ size and position filters are expanded to members, and every member pair is veri
 the whole sets.
 
 Before that, parity signatures (whose differing bits are at most the elements apart, so nothing is lost) drop most pairs
-without moving sets. A posting list with few members gives all its pairs. A long list (near copies, boilerplate) gives
+without moving sets. They have a bit or more for each element, as shorter ones say nothing of long texts; wider ones fold to narrower. A posting list with few members gives all its pairs. A long list (near copies, boilerplate) gives
 a star first: members that the star already connects need no further pairs, and what it leaves
 unconnected is starred around another hub and, at last, paired across components in blocks. So links between
 different texts that matter for the components are all verified, but the pairs inside
@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ from .components import connected_components
 
 FLUSH = 1_500_000
 BITS = 1024
-_SETS = "doc_id long, n int, s1 long, s2 long, sig binary, part int, block binary"
-_SET_TYPES = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("block", pa.binary())])
+_SETS = "doc_id long, n int, s1 long, s2 long, sig binary, wide binary, part int, block binary"
+_SET_TYPES = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary()), ("wide", pa.binary()), ("part", pa.int32()), ("block", pa.binary())])
 
 
 def _scan_frequent(k: int):
@@ -80,9 +81,19 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def signature(u: np.ndarray) -> bytes:
-    """Parity of the set's hashes in each of BITS bins. Two signatures differ in at most as many bits as the sets have elements apart."""
-    return np.packbits((np.bincount((u & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+def signature(u: np.ndarray, bits: int = BITS) -> bytes:
+    """Parity of the set's hashes in each of `bits` bins, a power of two. Two signatures differ in at most as many bits as the sets have elements apart."""
+    return np.packbits((np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_signature(u: np.ndarray) -> bytes | None:
+    """The signature with a bit or more for each element, where that is more than BITS."""
+    return signature(u, 1 << (len(u) - 1).bit_length()) if len(u) > BITS else None
+
+
+def fold(sig: np.ndarray, words: int) -> np.ndarray:
+    """The same set's signature of `words` 64-bit words, from a wider one."""
+    return np.bitwise_xor.reduce(sig.reshape(-1, words), axis=0)
 
 
 def _scan_sets(k, num, den, parts, frequent):
@@ -113,7 +124,7 @@ def _scan_sets(k, num, den, parts, frequent):
 
     def run(batches):
         ftok, fcnt = frequent.value
-        out: dict = {"doc_id": [], "n": [], "s1": [], "s2": [], "sig": []}
+        out: dict = {"doc_id": [], "n": [], "s1": [], "s2": [], "sig": [], "wide": []}
         groups: dict = {}
         size = 0
 
@@ -133,7 +144,7 @@ def _scan_sets(k, num, den, parts, frequent):
                 for d, u in enumerate(shingle_sets(raw, offs, k), a):
                     n, doc = len(u), keys[d]
                     s1, s2 = np.frombuffer(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), np.int64).tolist()
-                    for x, y in (("doc_id", doc), ("n", n), ("s1", s1), ("s2", s2), ("sig", signature(u))):
+                    for x, y in (("doc_id", doc), ("n", n), ("s1", s1), ("s2", s2), ("sig", signature(u)), ("wide", wide_signature(u))):
                         out[x].append(y)
                     if not n:
                         continue
@@ -301,9 +312,17 @@ def _open_signatures(column) -> np.ndarray:
 def _prefilter(num, den):
     def run(batches):
         for batch in batches:
-            sa, sb = (_open_signatures(batch.column(c)) for c in ("ga", "gb"))
             total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(_near(sa, sb, total, num, den)))
+            sa, sb = batch.column("ga"), batch.column("gb")
+            least = np.minimum(pc.binary_length(sa).to_numpy(), pc.binary_length(sb).to_numpy())
+            keep = np.zeros(len(total), bool)
+            narrow = np.maximum(pc.binary_length(sa).to_numpy(), pc.binary_length(sb).to_numpy()) == BITS // 8
+            at = pa.array(np.flatnonzero(narrow))
+            keep[narrow] = _near(_open_signatures(sa.take(at)), _open_signatures(sb.take(at)), total[narrow], num, den)
+            for i in np.flatnonzero(~narrow):
+                x, y = (fold(np.frombuffer(c[int(i)].as_buffer(), np.uint64), least[i] // 8) for c in (sa, sb))
+                keep[i] = _near(x, y, total[i], num, den)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -385,13 +404,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k, most_frequent))
     scan = store(docs.mapInArrow(_scan_sets(k, num, den, parts, frequent), _SETS), "postings")
     frequent.destroy()
-    sets = store(scan.where("part is null").select("doc_id", "n", "s1", "s2", "sig"), "classes")
+    sets = store(scan.where("part is null").select("doc_id", "n", "s1", "s2", "sig", "wide"), "classes")
     found = store(
         scan.where("part is not null").select("part", "block").repartition(parts, "part")
         .mapInArrow(_match(num, den, short), "kind int, a long, b long, token long, n int, pos int"), "pairs",
     )
     discard(scan)
-    signs = sets.select("doc_id", "n", "sig")
+    signs = sets.select("doc_id", "n", F.coalesce("wide", "sig").alias("sig"))
 
     def signed(pairs):
         """Distinct pairs that the signatures leave open."""
@@ -415,7 +434,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
             pair = pair.where(f"least(n, hn) * {den} >= greatest(n, hn) * {num} and 1 + least(n - pos - 1, hn - hpos - 1) >= {need}")
             pair = pair.select(F.least("doc", "hdoc").alias("a"), F.greatest("doc", "hdoc").alias("b"))
         else:
-            pair = cross_pairs(open_.join(signs.select(F.col("doc_id").alias("doc"), "sig"), "doc"), num, den)
+            pair = cross_pairs(open_.join(sets.select(F.col("doc_id").alias("doc"), "sig"), "doc"), num, den)
         links = links.unionByName(verified(docs, signed(pair), k, num, den))
         rest = open_.select("token", "doc", "n", "pos")
     comp = connected_components(links)

@@ -223,3 +223,25 @@ def test_empty_tables(none):
     assert block_ann.nearest(vectors, F.lit(True)).count() == 0
 
 
+
+
+def test_wide_signatures():
+    """Signatures of unlike widths fold to the narrower one, and never show more differing bits than there are elements apart."""
+    r = np.random.default_rng(5)
+    u = np.unique(r.integers(0, 1 << 63, 3000).astype(np.uint64))
+    for n in (1000, 1024, 1025, 1900, 2048, 2049, 2990):
+        v = u[r.permutation(len(u))[:n]]
+        x, y = (np.frombuffer(ngram_join.wide_signature(s) or ngram_join.signature(s), np.uint64) for s in (u, v))
+        w = min(len(x), len(y))
+        assert (ngram_join.fold(y, 16) == np.frombuffer(ngram_join.signature(v), np.uint64)).all()
+        assert np.bitwise_count(ngram_join.fold(x, w) ^ ngram_join.fold(y, w)).sum() <= len(u) - n
+
+
+def test_long_near_copies(spark):
+    base, rows = prose(7, 4100).split(), []
+    for i, n in enumerate((4100, 4000, 3200, 3079, 3070, 2100, 2040, 1100, 1020)):
+        rows.append((i, " ".join(base[:n])))
+    rows += [(20 + i, " ".join(base[:300]) + " " + prose(700 + i, 2000)) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(df).collect()}
+    assert got == brute_components(rows)
