@@ -153,17 +153,19 @@ def encode_units(units: list[str], model: PieceModel) -> tuple[np.ndarray, np.nd
     order = suffix_array(chars, model.depth)
     lo, hi = _ranges(chars, order, model)
     n = hi - lo
-    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    start, piece, size = order[at], np.repeat(model.piece_id, n), np.repeat(model.piece_len, n)
+    kind = np.int32 if len(chars) * (model.depth + 1) < 1 << 31 else np.int64  # edges are many: narrow numbers halve them
+    at = np.repeat((lo - (np.cumsum(n) - n)).astype(kind), n) + np.arange(n.sum(), dtype=kind)
+    start, piece, size = order.astype(kind)[at], np.repeat(model.piece_id.astype(kind), n), np.repeat(model.piece_len.astype(kind), n)
+    del order, at
     covered = np.zeros(len(chars), bool)
     covered[start[size == 1]] = True
-    owner = np.repeat(np.arange(len(units)), lens + 1)
+    owner = np.repeat(np.arange(len(units), dtype=kind), lens + 1)
     covered[begin + lens] = True  # the separators
-    alone = np.flatnonzero(~covered)
+    alone = np.flatnonzero(~covered).astype(kind)
     start = np.concatenate([start, alone])
-    piece = np.concatenate([piece, model.size + chars[alone].astype(np.int64)])
-    size = np.concatenate([size, np.ones(len(alone), np.int64)])
-    end = start + size - begin[owner[start]]  # relative: 1 .. length of the unit
+    piece = np.concatenate([piece, model.size + chars[alone].astype(kind)])
+    size = np.concatenate([size, np.ones(len(alone), kind)])
+    end = start + size - begin.astype(kind)[owner[start]]  # relative: 1 .. length of the unit
     by = np.argsort(end, kind="stable")
     start, piece, size, end = start[by], piece[by], size[by], end[by]
     cut = np.searchsorted(end, np.arange(1, lens.max() + 2))
@@ -198,10 +200,23 @@ def encode_units(units: list[str], model: PieceModel) -> tuple[np.ndarray, np.nd
     return tok, np.searchsorted(row, np.arange(len(units) + 1))
 
 
+def _in_blocks(units: list[str], model, chars: int = 600_000) -> tuple[np.ndarray, np.ndarray]:
+    """encode_units() over blocks of about so many characters."""
+    total = np.cumsum([len(u) + 1 for u in units])
+    toks, offs, a = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
+    while a < len(units):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + chars, "right")))
+        tok, ends = encode_units(units[a:b], model)
+        toks.append(tok.astype(np.uint32))
+        offs.append(offs[-1][-1] + ends[1:])
+        a = b
+    return np.concatenate(toks), np.concatenate(offs)
+
+
 def _fresh(units: pa.Array, model):
-    """(pool, offsets) of units; those that hold the separator itself are encoded around it."""
+    """(pool, offsets) of units; those that hold the separator itself are encoded around it. Units go in blocks, so memory doesn't grow with a text."""
     names = units.to_pylist()
-    tok, offs = encode_units(["" if "\0" in u else u for u in names], model)
+    tok, offs = _in_blocks(["" if "\0" in u else u for u in names], model)
     odd = [i for i, u in enumerate(names) if "\0" in u]
     if odd:
         lists = np.split(tok, offs[1:-1])
