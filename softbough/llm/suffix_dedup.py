@@ -9,8 +9,11 @@ suffix is compared with the nearest neighbour of another document on either side
 are exchanged, two rows each); the match is extended to the left and right, and where it has min_words words or more,
 it is a repeated span. Spans of a document that touch are joined, so longer passages come out whole.
 
-Words as in the other operators (A-Z lower-cased, runs outside [\\x20\\x09-\\x0D]). A match is found among sort neighbours of either order, not
-among all pairs: of three nested passages the shortest could be missed at one suffix, but not where copies surround the same words.
+A match hidden from both orders by longer ones is found in a last step: the windows of min_words words around a suffix that the spans
+do not cover yet are keyed by their words, a bitmap of those keys picks the equal windows among all suffixes, and windows whose key
+two documents or more hold (counted with partial aggregation) are spans, too. So no shared passage is missed.
+
+Words as in the other operators (A-Z lower-cased, runs outside [\\x20\\x09-\\x0D]).
 Edge cases: null, empty and short texts (fewer than min_words words) have no spans; repeats inside one document do not count; rows without doc_id
 are ignored; rows that share a doc_id are one document for comparison, so their copies do not count; an empty table gives no rows. Further columns are not read.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import discard, n_parts, shared_dir, store
-from ._text import chunks, gram_hashes, word_hashes
+from ._text import _P, chunks, gram_hashes, mix, word_hashes
 
 _BITS = 25
 
@@ -55,6 +58,21 @@ def _count(k, span):
     return run
 
 
+def _bitmap(keys: DataFrame):
+    """A bitmap of 2**_BITS bits of the column h."""
+    bit = F.col("h").bitwiseAND(F.lit((1 << _BITS) - 1))
+    words = keys.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast((h & {(1 << _BITS) - 1}) & 31 as int))").alias("x"))
+    got = words.groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()  # at most 2**20 rows
+    bits = np.zeros(1 << (_BITS - 5), np.uint32)
+    bits[got["w"].to_numpy()] = got["x"].to_numpy().astype(np.uint32)
+    return bits
+
+
+def _hit(bits, h):
+    b = h & np.uint64((1 << _BITS) - 1)
+    return ((bits[(b >> np.uint64(5)).astype(np.int64)] >> (b & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
+
+
 def _emit(k, span, side, bitmap):
     def run(batches):
         bits = bitmap.value
@@ -62,8 +80,7 @@ def _emit(k, span, side, bitmap):
             ids = batch.column("doc_id").to_numpy()
             for a, raw, offs in chunks(batch.column("text")):
                 words, begins, h, at = _selected(raw, offs, k, span)
-                b = h & np.uint64((1 << _BITS) - 1)
-                hit = ((bits[(b >> np.uint64(5)).astype(np.int64)] >> (b & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
+                hit = _hit(bits, h)
                 h, at = h[hit], at[hit]
                 if not len(h):
                     continue
@@ -176,6 +193,81 @@ def _neighbours(kept: DataFrame, key: list[str], k, side, min_words) -> DataFram
     return store(found.distinct(), "spans")
 
 
+def _window_keys(h, right, left, side):
+    """For each suffix and each count of words to its left (0 .. side): the key of the window of k + side words, and whether the document holds it."""
+    n = len(h)
+    r, l = np.zeros((side + 1, n), np.uint64), np.zeros((side + 1, n), np.uint64)
+    for j in range(side):
+        r[j + 1] = (r[j] + right[:, j]) * np.uint64(_P)
+        l[j + 1] = (l[j] + left[:, j]) * np.uint64(_P)
+    held_r = np.concatenate([np.ones((1, n), bool), np.logical_and.accumulate(right.T != 0)])
+    held_l = np.concatenate([np.ones((1, n), bool), np.logical_and.accumulate(left.T != 0)])
+    count = np.arange(side + 1, dtype=np.uint64)[:, None]
+    return mix(mix(l + h) + r[::-1] + count), held_l & held_r[::-1]
+
+
+def _words_of(column, side):
+    return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, side).astype(np.uint64)
+
+
+def _rest(k, side):
+    """Windows that no span covers; rows are suffixes and joined spans (no h), sorted by document, position, spans first."""
+
+    def run(batches):
+        last = (-1, -1, -1)  # document, begin and end of the span before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, pos, end = (batch.column(c).to_numpy() for c in ("doc_id", "pos", "end"))
+            span = end >= 0
+            d, pos, end, span = (np.concatenate([[x], y]) for x, y in zip((*last, True), (d, pos, end, span)))
+            at = np.maximum.accumulate(np.where(span, np.arange(len(d)), 0))
+            last = (d[at[-1]], pos[at[-1]], end[at[-1]])
+            i = np.flatnonzero(~span)
+            rows = batch.take(pa.array(i - 1))
+            for a in range(0, len(i), 4096):
+                part, b = rows.slice(a, 4096), i[a : a + 4096]
+                key, held = _window_keys(part.column("h").to_numpy().view(np.uint64), _words_of(part.column("right"), side), _words_of(part.column("left"), side), side)
+                begin = pos[b] - np.arange(side + 1)[:, None]
+                near = at[b]
+                covered = (d[near] == d[b]) & (pos[near] <= begin) & (end[near] >= begin + k + side)
+                x, y = np.nonzero(held & ~covered)
+                if len(x):
+                    yield pa.RecordBatch.from_pydict({"key": key[x, y].view(np.int64), "doc_id": d[b[y]], "begin": begin[x, y].astype(np.int32)})
+
+    return run
+
+
+def _same_windows(side, bitmap):
+    """(key, doc_id) of all suffixes' windows whose key the bitmap holds."""
+
+    def run(batches):
+        bits = bitmap.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                key, held = _window_keys(part.column("h").to_numpy().view(np.uint64), _words_of(part.column("right"), side), _words_of(part.column("left"), side), side)
+                x, y = np.nonzero(held & _hit(bits, key))
+                if len(x):
+                    yield pa.RecordBatch.from_pydict({"key": key[x, y].view(np.int64), "doc_id": part.column("doc_id").to_numpy()[y]})
+
+    return run
+
+
+def _hidden(kept: DataFrame, joined: DataFrame, k, side) -> DataFrame:
+    """(doc_id, begin, end) of the repeated windows that the joined spans do not cover."""
+    spark = kept.sparkSession
+    spans = joined.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.begin").alias("pos"), F.col("s.end").alias("end"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("binary").alias("right"), F.lit(None).cast("binary").alias("left"))
+    rows = kept.select("doc_id", "pos", F.lit(-1).alias("end"), "h", "right", "left").unionByName(spans)
+    rows = rows.repartition(n_parts(spark), "doc_id").sortWithinPartitions("doc_id", "pos", F.col("end").desc())
+    rest = store(rows.mapInArrow(_rest(k, side), "key long, doc_id long, begin int"), "rest")
+    bits = spark.sparkContext.broadcast(_bitmap(rest.select(F.col("key").alias("h"))))
+    same = kept.mapInArrow(_same_windows(side, bits), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    found = store(rest.join(same.select("key"), "key").select("doc_id", "begin", (F.col("begin") + k + side).alias("end")).distinct(), "hidden")
+    discard(rest)
+    return found
+
+
 def _join_spans(batches):
     for batch in batches:
         spans, words = [], []
@@ -197,13 +289,16 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, k: int = 20) -> DataFra
     span, side = min_words - k + 1, min_words - k
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     seen = docs.select("text").mapInArrow(_count(k, span), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    bit = F.col("h").bitwiseAND(F.lit((1 << _BITS) - 1))
-    words = seen.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast((h & {(1 << _BITS) - 1}) & 31 as int))").alias("x"))
-    got = words.groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()  # at most 2**20 rows
-    bits = np.zeros(1 << (_BITS - 5), np.uint32)
-    bits[got["w"].to_numpy()] = got["x"].to_numpy().astype(np.uint32)
+    bits = _bitmap(seen)
     kept = store(docs.mapInArrow(_emit(k, span, side, spark.sparkContext.broadcast(bits)), "h long, doc_id long, pos int, right binary, left binary"), "suffixes")
     spans = _neighbours(kept, ["right", "left"], k, side, min_words).unionByName(_neighbours(kept, ["left", "right"], k, side, min_words))
+    joined = "doc_id long, n_spans int, n_words long, spans array<struct<begin:int,end:int>>"
+
+    def by_document(found):
+        return found.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")).mapInArrow(_join_spans, joined)
+
+    first = store(by_document(spans), "joined")
+    hidden = _hidden(kept, first, k, side)
     discard(kept)
-    grouped = spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    return grouped.mapInArrow(_join_spans, "doc_id long, n_spans int, n_words long, spans array<struct<begin:int,end:int>>")
+    whole = first.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.begin", "s.end")
+    return by_document(whole.unionByName(hidden))
