@@ -3,22 +3,27 @@
 A mask selects some positions of a short window of words and ignores the others, so a hash over the selected words
 still hits when an ignored word was substituted. The hashes of every window of every document are joined with those of the benchmark
 items; each hit gives a diagonal (document position minus item position), and along it the words are compared over the whole
-item: matches count 1, mismatches cost `penalty`, and the best segment's score decides.
+item: matches count 1, mismatches cost `penalty`, and the best segment's score decides. It must reach `min_score`, or `share` percent of
+the item's words if these are fewer; an item of under `exact` words must be there whole. The mask hits every overlap that reaches its score;
+how often at least (least_hits) tells which diagonals need no comparison.
 
 Words are maximal runs outside [\\x20\\x09-\\x0D], in lower case. The benchmark's seeds are broadcast if they are at most
-`broadcast_rows`, else the join shuffles. Edge cases: null, empty or short texts (fewer words than a mask spans) match nothing; items of fewer
-words than a mask spans are never found, being too short to tell copying from chance; null ids are ignored; repeated rows count once; empty tables give no
+`broadcast_rows`, else the join shuffles. Edge cases: null and empty texts match nothing; items of fewer
+words than a mask spans have one key for all their words, so even an item of one word is found in each document that holds it; null ids are ignored; repeated rows count once; empty tables give no
 rows. Further columns are not read.
 """
 from __future__ import annotations
 
+import heapq
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import store
 
-#: Selected positions; both masks span ten words and select seven.
-MASKS = ((0, 1, 2, 4, 6, 8, 9), (0, 2, 3, 5, 6, 7, 9))
+#: Selected positions; this mask spans five words, selects four, and hits whatever scores 6 or more at a penalty of 2.
+MASKS = ((0, 1, 2, 4),)
 _WHITE = " \t\n\x0b\f\r"
 
 
@@ -26,39 +31,78 @@ def _words(text: str = "text"):
     return F.split(F.lower(F.trim(F.col(text), F.lit(_WHITE))), r"[\x20\x09-\x0D]+")
 
 
-def _seeds(df: DataFrame, masks, *keep) -> DataFrame:
-    """One row for each mask and window: keep, pos and hash."""
-    span = max(m[-1] for m in masks) + 1
+def _span(masks) -> int:
+    return max(m[-1] for m in masks) + 1
+
+
+def least_hits(masks, score: int, penalty: int) -> int:
+    """The fewest hits of the masks along any overlap that reaches the score, however its substitutions lie (shortest path over the last words)."""
+    full = (1 << _span(masks)) - 1
+    wanted = [sum(1 << m[-1] - o for o in m) for m in masks]  # the newest word is bit 0
+    heap, done = [(0, 0, 0)], set()
+    while heap:
+        hits, run, last = heapq.heappop(heap)
+        if run >= score:
+            return hits
+        if (run, last) in done:
+            continue
+        done.add((run, last))
+        for same in (1, 0):
+            to, seen = run + (1 if same else -penalty), (last << 1 | same) & full
+            if to > 0:
+                heapq.heappush(heap, (hits + sum(seen & m == m for m in wanted), to, seen))
+    return 0
+
+
+def _seeds(df: DataFrame, masks, number: int, *keep) -> DataFrame:
+    """One row for each mask and window: keep, pos and hash; the first mask has this number."""
+    span = _span(masks)
     hashed = df.select(*keep, F.transform(_words(), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= span)
     last = F.size("h") - span
 
-    def hashes(number, mask):
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(number), *(F.get("h", i + o) for o in mask)))
+    def hashes(n, mask):
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(n), *(F.get("h", i + o) for o in mask)))
 
-    per_mask = [hashes(n, m) for n, m in enumerate(masks)]
+    per_mask = [hashes(n, m) for n, m in enumerate(masks, number)]
     windows = last + 1
     found = hashed.select(*keep, windows.alias("w"), F.posexplode(F.concat(*per_mask)).alias("at", "seed"))
-    return found.select(*keep, F.expr("at % w").alias("pos"), "seed")
+    return found.select(*keep, F.expr("at % w").cast("int").alias("pos"), "seed")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, penalty: int = 2, min_score: int = 10, broadcast_rows: int = 500_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, penalty: int = 2, min_score: int = 10, broadcast_rows: int = 500_000, share: int = 60, exact: int = 10) -> DataFrame:
     """(doc_id, item_id, begin, matched, length, score): the best overlap of each document with each benchmark item it holds.
 
-    begin is the overlap's first word in the document, matched of its length words agree; score is matched - penalty * others, at least min_score.
+    begin is the overlap's first word in the document, matched of its length words agree; score is matched - penalty * others, at least min_score or
+    share percent of the item's words, whichever is less; for items of under `exact` words it is their number of words.
     """
     docs = docs.where("doc_id is not null").select("doc_id", F.col("text"), F.xxhash64("text").alias("x"))
-    items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
-    seeds = store(_seeds(items.withColumn("y", F.xxhash64("text")), masks, "item_id", "y").withColumnRenamed("pos", "item_pos").distinct(), "seeds")
+    items = benchmark.where("item_id is not null").select("item_id", "text", F.xxhash64("text").alias("y"), F.size(_words()).alias("n")).where(F.get(_words(), 0) != "").distinct()
+    span = _span(masks)
+    enough = F.when(F.col("n") < exact, F.col("n")).otherwise(F.least(F.lit(min_score), F.expr(f"cast((n * {share} + 99) div 100 as int)")))
+    items = items.withColumn("enough", enough)
+    short = sorted(r.n for r in items.where(F.col("n") < span).select("n").distinct().collect())  # fewer than span
+    kinds = [(masks, 0), *(((tuple(range(n)),), -n) for n in short)]
+
+    def all_seeds(df, *keep, of_items=False):
+        parts = [_seeds(df.where(F.col("n") == -number) if of_items and number else df.where(F.col("n") >= span) if of_items else df, m, number, *keep) for m, number in kinds]
+        return reduce(DataFrame.unionByName, parts)
+
+    seeds = store(all_seeds(items, "item_id", "y", of_items=True).withColumnRenamed("pos", "item_pos").distinct(), "seeds")
     if seeds.count() <= broadcast_rows:
         seeds = F.broadcast(seeds)
-    hits = _seeds(docs, masks, "doc_id", "x").join(seeds, "seed")
-    diagonals = hits.select("doc_id", "x", "item_id", "y", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-    diagonals = store(diagonals, "hits")
+    hits = all_seeds(docs, "doc_id", "x").join(seeds, "seed")
+    diagonals = hits.groupBy("doc_id", "x", "item_id", "y", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count("*").alias("hits"))
+    lowest = min(min_score, -(-exact * share // 100))
+    needed = F.lit(1)
+    for score in range(lowest, min_score + 1):
+        needed = F.when((F.col("n") >= exact) & (F.col("enough") == score), least_hits(masks, score, penalty)).otherwise(needed)
+    few = items.select("item_id", "y", needed.alias("needed"))
+    diagonals = store(diagonals.join(few, ["item_id", "y"]).where("hits >= needed").drop("hits", "needed"), "hits")
     # one row for each document that has hits and each diagonal; its text comes by an equi-join on the document
-    lines = diagonals.join(items.select("item_id", F.xxhash64("text").alias("y"), _words().alias("b")), ["item_id", "y"])
-    whole = docs.join(lines.hint("shuffle_hash"), ["doc_id", "x"]).select("doc_id", "item_id", "shift", _words().alias("a"), "b")
+    lines = diagonals.join(items.select("item_id", "y", "enough", _words().alias("b")), ["item_id", "y"])
+    whole = docs.join(lines.hint("shuffle_hash"), ["doc_id", "x"]).select("doc_id", "item_id", "shift", "enough", _words().alias("a"), "b")
     first, last = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("b"), F.size("a") - F.col("shift")) - 1
-    ranged = whole.select("doc_id", "item_id", "shift", first.alias("first"), F.transform(F.sequence(first, last), lambda i: F.get("a", i + F.col("shift")) == F.get("b", i)).alias("same"))
+    ranged = whole.select("doc_id", "item_id", "shift", "enough", first.alias("first"), F.transform(F.sequence(first, last), lambda i: F.get("a", i + F.col("shift")) == F.get("b", i)).alias("same"))
     empty = F.expr("named_struct('at', 0, 'run', 0, 'begin', 0, 'hit', 0, 'score', 0, 'from', 0, 'upto', 0, 'matched', 0)")
 
     def step(s, same):
@@ -70,7 +114,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, penalty: int
         pick = lambda new, old: F.when(better, new).otherwise(s[old])
         return F.struct((s["at"] + 1).alias("at"), run.alias("run"), begin.alias("begin"), hit.alias("hit"), pick(run, "score").alias("score"), pick(begin, "from").alias("from"), pick(s["at"] + 1, "upto").alias("upto"), pick(hit, "matched").alias("matched"))
 
-    scored = ranged.withColumn("best", F.aggregate("same", empty, step)).where(F.col("best.score") >= min_score)
+    scored = ranged.withColumn("best", F.aggregate("same", empty, step)).where(F.col("best.score") >= F.col("enough"))
     rows = scored.select("doc_id", "item_id", (F.col("first") + F.col("shift") + F.col("best.from")).cast("long").alias("begin"), F.col("best.matched").cast("long").alias("matched"), F.expr("cast(best.upto - best.from as long)").alias("length"), F.col("best.score").cast("long").alias("score"))
     best = F.max(F.struct("score", -F.col("begin"), "matched", "length"))
     top = rows.groupBy("doc_id", "item_id").agg(best.alias("t"))

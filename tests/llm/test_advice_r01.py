@@ -3,7 +3,7 @@ import collections
 
 import numpy as np
 
-from softbough.llm import suffix_dedup
+from softbough.llm import decontaminate, suffix_dedup
 
 
 def test_hidden_matches(spark):
@@ -30,3 +30,38 @@ def test_hidden_matches(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
     got = {x.doc_id: {z for s in x.spans for z in range(s.begin, s.end)} for x in suffix_dedup.repeated_spans(df).collect()}
     assert len(want) == 12 and got == dict(want)
+
+
+def best_score(a, b):
+    """Of all diagonals' segments: matches less twice the others."""
+    top = 0
+    for shift in range(1 - len(b), len(a)):
+        run = 0
+        for i in range(max(0, -shift), min(len(b), len(a) - shift)):
+            run = max(0, run) + (1 if a[i + shift] == b[i] else -2)
+            top = max(top, run)
+    return top
+
+
+def test_short_and_substituted_items(spark):
+    r = np.random.default_rng(12)
+    fresh = lambda n: [f"w{x}" for x in r.integers(0, 1 << 40, n)]
+    items, docs = {}, {}
+    for n, changed in ((1, ()), (2, ()), (4, ()), (5, ()), (9, ()), (9, (4,)), (11, (5,)), (12, (6,)), (15, (4, 9)), (16, (5, 10)), (59, range(4, 59, 5)), (59, range(3, 59, 4)), (20, range(1, 20, 2))):
+        i = len(items)
+        items[i] = fresh(n)
+        docs[i] = fresh(30) + [f"x{i}" if p in changed else w for p, w in enumerate(items[i])] + fresh(30)
+    for i in range(100, 160):
+        items[i] = fresh(int(r.integers(10, 60)))
+        docs[i] = fresh(9) + [w if r.random() > .25 else "x" for w in items[i]] + fresh(9)
+    want = {}
+    for i, b in items.items():
+        score, n = best_score(docs[i], b), len(b)
+        if score >= (n if n < 10 else min(10, -(-n * 6 // 10))):
+            want[i] = (i, score)
+    assert set(range(13)) - set(want) == {5, 12}
+    rows = [(i, " ".join(w)) for i, w in docs.items()] + [(900, ""), (901, None), (902, " ")]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(900, ""), (901, None), (902, " ")], "item_id long, text string")
+    for limit in (10**6, 0):
+        got = {x.doc_id: (x.item_id, x.score) for x in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, broadcast_rows=limit).collect()}
+        assert got == want
