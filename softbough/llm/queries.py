@@ -1,11 +1,13 @@
 """The driver's queries on the operators, and their SQL where SQL can express them."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import block_ann, bt_quality, decontaminate, line_dedup, ngram_join, piece_codec, resharding, suffix_dedup, token_store, url_filter
-from ._common import table
+from ._common import shared_dir, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +33,16 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The old shards hold rows by their text's hash; law `bytes` over 24 new ones."""
+    """The old shards hold rows by their text's hash; law `bytes` over 24 new ones. Shard and slot are read from the files written."""
     old = F.pmod(F.xxhash64(F.lit("old"), "text"), F.lit(16))
-    placed = resharding.reshard(table(spark, sf_dir, "documents"), old)
+    docs = table(spark, sf_dir, "documents")
+    plan = resharding.BlockPlan(docs, old)
+    path = f"{shared_dir(spark)}/softbough-shards-{uuid.uuid4().hex}"
+    placed = plan.slots().where(~F.col("shard").isin(plan.affected))  # files that stay as they are
+    if resharding.rewrite_affected(docs, plan, path):
+        back = resharding.read_shards(spark, path, ["doc_id", "text"])
+        size, crc = (F.coalesce(F.octet_length("text"), F.lit(0)) + plan.overhead).cast("long"), F.crc32(F.coalesce("text", F.lit("")))
+        placed = placed.unionByName(back.select("doc_id", size.alias("size"), crc.alias("text_crc32"), old.cast("int").alias("old_shard"), "shard", "slot"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

@@ -5,7 +5,8 @@ Rows lie in old shards; new shards have capacities in bytes. Rows are gathered i
 parameters, reach the driver. There a minimum-cost flow from old shards to new ones
 finds how many bytes move between each two, at cost 0 for staying and 1 a byte for moving. Blocks
 are then cut along that flow, and a row's new shard and place follow from its block.
-Only files of shards that gain or lose rows are written again (rewrite_affected).
+Only files of shards that gain or lose rows are written again (rewrite_affected), in the order of their slots;
+read_shards reads them back, with shard and slot as they lie in the files.
 
 The law is `bytes`: shards' sizes are near equal. A block larger than 1 / grain of a
 capacity is split by document, so a group of equal texts that holds a third of all rows is spread.
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import store
+from ._common import n_parts, store
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost) -> np.ndarray:
@@ -66,53 +67,87 @@ def min_cost_flow(supply: list[int], demand: list[int], cost) -> np.ndarray:
     return flow
 
 
+class BlockPlan:
+    """Where rows go: place() adds shard and first_slot to rows; affected are the shards that gain or lose rows."""
+
+    def __init__(self, docs: DataFrame, old_shard, new_shards: int = 24, old_shards: int = 16, overhead: int = 8, blocks: int = 256, grain: int = 64) -> None:
+        self.old_shard, self.overhead, self.blocks = old_shard, overhead, blocks
+        self.spark = spark = docs.sparkSession
+        self.rows = store(self._keyed(docs, "doc_id").drop("__t"), "sizes")
+        whole = self.rows.groupBy("__old", "__block").agg(F.sum("__size").alias("bytes"))
+        total = whole.agg(F.sum("bytes")).first()[0] or 0
+        capacity = [total // new_shards + (j < total % new_shards) for j in range(new_shards)]
+        most = max(1, total // new_shards // grain)
+        self.big = whole.where(F.col("bytes") > most).select("__old", "__block", F.ceil(F.col("bytes") / most).cast("int").alias("__splits"))
+        found = sorted((r["__old"], r["__block"], r["__sub"], r.bytes, r.n) for r in self._split(self.rows).groupBy("__old", "__block", "__sub").agg(F.sum("__size").alias("bytes"), F.count("*").alias("n")).collect())
+        supply = [0] * old_shards
+        for o, _, _, size, _ in found:
+            supply[o] += size
+        flow = min_cost_flow(supply, capacity, lambda i, j: 0.0 if i == j else 1.0)
+        plan, need, next_slot = [], np.zeros(new_shards, np.int64), [0] * new_shards
+        for o in range(old_shards):
+            need += flow[o]
+            wanted = np.flatnonzero(flow[o])
+            for _, block, sub, size, n in sorted((x for x in found if x[0] == o), key=lambda x: (-x[3], x[1:3])):
+                j = int(wanted[np.argmax(need[wanted])])  # largest block first, to where most is still to come
+                need[j] -= size
+                plan.append((o, block, sub, j, next_slot[j]))
+                next_slot[j] += n
+        self.affected = sorted({s for o, _, _, j, _ in plan if o != j for s in (o, j)})
+        self.to = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], "__old int, __block int, __sub int, shard int, first_slot long")
+
+    def _keyed(self, docs: DataFrame, *keep) -> DataFrame:
+        text = F.xxhash64("text")
+        return docs.select(
+            *keep, (F.coalesce(F.octet_length("text"), F.lit(0)) + self.overhead).cast("long").alias("__size"), F.crc32(F.coalesce("text", F.lit(""))).alias("__crc"),
+            self.old_shard.cast("int").alias("__old"), text.alias("__t"), F.pmod(text, F.lit(self.blocks)).cast("int").alias("__block"),
+        )
+
+    def _split(self, rows: DataFrame) -> DataFrame:
+        rows = rows.join(F.broadcast(self.big), ["__old", "__block"], "left")  # at most old_shards * blocks rows
+        return rows.withColumn("__sub", F.expr("coalesce(pmod(xxhash64(doc_id), __splits), 0)").cast("int")).drop("__splits")
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        return self._split(rows).join(F.broadcast(self.to), ["__old", "__block", "__sub"])
+
+    def slots(self) -> DataFrame:
+        """(doc_id, size, text_crc32, old_shard, shard, slot) of all rows, as planned."""
+        within = Window.partitionBy("__old", "__block", "__sub").orderBy("doc_id", "__crc")
+        placed = self.place(self.rows).withColumn("at", F.row_number().over(within) - 1)
+        return placed.select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.col("__old").alias("old_shard"), "shard", (F.col("first_slot") + F.col("at")).alias("slot"))
+
+
 def reshard(docs: DataFrame, old_shard, new_shards: int = 24, old_shards: int = 16, overhead: int = 8, blocks: int = 256, grain: int = 64) -> DataFrame:
     """(doc_id, size, text_crc32, old_shard, shard, slot) for each row; slot counts from 0 in each shard, without gaps.
 
     old_shard is a column expression giving 0 .. old_shards - 1. Each old shard has `blocks` blocks, and a block over
     capacity / grain bytes is split into as many as needed: at most old_shards * blocks + new_shards * grain rows reach the driver.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
-        old_shard.cast("int").alias("old_shard"), F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int").alias("block"),
-    )
-    rows = store(rows, "sizes")
-    whole = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"))
-    total = whole.agg(F.sum("bytes")).first()[0] or 0
-    capacity = [total // new_shards + (j < total % new_shards) for j in range(new_shards)]
-    most = max(1, total // new_shards // grain)
-    big = whole.where(F.col("bytes") > most).select("old_shard", "block", F.ceil(F.col("bytes") / most).cast("int").alias("splits"))
-    rows = rows.join(F.broadcast(big), ["old_shard", "block"], "left")  # at most old_shards * blocks rows
-    rows = rows.withColumn("sub", F.expr("coalesce(pmod(xxhash64(doc_id), splits), 0)").cast("int")).drop("splits")
-    found = sorted((r.old_shard, r.block, r.sub, r.bytes, r.n) for r in rows.groupBy("old_shard", "block", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect())
-    supply = [0] * old_shards
-    for o, _, _, size, _ in found:
-        supply[o] += size
-    flow = min_cost_flow(supply, capacity, lambda i, j: 0.0 if i == j else 1.0)
-    by_old: dict = {}
-    for x in found:
-        by_old.setdefault(x[0], []).append(x)
-    plan, need, next_slot = [], np.zeros(new_shards, np.int64), [0] * new_shards
-    for o in range(old_shards):
-        need += flow[o]
-        wanted = np.flatnonzero(flow[o])
-        for _, block, sub, size, n in sorted((x for x in found if x[0] == o), key=lambda x: (-x[3], x[1:3])):
-            j = int(wanted[np.argmax(need[wanted])])  # largest block first, to where most is still to come
-            need[j] -= size
-            plan.append((o, block, sub, j, next_slot[j]))
-            next_slot[j] += n
-    to = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], "old_shard int, block int, sub int, shard int, first_slot long")
-    within = Window.partitionBy("old_shard", "block", "sub").orderBy("doc_id", "text_crc32")
-    placed = rows.withColumn("at", F.row_number().over(within) - 1).join(F.broadcast(to), ["old_shard", "block", "sub"])
-    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first_slot") + F.col("at")).alias("slot"))
-
-
-def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Writes the rows of all new shards that differ from the old shard of the same number, one folder a shard; returns these shards."""
-    moved = placed.where("old_shard <> shard").selectExpr("explode(array(old_shard, shard)) as s").distinct()
-    affected = sorted(r.s for r in moved.collect())
-    chosen = placed.where(F.col("shard").isin(affected)).select(F.col("doc_id").alias("__d"), F.col("text_crc32").alias("__c"), "shard", "slot").dropDuplicates(["__d", "__c"])
-    out = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.crc32(F.coalesce(docs["text"], F.lit(""))) == F.col("__c"))).drop("__d", "__c")
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return affected
+    return BlockPlan(docs, old_shard, new_shards, old_shards, overhead, blocks, grain).slots()
+
+
+def rewrite_affected(docs: DataFrame, plan: BlockPlan, path: str) -> list[int]:
+    """Writes the rows of all shards that gain or lose some, in the order of their slots, one folder a shard; returns these shards.
+
+    Every row is written, repeated ones too, with its own columns; one named shard gives way to the new shard.
+    """
+    own = [c for c in docs.columns if c.lower() != "shard"]
+    placed = plan.place(plan._keyed(docs, *own)).where(F.col("shard").isin(plan.affected))
+    order = ["shard", "first_slot", "doc_id", "__crc"]
+    dealt = placed.repartitionByRange(n_parts(plan.spark), *order).sortWithinPartitions(*order)
+    dealt.select(*own, "shard").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return plan.affected
+
+
+def read_shards(spark, path: str, columns) -> DataFrame:
+    """The columns of the rows in the shards' files, with shard and slot: the row's place in its file after the files before."""
+    read = spark.read.parquet(path)
+    rows = read.select(*columns, F.col("shard").cast("int").alias("shard"), F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    ends = rows.groupBy("shard", "__file").agg(F.count("*").alias("n")).collect()  # at most a file for each partition and shard
+    before: dict = {}
+    starts = []
+    for r in sorted(ends, key=lambda r: (r.shard, int(r["__file"].split("-")[1]))):  # part numbers are in the order of the ranges
+        starts.append((r.shard, r["__file"], before.get(r.shard, 0)))
+        before[r.shard] = starts[-1][2] + r.n
+    starts = spark.createDataFrame(starts, "shard int, __file string, __first long")
+    return rows.join(F.broadcast(starts), ["shard", "__file"]).select(*columns, "shard", (F.col("__first") + F.col("__at")).alias("slot"))
