@@ -9,7 +9,8 @@ Only files of shards that gain or lose rows are written again (rewrite_affected)
 read_shards reads them back, with shard and slot as they lie in the files.
 
 The law is `bytes`: shards' sizes are near equal. A block larger than 1 / grain of a
-capacity is split by document, so a group of equal texts that holds a third of all rows is spread.
+capacity is split by text; only the rows of one text that alone takes over 1 / hot of a capacity are split by document,
+so a group of equal texts that holds a third of all rows is spread, and all others stay together.
 Edge cases: null or empty text counts its overhead only, its checksum is 0; null
 doc_id rows are placed like others; repeated rows are all placed; an empty table gives no rows. Further columns are not read.
 """
@@ -70,15 +71,25 @@ def min_cost_flow(supply: list[int], demand: list[int], cost) -> np.ndarray:
 class BlockPlan:
     """Where rows go: place() adds shard and first_slot to rows; affected are the shards that gain or lose rows."""
 
-    def __init__(self, docs: DataFrame, old_shard, new_shards: int = 24, old_shards: int = 16, overhead: int = 8, blocks: int = 256, grain: int = 64) -> None:
+    def __init__(self, docs: DataFrame, old_shard, new_shards: int = 24, old_shards: int = 16, overhead: int = 8, blocks: int = 256, grain: int = 64, hot: int = 4) -> None:
         self.old_shard, self.overhead, self.blocks = old_shard, overhead, blocks
         self.spark = spark = docs.sparkSession
-        self.rows = store(self._keyed(docs, "doc_id").drop("__t"), "sizes")
+        self.rows = store(self._keyed(docs, "doc_id"), "sizes")
         whole = self.rows.groupBy("__old", "__block").agg(F.sum("__size").alias("bytes"))
         total = whole.agg(F.sum("bytes")).first()[0] or 0
         capacity = [total // new_shards + (j < total % new_shards) for j in range(new_shards)]
         most = max(1, total // new_shards // grain)
-        self.big = whole.where(F.col("bytes") > most).select("__old", "__block", F.ceil(F.col("bytes") / most).cast("int").alias("__splits"))
+        big = whole.where(F.col("bytes") > most)
+        large = self.rows.join(F.broadcast(big.select("__old", "__block")), ["__old", "__block"]).groupBy("__old", "__block", "__t").agg(F.sum("__size").alias("bytes"))
+        large = sorted((r["__old"], r["__block"], r["__t"], r.bytes) for r in large.where(F.col("bytes") > max(most, total // new_shards // hot)).collect())  # at most new_shards * hot
+        left = {(r["__old"], r["__block"]): r.bytes for r in big.collect()}  # at most old_shards * blocks
+        self.hot, base = [], 1
+        for o, block, t, size in large:
+            left[o, block] -= size
+            self.hot.append((o, block, t, base, -(-size // most)))
+            base += self.hot[-1][-1]
+        self.big = spark.createDataFrame([(o, block, max(1, -(-size // most))) for (o, block), size in left.items()], "__old int, __block int, __splits int")
+        self.hot = spark.createDataFrame(self.hot, "__old int, __block int, __t long, __base int, __parts int")
         found = sorted((r["__old"], r["__block"], r["__sub"], r.bytes, r.n) for r in self._split(self.rows).groupBy("__old", "__block", "__sub").agg(F.sum("__size").alias("bytes"), F.count("*").alias("n")).collect())
         supply = [0] * old_shards
         for o, _, _, size, _ in found:
@@ -104,8 +115,9 @@ class BlockPlan:
         )
 
     def _split(self, rows: DataFrame) -> DataFrame:
-        rows = rows.join(F.broadcast(self.big), ["__old", "__block"], "left")  # at most old_shards * blocks rows
-        return rows.withColumn("__sub", F.expr("coalesce(pmod(xxhash64(doc_id), __splits), 0)").cast("int")).drop("__splits")
+        rows = rows.join(F.broadcast(self.big), ["__old", "__block"], "left").join(F.broadcast(self.hot), ["__old", "__block", "__t"], "left")
+        sub = "case when __parts is not null then -(__base + pmod(xxhash64(doc_id), __parts)) else coalesce(pmod(xxhash64(__t), __splits), 0) end"
+        return rows.withColumn("__sub", F.expr(sub).cast("int")).drop("__splits", "__base", "__parts")
 
     def place(self, rows: DataFrame) -> DataFrame:
         return self._split(rows).join(F.broadcast(self.to), ["__old", "__block", "__sub"])
@@ -117,13 +129,14 @@ class BlockPlan:
         return placed.select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.col("__old").alias("old_shard"), "shard", (F.col("first_slot") + F.col("at")).alias("slot"))
 
 
-def reshard(docs: DataFrame, old_shard, new_shards: int = 24, old_shards: int = 16, overhead: int = 8, blocks: int = 256, grain: int = 64) -> DataFrame:
+def reshard(docs: DataFrame, old_shard, new_shards: int = 24, old_shards: int = 16, overhead: int = 8, blocks: int = 256, grain: int = 64, hot: int = 4) -> DataFrame:
     """(doc_id, size, text_crc32, old_shard, shard, slot) for each row; slot counts from 0 in each shard, without gaps.
 
     old_shard is a column expression giving 0 .. old_shards - 1. Each old shard has `blocks` blocks, and a block over
-    capacity / grain bytes is split into as many as needed: at most old_shards * blocks + new_shards * grain rows reach the driver.
+    capacity / grain bytes is split into as many as needed, by text; texts over capacity / hot by document: at most
+    old_shards * blocks + 2 * new_shards * grain rows, and new_shards * hot texts, reach the driver.
     """
-    return BlockPlan(docs, old_shard, new_shards, old_shards, overhead, blocks, grain).slots()
+    return BlockPlan(docs, old_shard, new_shards, old_shards, overhead, blocks, grain, hot).slots()
 
 
 def rewrite_affected(docs: DataFrame, plan: BlockPlan, path: str) -> list[int]:

@@ -88,3 +88,16 @@ def test_shards_are_written_and_read_back(spark, tmp_path):
     for r in out.collect():
         by[r.shard].append(r.slot)
     assert sum(map(len, by.values())) == len(rows) and all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
+def test_copies_stay_together(spark):
+    """Of equal texts, only a group too large to balance is spread over shards, whatever else its block holds."""
+    texts = ["hot " * 50] * 900 + [f"group {g} " * 20 for g in range(60) for _ in range(12)] + [f"{i} " * (30 + i % 50) for i in range(600)] + ["long " * 2000] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = resharding.reshard(docs, F.pmod(F.xxhash64("text"), F.lit(4)), 6, 4, blocks=8).collect()
+    shards, sizes = collections.defaultdict(set), collections.Counter()
+    for r in got:
+        shards[texts[r.doc_id]].add(r.shard)
+        sizes[r.shard] += r.size
+    assert {t[:5] for t, s in shards.items() if len(s) > 1} == {"hot h"}
+    assert max(sizes.values()) < 1.15 * sum(sizes.values()) / 6
