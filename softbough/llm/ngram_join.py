@@ -3,9 +3,9 @@
 Every document is the set of its distinct k-word shingles. Shingles have one global
 order: rare ones by hash first, frequent ones by count last. Two sets with Jaccard
 similarity t or more share a shingle among their first n - ceil(t n) + 1 ones. Documents
-with identical prefixes and size form one group; only pairs of groups that pass the
-size and position filters are expanded to members, and every member pair is verified on
-the whole sets.
+with identical prefixes and size are one group within a flush of one task only; groups are expanded
+to members before pairs are formed, the size and position filters run on member pairs, and what passes is verified on
+the whole sets. Groups over all tasks, filtered as pairs before they are expanded, are not built.
 
 Before that, parity signatures (whose differing bits are at most the elements apart, so nothing is lost) drop most pairs
 without moving sets. They have a bit or more for each element, as shorter ones say nothing of long texts; wider ones fold to narrower. A posting list with few members gives all its pairs. A long list (near copies, boilerplate) gives
