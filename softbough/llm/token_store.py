@@ -47,9 +47,7 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _made[path] = t
+        _made[path] = Tokenizer.from_file(path)
     return _made[path]
 
 
@@ -129,10 +127,12 @@ def _distinct_ids(units: pa.Array, path: str, most: int = 1_500_000):
 
 
 def encode_column(texts: pa.Array, path: str):
-    """(ids, offsets) of a string column. Nulls are empty texts."""
+    """(ids, offsets) of a string column. Nulls are empty texts; texts that hold an added token (<|endoftext|>) are encoded whole."""
     texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "")
     texts = texts.cast(pa.large_string())
     tight = pc.match_substring_regex(texts, r" [\s\x0b\x{85}\p{Z}]|[\s\x0b\x{85}\p{Z}] ")
+    for token in _tokenizer(path).get_added_tokens_decoder().values():
+        tight = pc.or_(tight, pc.match_substring(texts, token.content))
     units = pc.split_pattern(pc.if_else(tight, "", texts), " ")
     starts = units.offsets.to_numpy()
     firsts = starts[:-1]  # splitting gives one unit at least; a text's first unit has no space before it

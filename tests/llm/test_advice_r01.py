@@ -1,10 +1,11 @@
 """Cases of the review of round 1, against brute force."""
 import collections
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from softbough.llm import decontaminate, queries, resharding, suffix_dedup
+from softbough.llm import decontaminate, queries, resharding, suffix_dedup, token_store
 
 
 def test_hidden_matches(spark):
@@ -101,3 +102,16 @@ def test_copies_stay_together(spark):
         sizes[r.shard] += r.size
     assert {t[:5] for t, s in shards.items() if len(s) > 1} == {"hot h"}
     assert max(sizes.values()) < 1.15 * sum(sizes.values()) / 6
+
+
+def test_special_tokens_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = token_store.tokenizer_file()
+    tok = Tokenizer.from_file(path)
+    texts = ["a b <|endoftext|> c d", "<|endoftext|>", "x<|endoftext|>y  z", "plain words, here.", "<|endoftext", None, ""]
+    segments, dictionary = token_store.write_store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.read_store(segments, dictionary, digest=True).collect()}
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
