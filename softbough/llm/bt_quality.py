@@ -1,9 +1,9 @@
 """Quality classifier: Bradley-Terry ranking on pairs of documents.
 
-A document's features are whole-text statistics (character classes, words, lines, repetition) and hashed word-shape
-counts. Preference pairs join each labelled good document with bad ones; a logistic loss on feature differences
+A document's features are whole-text statistics (character classes, words, lines, repetition), 28 in all, none hashed.
+Preference pairs join each labelled good document with bad ones; a logistic loss on feature differences
 gives weights, so that w.x ranks documents. The rank score is then put on a 0-1 scale by a monotone logistic fit on the same rows,
-and a threshold is a score or a quantile of the scores (threshold_at_quantile).
+and the query and the pipeline cut at a score of 0.3; threshold_at_quantile gives a quantile of the scores, but nothing calls it yet.
 
 Training uses at most `most_labels` labelled rows (the smallest hashes of doc_id), a documented bound; scoring takes in
 every whole text and is one narrow pass.
