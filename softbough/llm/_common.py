@@ -3,12 +3,31 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def process_cache() -> dict:
+    """What a Python worker keeps between tasks. Functions reach it by value, so their modules' own variables are new in each task."""
+    return sys.__dict__.setdefault("_softbough_kept", {})
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession, size: int = 16 << 20):
+    """Arrow batches of about so many bytes at most for what runs inside, whatever the rows' width."""
+    was = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if was is None else spark.conf.set(_BATCH, was)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.sparkContext.getCheckpointDir()
     if where:
         return where.rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors and the driver share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="softbough-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -33,7 +54,8 @@ def store(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/softbough-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with bounded_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -48,5 +70,11 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Sees to it that checkpoint() has a folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

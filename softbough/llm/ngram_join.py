@@ -2,17 +2,20 @@
 
 Every document is the set of its distinct k-word shingles. Shingles have one global
 order: rare ones by hash first, frequent ones by count last. Two sets with Jaccard
-similarity t or more share a shingle among their first n - ceil(t n) + 1 ones. Documents
-with identical prefixes and size are one group within a flush of one task only; groups are expanded
-to members before pairs are formed, the size and position filters run on member pairs, and what passes is verified on
-the whole sets. Groups over all tasks, filtered as pairs before they are expanded, are not built.
-
-Before that, parity signatures (whose differing bits are at most the elements apart, so nothing is lost) drop most pairs
-without moving sets. They have a bit or more for each element, as shorter ones say nothing of long texts; wider ones fold to narrower. A posting list with few members gives all its pairs. A long list (near copies, boilerplate) gives
-a star first: members that the star already connects need no further pairs, and what it leaves
-unconnected is starred around another hub and, at last, paired across components in blocks. So links between
-different texts that matter for the components are all verified, but the pairs inside
-a large group of copies are never emitted.
+similarity t or more share a shingle among their first n - ceil(t n) + 1 ones, their prefixes.
+
+1. Equal sets are one class, named by its smallest doc_id. Classes with identical prefix and size are one group, over
+   all tasks: one row with the prefix for each group goes into the posting lists, however many documents it stands for.
+2. In each posting list, pairs of groups are filtered by size and by the places of the common shingle. A list that stands for
+   few classes gives all its pairs. A long one (near copies, boilerplate) gives stars: each group is paired with the lists' hubs,
+   of which it keeps the first in a random order, for two such orders; so a group has two such pairs at most.
+3. Surviving group pairs are expanded to members (stars: to all members of the one and the hub's first), dropped if parity signatures tell
+   enough differing elements (never a link), and verified on the whole sets.
+4. Long lists whose members are in one component by now are done. The others get a star around another hub, and what that
+   leaves is paired across components, in blocks of bounded size: all members outside the list's largest component against all others.
+
+So every link between different texts that matters for the components is verified, but pairs inside a large group of
+copies are never emitted. Lists of very frequent shingles are dealt in pieces, each with hubs of its own, which step 4 brings together.
 
 Nulls and edge cases: a null or empty text, or one of white space, is the empty set and links with nothing;
 a text with fewer than k words is one shingle; equal sets are one class; rows without doc_id are
@@ -34,8 +37,9 @@ from .components import connected_components
 
 FLUSH = 1_500_000
 BITS = 1024
-_SETS = "doc_id long, n int, s1 long, s2 long, sig binary, wide binary, part int, block binary"
-_SET_TYPES = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary()), ("wide", pa.binary()), ("part", pa.int32()), ("block", pa.binary())])
+_SEEDS = (0, 0x5851F42D4C957F2D)
+_SETS = "doc_id long, n int, s1 long, s2 long, g long, sig binary, prefix binary"
+_SET_TYPES = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("g", pa.int64()), ("sig", pa.binary()), ("prefix", pa.binary())])
 
 
 def _scan_frequent(k: int):
@@ -81,104 +85,126 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def signature(u: np.ndarray, bits: int = BITS) -> bytes:
-    """Parity of the set's hashes in each of `bits` bins, a power of two. Two signatures differ in at most as many bits as the sets have elements apart."""
+def signature(u: np.ndarray) -> bytes:
+    """Parity of the set's hashes in each of 2**i bins, BITS at least and one for each element. Two signatures differ in at most as many bits as the sets have elements apart."""
+    bits = max(BITS, 1 << (len(u) - 1).bit_length()) if len(u) else BITS
     return np.packbits((np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def wide_signature(u: np.ndarray) -> bytes | None:
-    """The signature with a bit or more for each element, where that is more than BITS."""
-    return signature(u, 1 << (len(u) - 1).bit_length()) if len(u) > BITS else None
-
-
 def fold(sig: np.ndarray, words: int) -> np.ndarray:
     """The same set's signature of `words` 64-bit words, from a wider one."""
     return np.bitwise_xor.reduce(sig.reshape(-1, words), axis=0)
 
 
-def _scan_sets(k, num, den, parts, frequent):
-    def rows(columns: dict):
-        m = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(m, f.type) for f in _SET_TYPES], schema=_SET_TYPES)
-
-    def postings(groups):
-        """One block: the groups' prefixes dealt by token; each part has its groups with their members."""
-        prefixes = [p for p, _, _ in groups]
-        lens = np.array([len(p) for p in prefixes])
-        tok = np.concatenate(prefixes)
-        group = np.repeat(np.arange(len(groups)), lens)
-        pos = np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens)
-        to = ((tok >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[order], np.arange(parts + 1))
-        n = np.array([n for _, n, _ in groups], np.int64)
-        count = np.array([len(m) for _, _, m in groups], np.int64)
-        member = np.array([x for _, _, m in groups for x in m.values()], np.int64).reshape(-1, 2)
-        first = np.cumsum(count) - count
-        for p in range(parts):
-            o = order[cut[p] : cut[p + 1]]
-            if len(o):
-                have, local = np.unique(group[o], return_inverse=True)
-                at = np.repeat(first[have] - (np.cumsum(count[have]) - count[have]), count[have]) + np.arange(count[have].sum())
-                yield p, _pack(n[have], count[have], member[at], tok[o], local, pos[o])
-
+def _scan_sets(k, num, den, frequent):
     def run(batches):
         ftok, fcnt = frequent.value
-        out: dict = {"doc_id": [], "n": [], "s1": [], "s2": [], "sig": [], "wide": []}
-        groups: dict = {}
+        seen: set = set()
+        out: dict = {f.name: [] for f in _SET_TYPES}
         size = 0
 
         def flush():
-            nonlocal groups, size, out
-            if out["doc_id"]:
-                yield rows(out)
-            if groups:
-                where, blobs = zip(*postings(list(groups.values())))
-                yield rows({"part": where, "block": blobs})
-            groups, size = {}, 0
-            out = {x: [] for x in out}
+            got = pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _SET_TYPES], schema=_SET_TYPES)
+            for x in out.values():
+                x.clear()
+            return got
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
             for a, raw, offs in chunks(batch.column("text")):
                 for d, u in enumerate(shingle_sets(raw, offs, k), a):
-                    n, doc = len(u), keys[d]
+                    n = len(u)
                     s1, s2 = np.frombuffer(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), np.int64).tolist()
-                    for x, y in (("doc_id", doc), ("n", n), ("s1", s1), ("s2", s2), ("sig", signature(u)), ("wide", wide_signature(u))):
-                        out[x].append(y)
-                    if not n:
-                        continue
-                    if len(ftok):
-                        at = np.minimum(np.searchsorted(ftok, u), len(ftok) - 1)
-                        often = ftok[at] == u
-                        if often.any():
-                            late = u[often]
-                            u = np.concatenate([u[~often], late[np.argsort(fcnt[at[often]], kind="stable")]])
-                    prefix = u[: prefix_length(n, num, den)]
-                    key = hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest()
-                    if key not in groups:  # documents with identical prefix and size
-                        groups[key] = (prefix, n, {})
-                        size += len(prefix)
-                    members = groups[key][2]
-                    if s1 not in members or doc < members[s1][0]:  # of equal sets the smallest doc_id
-                        members[s1] = (doc, s1)
-                if size > FLUSH or len(out["doc_id"]) > 50_000:
-                    yield from flush()
-        yield from flush()
+                    sig, g, prefix = signature(u), 0, None
+                    if n:
+                        if len(ftok):
+                            at = np.minimum(np.searchsorted(ftok, u), len(ftok) - 1)
+                            often = ftok[at] == u
+                            if often.any():
+                                late = u[often]
+                                u = np.concatenate([u[~often], late[np.argsort(fcnt[at[often]], kind="stable")]])
+                        prefix = u[: prefix_length(n, num, den)].tobytes()
+                        g = int.from_bytes(hashlib.blake2b(prefix + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
+                        if g in seen:  # this task has given the group's prefix
+                            prefix = None
+                        else:
+                            seen.add(g)
+                            size += len(prefix)
+                    for x, y in zip(out.values(), (keys[d], n, s1, s2, g, sig, prefix)):
+                        x.append(y)
+                    size += len(sig)
+                if size > 8 * FLUSH or len(out["n"]) > 50_000:
+                    yield flush()
+                    size = 0
+                    if len(seen) > 500_000:
+                        seen.clear()
+        if out["n"]:
+            yield flush()
+
+    return run
+
+
+def _postings(parts: int, hot):
+    """Rows of (g, n, m, prefix), sorted by g with its number of classes first -> blocks of postings, dealt by shingle."""
+
+    def deal(held):
+        g, n, m, prefixes = zip(*held)
+        lens = np.array([len(p) // 8 for p in prefixes])
+        tok = np.frombuffer(b"".join(prefixes), np.uint64)
+        g, group = np.array(g, np.int64), np.repeat(np.arange(len(held)), lens)
+        pos = np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens)
+        piece = np.zeros(len(tok), np.uint64)  # 0: the whole list; pieces of a hot shingle's count from 1
+        htok, pieces = hot.value
+        if len(htok):
+            at = np.minimum(np.searchsorted(htok, tok), len(htok) - 1)
+            is_hot = htok[at] == tok
+            piece[is_hot] = mix(g[group[is_hot]].view(np.uint64)) % pieces[at[is_hot]] + np.uint64(1)
+        to = (mix(tok + piece) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(parts + 1))
+        n, m = np.array(n, np.uint32), np.array(m, np.uint32)
+        full = np.flatnonzero(cut[1:] > cut[:-1])
+        blobs = []
+        for p in full:
+            o = order[cut[p] : cut[p + 1]]
+            have, local = np.unique(group[o], return_inverse=True)
+            blobs.append(_pack(g[have], tok[o], n[have], m[have], local, pos[o], piece[o]))
+        return pa.RecordBatch.from_pydict({"part": pa.array(full, pa.int32()), "block": pa.array(blobs, pa.binary())})
+
+    def run(batches):
+        held, size, last, many, done = [], 0, None, 1, False
+        for batch in batches:
+            for g, n, m, prefix in zip(*(batch.column(c).to_pylist() for c in ("g", "n", "m", "prefix"))):
+                if g != last:
+                    last, many, done = g, 1, False
+                if prefix is None:
+                    many = min(m, 1 << 31)
+                elif not done:
+                    done = True
+                    held.append((g, n, many, prefix))
+                    size += len(prefix)
+            if size > 8 * FLUSH:
+                yield deal(held)
+                held, size = [], 0
+        if held:
+            yield deal(held)
 
     return run
 
 
-def _pack(n, count, member, tok, local, pos) -> bytes:
-    head = np.array([len(n), len(member), len(tok)], np.int64)
-    return b"".join((head.tobytes(), member[:, 0].tobytes(), member[:, 1].tobytes(), tok.tobytes(), n.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), pos.astype(np.uint32).tobytes()))
+_FIELDS = (np.int64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
+
+
+def _pack(g, tok, n, m, local, pos, piece) -> bytes:
+    """Groups' ids, shingles, groups' sizes and numbers of classes; for each shingle its group here, its place in the prefix and its piece."""
+    return np.array([len(g), len(tok)], np.int64).tobytes() + b"".join(x.astype(t).tobytes() for x, t in zip((g, tok, n, m, local, pos, piece), _FIELDS))
 
 
 def _unpack(blob):
-    g, m, t = np.frombuffer(blob, np.int64, 3).tolist()
-    out, at = [], 24
-    for kind, length in ((np.int64, m), (np.int64, m), (np.uint64, t), (np.uint32, g), (np.uint32, g), (np.uint32, t), (np.uint32, t)):
-        out.append(np.frombuffer(blob, kind, length, at))
+    groups, tokens = np.frombuffer(blob, np.int64, 2).tolist()
+    out, at = [], 16
+    for t, length in zip(_FIELDS, (groups, tokens, groups, groups, tokens, tokens, tokens)):
+        out.append(np.frombuffer(blob, t, length, at))
         at += out[-1].nbytes
     return out
 
@@ -190,93 +216,107 @@ def passes(na, pa_, nb, pb, num, den):
     return (small * den >= large * num) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need)
 
 
+_FOUND = "kind int, a long, b long, token long, n int, pos int"
+
+
+def _found(kind, a, b=None, token=None, n=None, pos=None):
+    size = len(a)
+    column = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x.astype(t.to_pandas_dtype()), t)
+    return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(size, kind, np.int32)), "a": column(a, pa.int64()), "b": column(b, pa.int64()), "token": column(token, pa.int64()), "n": column(n, pa.int32()), "pos": column(pos, pa.int32())})
+
+
 def _match(num, den, short):
-    """One partition's posting lists -> pairs (kind 0) and the members of long lists (kind 1)."""
+    """Blocks sorted by part -> group pairs of short lists (kind 0), the groups of long lists (1), hubs of groups (2 + order; token is the hub's place in it), groups to be paired in themselves (9)."""
 
     def one(blobs):
         got = [_unpack(b) for b in blobs]
-        goff = np.cumsum([0] + [len(g[3]) for g in got])
-        doc_of, s1_of, tok, n_of, count = (np.concatenate([g[i] for g in got]) for i in range(5))
-        who = np.concatenate([g[5] + b for g, b in zip(got, goff)]).astype(np.int64)
-        pos = np.concatenate([g[6] for g in got])
+        first = np.cumsum([0] + [len(x[0]) for x in got])
+        g, tok, n, m, _, pos, piece = (np.concatenate([x[i] for x in got]) for i in range(7))
+        who = np.concatenate([x[4] + b for x, b in zip(got, first)])
         got = None
-        count = count.astype(np.int64)
-        order = np.argsort(tok, kind="stable")
-        tok, who, pos = tok[order], who[order], pos[order]
-        twin = np.zeros(len(tok), bool)
-        twin[1:] = tok[1:] == tok[:-1]
-        twin[:-1] |= twin[1:]
-        twin |= count[who] > 1
-        tok, who, pos = tok[twin], who[twin], pos[twin]
-        # groups in a list are expanded to members; of equal sets the smallest doc_id stays
-        first, times = np.cumsum(count) - count, count[who]
-        member = np.repeat(first[who] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        tok, pos, n, doc, s1 = np.repeat(tok, times), np.repeat(pos, times), np.repeat(n_of[who], times).astype(np.int64), doc_of[member], s1_of[member]
-        order = np.lexsort((doc, s1, n, tok))
-        tok, doc, s1, n, pos = (x[order] for x in (tok, doc, s1, n, pos))
-        first = np.ones(len(tok), bool)
-        first[1:] = (tok[1:] != tok[:-1]) | (s1[1:] != s1[:-1]) | (n[1:] != n[:-1])
-        tok, doc, n, pos = tok[first], doc[first], n[first], pos[first].astype(np.int64)
-        begin = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
-        size = np.diff(np.concatenate([begin, [len(tok)]]))
+        order = np.lexsort((piece, tok))
+        tok, piece, who, pos = tok[order], piece[order], who[order], pos[order]
+        new = np.ones(len(tok), bool)
+        new[1:] = (tok[1:] != tok[:-1]) | (piece[1:] != piece[:-1])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(tok)))
+        classes = np.add.reduceat(m[who].astype(np.int64), begin)
+        stay = (classes > 1) | (piece[begin] > 0)  # lists with something to pair
+        keep = np.repeat(stay, size)
+        tok, piece, who, pos = tok[keep], piece[keep], who[keep], pos[keep].astype(np.int64)
+        size, classes = size[stay], classes[stay]
+        begin = np.cumsum(size) - size
+        if not len(tok):
+            return
+        hot = (classes > short) | (piece[begin] > 0)
+        gs, ns = g[who], n[who].astype(np.int64)
         left, right = [], []
-        for d in range(1, short):  # all pairs of short lists, d apart
-            b, s = begin[(size > d) & (size <= short)], size[(size > d) & (size <= short)]
+        for d in range(short):  # all pairs of short lists, d apart; d = 0 pairs a group's own members
+            b, s = begin[~hot & (size > d)], size[~hot & (size > d)]
             if len(b):
                 i = np.repeat(b, s - d) + np.arange((s - d).sum()) - np.repeat(np.cumsum(s - d) - (s - d), s - d)
+                i = i[m[who[i]] > 1] if not d else i
                 left.append(i)
                 right.append(i + d)
-        long_ = np.repeat(size > short, size)
-        hub = np.zeros(len(tok), np.int64)
-        for b, s in zip(begin[size > short], size[size > short]):
-            hub[b : b + s] = b + np.argmin(mix(doc[b : b + s].view(np.uint64)))
-        i = np.flatnonzero(long_)
-        left.append(hub[i])
-        right.append(i)
-        i, j = np.concatenate(left), np.concatenate(right)
-        ok = (i != j) & passes(n[i], pos[i], n[j], pos[j], num, den)
-        a, b = np.minimum(doc[i[ok]], doc[j[ok]]), np.maximum(doc[i[ok]], doc[j[ok]])
-        if len(a):
-            pair = np.unique(np.stack([a, b], 1), axis=0)
-            m = len(pair)
-            yield pa.RecordBatch.from_pydict({"kind": np.zeros(m, np.int32), "a": pair[:, 0], "b": pair[:, 1], "token": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int32()), "pos": pa.nulls(m, pa.int32())})
-        i = np.flatnonzero(long_)
-        if len(i):
-            yield pa.RecordBatch.from_pydict({"kind": np.ones(len(i), np.int32), "a": doc[i], "b": pa.nulls(len(i), pa.int64()), "token": tok[i].view(np.int64), "n": n[i].astype(np.int32), "pos": pos[i].astype(np.int32)})
+        if left:
+            i, j = np.concatenate(left), np.concatenate(right)
+            ok = (i == j) | passes(ns[i], pos[i], ns[j], pos[j], num, den)
+            pair = np.unique(np.stack([np.minimum(gs[i[ok]], gs[j[ok]]), np.maximum(gs[i[ok]], gs[j[ok]])], 1), axis=0)
+            yield _found(0, pair[:, 0], pair[:, 1])
+        i = np.flatnonzero(np.repeat(hot, size))
+        if not len(i):
+            return
+        yield _found(1, gs[i], token=tok[i].view(np.int64), n=ns[i], pos=pos[i])
+        yield _found(9, np.unique(gs[i[m[who[i]] > 1]]))
+        lists = np.repeat(np.arange(hot.sum()), size[hot])
+        for kind, seed in enumerate(_SEEDS, 2):
+            place = mix(gs[i].view(np.uint64) ^ np.uint64(seed)) >> np.uint64(1)
+            order = np.lexsort((place, lists))
+            hub = order[np.flatnonzero(np.append(True, lists[order][1:] != lists[order][:-1]))][lists]
+            ok = (gs[i[hub]] != gs[i]) & passes(ns[i], pos[i], ns[i[hub]], pos[i[hub]], num, den)
+            a, b, place = gs[i[hub]][ok], gs[i][ok], place[hub][ok].view(np.int64)
+            order = np.lexsort((place, b))
+            order = order[np.append(True, b[order][1:] != b[order][:-1])[: len(order)]]
+            yield _found(kind, a[order], b[order], token=place[order])
 
     def run(batches):
-        mine: dict = {}
+        part, blobs = None, []
         for batch in batches:
-            for p, b in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist()):
-                mine.setdefault(p, []).append(b)
-        for p in list(mine):
-            yield from one(mine.pop(p))
+            for p, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist()):
+                if p != part and blobs:
+                    yield from one(blobs)
+                    blobs = []
+                part = p
+                blobs.append(block)
+        if blobs:
+            yield from one(blobs)
 
     return run
 
 
-_BLOOM = 24
-
-
-def _bloom_of(ids: DataFrame):
-    """A bitmap of 2**24 bits over hashed ids: passes every id of the table and a few others."""
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << _BLOOM))
-    words = ids.select(F.shiftright(h, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << _BLOOM}) & 31 as int))").alias("x"), h.alias("h"))
+def _bitmap_bits(spark, ids: DataFrame, most: int = 27) -> tuple[int, np.ndarray | None]:
+    """A bitmap over hashed ids with 16 bits or more for each: passes every id and few others. None if that takes over 2**most bits."""
+    bits = max(16, (16 * ids.count()).bit_length())
+    if bits > most:
+        return bits, None
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+    words = ids.select(F.shiftright(h, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << bits}) & 31 as int))").alias("x"))
     got = words.groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
-    bits = np.zeros(1 << (_BLOOM - 5), np.uint32)
-    bits[got["w"].to_numpy()] = got["x"].to_numpy().astype(np.uint32)
-    return bits
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[got["w"].to_numpy()] = got["x"].to_numpy().astype(np.uint32)
+    return bits, out
 
 
 def _emit_sets(k, bloom):
     def run(batches):
-        bits = bloom.value
+        bits = bloom.value if bloom else None
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            keep = np.flatnonzero((bits[h >> 5] >> (h & 31).astype(np.uint32)) & np.uint32(1))
-            if not len(keep):
-                continue
-            batch = batch.take(pa.array(keep))
+            if bits is not None:
+                h = batch.column("h").to_numpy()
+                keep = np.flatnonzero((bits[h >> 5] >> (h & 31).astype(np.uint32)) & np.uint32(1))
+                if not len(keep):
+                    continue
+                batch = batch.take(pa.array(keep))
             ids = batch.column("doc_id")
             for a, raw, offs in chunks(batch.column("text")):
                 sets = [u.tobytes() for u in shingle_sets(raw, offs, k)]
@@ -305,8 +345,13 @@ def _near(sa, sb, total, num, den):
     return np.bitwise_count(sa ^ sb).sum(-1, dtype=np.int64) * (den + num) <= total * (den - num)
 
 
-def _open_signatures(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def _narrow(column) -> np.ndarray:
+    """Signatures of BITS bits, one row each."""
+    out = np.empty((len(column), BITS // 64), np.uint64)
+    for i, x in enumerate(column):
+        x = np.frombuffer(x.as_buffer(), np.uint64)
+        out[i] = x if len(x) == BITS // 64 else fold(x, BITS // 64)
+    return out
 
 
 def _prefilter(num, den):
@@ -314,26 +359,29 @@ def _prefilter(num, den):
         for batch in batches:
             total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
             sa, sb = batch.column("ga"), batch.column("gb")
-            least = np.minimum(pc.binary_length(sa).to_numpy(), pc.binary_length(sb).to_numpy())
+            la, lb = pc.binary_length(sa).to_numpy(), pc.binary_length(sb).to_numpy()
             keep = np.zeros(len(total), bool)
-            narrow = np.maximum(pc.binary_length(sa).to_numpy(), pc.binary_length(sb).to_numpy()) == BITS // 8
+            narrow = np.maximum(la, lb) == BITS // 8
             at = pa.array(np.flatnonzero(narrow))
-            keep[narrow] = _near(_open_signatures(sa.take(at)), _open_signatures(sb.take(at)), total[narrow], num, den)
+            keep[narrow] = _near(_narrow(sa.take(at)), _narrow(sb.take(at)), total[narrow], num, den)
             for i in np.flatnonzero(~narrow):
-                x, y = (fold(np.frombuffer(c[int(i)].as_buffer(), np.uint64), least[i] // 8) for c in (sa, sb))
+                x, y = (fold(np.frombuffer(c[int(i)].as_buffer(), np.uint64), min(la[i], lb[i]) // 8) for c in (sa, sb))
                 keep[i] = _near(x, y, total[i], num, den)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
+_CELL = ("token", "i", "j", "doc", "n", "pos", "c", "block")
+
+
 def _cross(num, den, most=1 << 20):
-    """Pairs across components of the block pairs (token, i, j) of long lists."""
+    """Pairs across components of rows sorted by their cell (token, i, j), which has a few blocks' rows."""
 
-    def pairs(token_rows):
-        doc, n, pos, c, block, sig = token_rows
-        for s in range(0, len(doc), max(1, most // max(1, len(doc)))):
-            rows = np.arange(s, min(len(doc), s + max(1, most // max(1, len(doc)))))
+    def pairs(doc, n, pos, c, block, sig):
+        step = max(1, most // max(1, len(doc)))
+        for s in range(0, len(doc), step):
+            rows = np.arange(s, min(len(doc), s + step))
             i, j = np.nonzero((doc[rows][:, None] < doc[None]) & (c[rows][:, None] != c[None]) & ((block[rows][:, None] != block[None]) | (block.min() == block.max())))
             i = rows[i]
             ok = passes(n[i], pos[i], n[j], pos[j], num, den)
@@ -342,24 +390,41 @@ def _cross(num, den, most=1 << 20):
             yield np.stack([doc[i[ok]], doc[j[ok]]], 1)
 
     def run(batches):
-        rows = list(batches)
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows)
-        key = np.stack([t[x].to_numpy() for x in ("token", "i", "j")], 1)
-        order = np.lexsort(key.T[::-1])
-        cols = [t[x].to_numpy()[order].astype(np.int64) for x in ("doc", "n", "pos", "c", "block")] + [_open_signatures(t["sig"])[order]]
-        key = key[order]
-        cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-        held, size = [], 0
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
-            for p in pairs([x[a:b] for x in cols]):
-                held.append(p)
-                size += len(p)
-                if size > most:
-                    held, size = [np.unique(np.concatenate(held), axis=0)], 0
-        out = np.unique(np.concatenate(held), axis=0)
-        yield pa.RecordBatch.from_pydict({"a": out[:, 0], "b": out[:, 1]})
+        held, size, tail = [], 0, None
+
+        def given():
+            out = np.unique(np.concatenate(held), axis=0)
+            held.clear()
+            return pa.RecordBatch.from_pydict({"a": out[:, 0], "b": out[:, 1]})
+
+        def cells(cols, last):
+            """Cells but for the last one, which may go on in the next batch."""
+            key = np.stack(cols[:3], 1)
+            cut = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)
+            for a, b in zip(cut, np.append(cut[1:], len(key)) if last else cut[1:]):
+                yield [x[a:b] for x in cols[3:]]
+            cols[:] = [x[cut[-1] :] for x in cols]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(x).to_numpy().astype(np.int64) for x in _CELL] + [_narrow(batch.column("sig"))]
+            tail = cols if tail is None else [np.concatenate(x) for x in zip(tail, cols)]
+            for cell in cells(tail, False):
+                for p in pairs(*cell):
+                    held.append(p)
+                    size += len(p)
+                    if size > most:
+                        yield given()
+                        size = 0
+        if tail is not None:
+            for cell in cells(tail, True):
+                for p in pairs(*cell):
+                    held.append(p)
+                    if sum(map(len, held)) > most:
+                        yield given()
+        if held:
+            yield given()
 
     return run
 
@@ -367,79 +432,113 @@ def _cross(num, den, most=1 << 20):
 def cross_pairs(members: DataFrame, num: int, den: int, block: int = 1024) -> DataFrame:
     """All pairs (a, b) across components within the lists of members (token, doc, n, pos, c, sig) that pass the filters.
 
-    A list is dealt in blocks of about `block` members, and each pair of blocks is a unit of work of its own.
+    A list's largest component is dealt in blocks of about `block` members, the others (the minor ones) in blocks of their own. Each minor block
+    meets each other block in a cell of its own; blocks of the largest component don't meet, so near copies cost what lies apart from them.
     """
-    per = members.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    given = members.join(per, "token").withColumn("block", F.expr("cast(pmod(xxhash64(doc), nb) as int)"))
-    given = given.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    given = given.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    dealt = given.select("token", "doc", "n", "pos", "c", "sig", "block", "i", "j").repartition(n_parts(members.sparkSession), "token", "i", "j")
+    per = members.groupBy("token", "c").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
+    per = per.select("token", F.col("top.c").alias("major"), F.ceil(F.col("top.n") / block).cast("int").alias("majors"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("minors")).where("minors > 0")
+    given = members.join(per, "token").withColumn("is_major", F.col("c") == F.col("major"))
+    given = given.withColumn("block", F.expr("cast(if(is_major, -1 - pmod(xxhash64(doc), majors), pmod(xxhash64(doc), minors)) as int)"))
+    given = given.withColumn("other", F.explode(F.sequence(F.when(F.col("is_major"), 0).otherwise(-F.col("majors")), F.col("minors") - 1)))
+    given = given.withColumn("i", F.expr("if(block < 0, other, if(other < 0, block, least(block, other)))")).withColumn("j", F.expr("if(block < 0, block, if(other < 0, other, greatest(block, other)))"))
+    dealt = given.select(*_CELL, "sig").repartition(n_parts(members.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
     return dealt.mapInArrow(_cross(num, den), "a long, b long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of the (a, b) pairs that link. Sets are made again from the texts of the documents in pairs only."""
+    """Those of the (a, b) pairs that link. Sets are made again from the texts of the documents in pairs only, found by
+    a bitmap where there are a few million of them at most, by a join beyond."""
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    bloom = spark.sparkContext.broadcast(_bloom_of(ids))
-    given = docs.select("doc_id", "text", F.expr(f"pmod(xxhash64(doc_id), {1 << _BLOOM})").alias("h"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    bits, bitmap = _bitmap_bits(spark, ids)
+    if bitmap is None:
+        bloom, given = None, docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    else:
+        bloom, given = spark.sparkContext.broadcast(bitmap), docs.select("doc_id", "text", F.expr(f"pmod(xxhash64(doc_id), {1 << bits})").alias("h"))
     sets = store(given.mapInArrow(_emit_sets(k, bloom), "doc_id long, shingles binary"), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     out = store(both.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long"), "links")
     discard(sets)
-    bloom.destroy()
+    if bloom:
+        bloom.destroy()
     return out
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, most_frequent: int = 1 << 17, short: int = 4, star_rounds: int = 2) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, most_frequent: int = 1 << 17, short: int = 4, star_rounds: int = 2, list_rows: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; components of Jaccard similarity >= num / den.
 
-    most_frequent bounds the shingles that the order puts last (it changes cost, not results); lists of up
-    to `short` members give all pairs; star_rounds is how many hubs are tried for the others.
+    most_frequent bounds the shingles that the order puts last (it changes cost, not results); lists that stand for up
+    to `short` classes give all pairs; star_rounds is how many turns the others get, of which the last pairs across components. A task's
+    memory holds about list_rows postings, and a hot shingle's list is dealt in pieces of a fortieth of that.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    parts = n_parts(spark)
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k, most_frequent))
-    scan = store(docs.mapInArrow(_scan_sets(k, num, den, parts, frequent), _SETS), "postings")
+    tokens, counts = frequent_shingles(docs, k, most_frequent)
+    frequent = spark.sparkContext.broadcast((tokens, counts))
+    sets = store(docs.mapInArrow(_scan_sets(k, num, den, frequent), _SETS), "scan")
     frequent.destroy()
-    sets = store(scan.where("part is null").select("doc_id", "n", "s1", "s2", "sig", "wide"), "classes")
-    found = store(
-        scan.where("part is not null").select("part", "block").repartition(parts, "part")
-        .mapInArrow(_match(num, den, short), "kind int, a long, b long, token long, n int, pos int"), "pairs",
-    )
-    discard(scan)
-    signs = sets.select("doc_id", "n", F.coalesce("wide", "sig").alias("sig"))
-
-    def signed(pairs):
-        """Distinct pairs that the signatures leave open."""
-        pairs = pairs.distinct().join(signs.toDF("a", "na", "ga"), "a").join(signs.toDF("b", "nb", "gb"), "b")
-        return store(pairs.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(_prefilter(num, den), "a long, b long").distinct(), "candidates")
-
-    links = verified(docs, signed(found.where("kind = 0").select("a", "b")), k, num, den)
-    rest = found.where("kind = 1").select("token", F.col("a").alias("doc"), "n", "pos")
+    classes = store(sets.where("n > 0").groupBy("s1", "s2", "n", "g").agg(F.min("doc_id").alias("doc")), "classes")
+    groups = classes.groupBy("g").agg(F.count("*").alias("m"), F.min("doc").alias("lead")).where("m > 1")
+    named = classes.join(groups, "g", "left").select("doc", "s1", "s2", F.coalesce(F.col("lead") == F.col("doc"), F.lit(True)).alias("lead"))
+    # one row for each class: the document that stands for it, its group and whether it stands for that, too
+    members = store(sets.where("n > 0").select(F.col("doc_id").alias("doc"), "s1", "s2", "g", "n", "sig").join(named, ["doc", "s1", "s2"]).select("doc", "g", "n", "sig", "lead"), "members")
+    hot = counts > max(1000, list_rows // 40)
+    hot = spark.sparkContext.broadcast((tokens[hot], -(-counts[hot] // max(1000, list_rows // 40)).astype(np.uint64)))
+    total = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    parts = max(n_parts(spark), -(-total // (8 * list_rows)))
+    rows = sets.where("prefix is not null").select("g", "n", F.lit(None).cast("long").alias("m"), "prefix").unionByName(groups.select("g", F.lit(None).cast("int").alias("n"), "m", F.lit(None).cast("binary").alias("prefix")))
+    rows = rows.repartition(n_parts(spark), "g").sortWithinPartitions("g", F.desc_nulls_last("m"))
+    lists = store(rows.mapInArrow(_postings(parts, hot), "part int, block binary"), "postings")
+    found = store(lists.repartition(n_parts(spark), "part").sortWithinPartitions("part").mapInArrow(_match(num, den, short), _FOUND), "pairs")
+    discard(lists)
+    x = members.select(F.col("g").alias("gx"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga"))
+    y = members.select(F.col("g").alias("gy"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb"), "lead")
+
+    def expanded(pairs, stars):
+        """Pairs of members, which the signatures leave open: of all members of pairs (a, b), and of stars (a, b) the first of a with all of b."""
+        parts = [p.select(F.col("a").alias("gy"), F.col("b").alias("gx")).join(x, "gx").join(other, "gy") for p, other in ((pairs, y), (stars, y.where("lead"))) if p is not None]
+        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return left_open(both.where("a <> b"))
+
+    def left_open(pairs):
+        tested = pairs.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(_prefilter(num, den), "a long, b long")
+        return store(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+    hubs = found.where("kind between 2 and 8").groupBy("kind", "b").agg(F.min(F.struct("token", "a")).alias("h")).select(F.col("h.a").alias("a"), "b")
+    own = found.where("kind = 9").select("a", F.col("a").alias("b"))
+    candidates = expanded(found.where("kind = 0").select("a", "b").distinct(), hubs.unionByName(own).distinct())
+    links = verified(docs, candidates, k, num, den)
+    discard(candidates)
+    rest = found.where("kind = 1").select("token", F.col("a").alias("g"), "n", "pos")
     for turn in range(star_rounds):
         comp = connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("c"))
-        rest = rest.join(comp, "doc", "left").withColumn("c", F.coalesce("c", "doc"))
-        per = rest.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-        open_ = store(rest.join(per.where("lo < hi").select("token"), "token"), "open")
+        in_comp = members.select("doc", "g", "sig").join(comp, "doc", "left").withColumn("c", F.coalesce("c", "doc"))
+        rest = rest.join(in_comp.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "g")
+        per = rest.groupBy("token").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
+        open_ = store(rest.join(per.where("first < last").select("token"), "token"), "open")
+        if not turn:
+            discard(found)
         if not open_.take(1):
             break
-        if turn < star_rounds - 1:  # a star around the list's member that comes first in this turn's random order
-            key = F.struct(F.xxhash64("doc", F.lit(turn)), "doc", "n", "pos", "c")
-            hub = open_.groupBy("token").agg(F.min(key).alias("h")).select("token", F.expr("h.doc as hdoc"), F.expr("h.n as hn"), F.expr("h.pos as hpos"), F.expr("h.c as hc"))
-            pair = open_.join(hub, "token").where("c <> hc")
-            need = f"ceil({num} * (n + hn) / {num + den}D)"
-            pair = pair.where(f"least(n, hn) * {den} >= greatest(n, hn) * {num} and 1 + least(n - pos - 1, hn - hpos - 1) >= {need}")
-            pair = pair.select(F.least("doc", "hdoc").alias("a"), F.greatest("doc", "hdoc").alias("b"))
+        if turn < star_rounds - 1:  # each group with one hub: the first in this turn's random order of those its lists begin with
+            key = F.struct(F.xxhash64("g", F.lit(turn)).alias("at"), "g", "n", "pos", "lo", "hi")
+            hub = open_.groupBy("token").agg(F.min(key).alias("h"))
+            pair = open_.join(hub, "token").where("lo <> h.lo or hi <> h.hi or lo <> hi")
+            need = f"ceil({num} * (n + h.n) / {num + den}D)"
+            pair = pair.where(f"g = h.g or least(n, h.n) * {den} >= greatest(n, h.n) * {num} and 1 + least(n - pos - 1, h.n - h.pos - 1) >= {need}")
+            pair = pair.groupBy(F.col("g").alias("b")).agg(F.min(F.struct("h.at", "h.g")).alias("h")).select(F.col("h.g").alias("a"), "b")
+            candidates = expanded(None, pair)
         else:
-            pair = cross_pairs(open_.join(sets.select(F.col("doc_id").alias("doc"), "sig"), "doc"), num, den)
-        links = links.unionByName(verified(docs, signed(pair), k, num, den))
-        rest = open_.select("token", "doc", "n", "pos")
+            pair = cross_pairs(open_.select("token", "g", "n", "pos").join(in_comp, "g"), num, den).distinct()
+            signs = members.select("doc", "n", "sig")
+            candidates = left_open(pair.join(signs.toDF("a", "na", "ga"), "a").join(signs.toDF("b", "nb", "gb"), "b"))
+        more = verified(docs, candidates, k, num, den)
+        discard(candidates)
+        links = links.unionByName(more)
+        rest = open_.select("token", "g", "n", "pos")
     comp = connected_components(links)
-    classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(comp, classes.rep == comp.node, "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
-    named = sets.where("n > 0").join(classes, ["s1", "s2", "n"]).select("doc_id", "n", "component_id")
+    named = classes.join(comp, classes.doc == comp.node, "left").select("s1", "s2", "n", F.coalesce("component", "doc").alias("component_id"))
+    full = sets.where("n > 0").select("doc_id", "s1", "s2", "n").join(named, ["s1", "s2", "n"]).select("doc_id", "n", "component_id")
     empty = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return named.unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return full.unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
