@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import block_ann, bt_quality, decontaminate, line_dedup, ngram_join, piece_codec, resharding, suffix_dedup, token_store, url_filter
 from ._common import shared_dir, table
+from .oracles import SQL  # noqa: F401
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +73,3 @@ QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_url_filters, op4_benchmark_decontamination, op5_sentencepiece,
     op6_sharding, op7_token_store, op8_block_ann, op9_line_dedup, op10_quality_classifier,
 )}
-SQL: dict[str, str] = {}
