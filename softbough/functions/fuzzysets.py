@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Triangular:
-    """Support (a, c), peak at b; a or c None is an open shoulder."""
+    """Support (a, c), peak at b; a or c None is an open shoulder. NaN and null lie in no set."""
 
     a: float | None
     b: float
@@ -18,14 +18,15 @@ class Triangular:
     def membership(self, x: Column) -> Column:
         rise = F.lit(1.0) if self.a is None else (x - F.lit(self.a)) / F.lit(self.b - self.a)
         fall = F.lit(1.0) if self.c is None else F.lit(1.0) - (x - F.lit(self.b)) / F.lit(self.c - self.b)
-        return F.when(~self.in_support(x), 0.0).when(x <= self.b, rise).otherwise(fall)
+        return F.when(self.in_support(x) & (x <= self.b), rise).when(self.in_support(x), fall).otherwise(0.0)
 
     def in_support(self, x: Column) -> Column:
-        low = F.lit(True) if self.a is None else x > self.a
-        return low & (F.lit(True) if self.c is None else x < self.c)
+        number = x.isNotNull() & ~F.isnan(x.cast("double"))
+        low = number if self.a is None else number & (x > self.a)
+        return low if self.c is None else low & (x < self.c)
 
     def value(self, x: float) -> float:
-        if (self.a is not None and x <= self.a) or (self.c is not None and x >= self.c):
+        if x != x or (self.a is not None and x <= self.a) or (self.c is not None and x >= self.c):  # NaN differs from itself
             return 0.0
         if x <= self.b:
             return 1.0 if self.a is None else (x - self.a) / (self.b - self.a)

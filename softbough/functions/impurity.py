@@ -28,7 +28,7 @@ def entropy_value(masses) -> float:
     total = float(sum(masses))
     if total <= 0:
         return 0.0
-    return (sum(-w * math.log(w) for w in masses if w > 0) + total * math.log(total)) / (total * math.log(2))
+    return float((sum(-w * math.log(w) for w in masses if w > 0) + total * math.log(total)) / (total * math.log(2)))
 
 
 def weight(mass: Column, digits: int = 9) -> Column:
@@ -51,6 +51,16 @@ def class_weights(masses: Column) -> Column:
     return F.transform(masses, lambda m: F.when(total > 0, F.try_divide(m, total)).otherwise(0.0))
 
 
+def class_frequencies(counts: Column) -> Column:
+    """Each class's share of the row counts; 0 without rows."""
+    return class_weights(F.transform(counts, lambda f: f.cast("double")))
+
+
+def is_mono_label(counts: Column) -> Column:
+    """Whether rows of exactly one class are there."""
+    return F.size(F.filter(counts, lambda f: f > 0)) == 1
+
+
 IMPURITIES = {"fuzzy_entropy": (entropy, entropy_value)}
 
 

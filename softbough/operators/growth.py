@@ -51,6 +51,16 @@ def _groups(nodes: list, meta: Metadata):
     return [nodes[i : i + size] for i in range(0, len(nodes), size)]
 
 
+def node_arrays(rows, nodes, meta: Metadata) -> dict:
+    """node -> (masses, counts), for each feature an array bins x classes, from rows of node_stats()."""
+    empty = lambda: [np.zeros((meta.bins(f), meta.params.num_classes)) for f in range(meta.num_features)]
+    stats = {n: (empty(), empty()) for n in nodes}
+    for r in rows:
+        stats[r.node_id][0][r.feature][r.bin, r.label] = r.u
+        stats[r.node_id][1][r.feature][r.bin, r.label] = r.freq
+    return stats
+
+
 class FuzzyTreeClassifier:
     """fit(df, features, label) gives a FuzzyTreeModel. Features are numeric columns, categorical ones codes from 0."""
 
@@ -76,10 +86,7 @@ class FuzzyTreeClassifier:
                 allowed = spark.createDataFrame([(n, f, b if b is not None else [-1]) for n, f, b in used], _ALLOWED) if used else None
                 part = frontier if len(group) == len(open_) else frontier.where(F.col("node_id").isin([n.node_id for n in group]))
                 rows += node_stats(part, tnorm, allowed, not p.binary).collect()  # bounded by max_memory_mb a group
-            stats = {n.node_id: ([np.zeros((meta.bins(f), p.num_classes)) for f in range(meta.num_features)], [np.zeros((meta.bins(f), p.num_classes)) for f in range(meta.num_features)]) for n in open_}
-            for r in rows:
-                stats[r.node_id][0][r.feature][r.bin, r.label] = r.u
-                stats[r.node_id][1][r.feature][r.bin, r.label] = r.freq
+            stats = node_arrays(rows, [n.node_id for n in open_], meta)
             splits, grown = [], []
             for node in open_:
                 u, f = stats[node.node_id]

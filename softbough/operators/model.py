@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import json
+from copy import deepcopy
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +33,13 @@ class Node:
         total = float(self.u.sum())
         return [float(x) / total if total > 0 else 0.0 for x in self.u]
 
+    def frequencies(self) -> list[float]:
+        total = float(self.f.sum())
+        return [float(x) / total if total > 0 else 0.0 for x in self.f]
+
+    def is_mono_label(self) -> bool:
+        return int((self.f > 0).sum()) == 1
+
     def purity(self) -> float:
         total = float(self.u.sum())
         return float(self.u.max()) / total if total > 0 else float("nan")
@@ -118,9 +126,10 @@ class FuzzyTreeModel:
         count(self.nodes[1], {})
         return limit - left[0]
 
-    def walk(self, x: np.ndarray, tnorm) -> np.ndarray:
-        """Confidences rows x classes of a matrix of feature values; recursion over nodes, each with its rows."""
+    def walk(self, x: np.ndarray, tnorm) -> tuple[np.ndarray, np.ndarray]:
+        """Confidences rows x classes of a matrix of feature values, and which rows reach a leaf; recursion over nodes, each with its rows."""
         meta, out = self.meta, np.zeros((len(x), self.meta.params.num_classes))
+        arrived = np.zeros(len(x), bool)
         mu: dict = {}
 
         def degrees(f, b):
@@ -132,6 +141,7 @@ class FuzzyTreeModel:
                     m = np.where(v <= s.b, rise, fall)
                     m[(v <= s.a) if s.a is not None else np.zeros(len(v), bool)] = 0
                     m[(v >= s.c) if s.c is not None else np.zeros(len(v), bool)] = 0
+                    m[np.isnan(v)] = 0
                 else:
                     m = (v == s.b).astype(float)
                 mu[f, b] = m
@@ -140,6 +150,7 @@ class FuzzyTreeModel:
         def multi(node, rows, ad):
             if node.is_leaf:
                 out[rows] += ad[:, None] * np.array(node.weights())
+                arrived[rows] = True
                 return
             for kid in map(self.nodes.get, node.children):
                 m = degrees(node.feature, kid.value_index)[rows]
@@ -152,6 +163,7 @@ class FuzzyTreeModel:
                 return
             if node.is_leaf:
                 out[rows] += ad[:, None] * np.array(node.weights())
+                arrived[rows] = True
                 return
             f, (left, right) = node.feature, map(self.nodes.get, node.children)
             was = hist.get(f)  # per row: -2 none, -1 right side, else the left side's set
@@ -178,12 +190,13 @@ class FuzzyTreeModel:
             binary(self.nodes[1], rows, np.ones(len(x)), {})
         else:
             multi(self.nodes[1], rows, np.ones(len(x)))
-        return out
+        return out, arrived
 
     def transform(self, df: DataFrame, tnorm: str | None = None, output: str = "confidences", compiled_paths: int = 40) -> DataFrame:
-        """df with an array of class confidences. A stateless projection, so it works on streams too.
+        """df with an array of class confidences, empty where no branch fires. A stateless projection, so it works on streams too.
 
-        Small trees are compiled to Column expressions; trees with more paths are walked in Arrow batches.
+        Null and NaN lie in no set: at a multi-way split they fire no branch, at a binary one the right one. Small trees are
+        compiled to Column expressions, trees with more paths are walked in Arrow batches; both give the same.
         """
         t = tnorm_by_name(tnorm or self.meta.params.tnorm)
         columns = [F.col(c).cast("double") for c in self.features]
@@ -192,7 +205,10 @@ class FuzzyTreeModel:
             for k in range(self.meta.params.num_classes):
                 terms = [F.when(cond, degree * F.lit(w[k])).otherwise(0.0) for cond, degree, w in paths if w[k]]
                 per_class.append(sum(terms[1:], terms[0]) if terms else F.lit(0.0))
-            return df.withColumn(output, F.array(*per_class))
+            arrived = paths[0][0]
+            for cond, _, _ in paths[1:]:
+                arrived = arrived | cond
+            return df.withColumn(output, F.when(arrived, F.array(*per_class)).otherwise(F.array().cast("array<double>")))
         import pyarrow as pa
 
         walk, features, names = self.walk, self.features, [c for c in df.columns if c != output]
@@ -200,7 +216,9 @@ class FuzzyTreeModel:
         def run(batches):
             for b in batches:
                 x = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in features], 1)
-                yield pa.RecordBatch.from_pydict({c: b.column(c) for c in names} | {output: pa.array(list(walk(x, t)), pa.list_(pa.float64()))})
+                conf, arrived = walk(x, t)
+                ends = np.concatenate([[0], np.cumsum(arrived * conf.shape[1])]).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({c: b.column(c) for c in names} | {output: pa.ListArray.from_arrays(pa.array(ends), pa.array(conf[arrived].ravel()))})
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema) + f", `{output}` array<double>"
         return df.select(*names).mapInArrow(run, schema)
@@ -211,8 +229,13 @@ class FuzzyTreeModel:
         return out.withColumn(output, argmax_class(F.col("__conf"))).drop("__conf")
 
     def predict_row(self, values, tnorm: str | None = None) -> dict[int, float]:
-        got = self.walk(np.array([values], float), tnorm_by_name(tnorm or self.meta.params.tnorm))[0]
-        return dict(enumerate(got.tolist()))
+        """class -> confidence of one row; empty if no branch fires."""
+        got, arrived = self.walk(np.array([values], float), tnorm_by_name(tnorm or self.meta.params.tnorm))
+        return dict(enumerate(got[0].tolist())) if arrived[0] else {}
+
+    def copy(self) -> FuzzyTreeModel:
+        """A model whose nodes are its own."""
+        return FuzzyTreeModel(self.meta, deepcopy(self.nodes), list(self.features))
 
     # metrics ---------------------------------------------------------------------------------------------------------
     def _live(self):

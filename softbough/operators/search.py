@@ -20,6 +20,10 @@ class Candidate:
     counts: tuple
     impurities: tuple
 
+    def __str__(self) -> str:
+        parts = "; ".join(f"{[round(float(x), 6) for x in m]} (entropy {h:.6g})" for m, h in zip(self.masses, self.impurities))
+        return f"feature {self.feature}, bins {sorted(self.bins)}, gain {self.gain:.6g}: {parts}"
+
 
 def gain_of(parts: list, impurity: float, min_gain: float) -> tuple[float, tuple]:
     """Information gain of a split into parts (class masses); INVALID below min_gain or if all parts weigh nothing."""
@@ -31,13 +35,13 @@ def gain_of(parts: list, impurity: float, min_gain: float) -> tuple[float, tuple
     return (gain if gain >= min_gain else INVALID), entropies
 
 
-def _best(found: list[Candidate]) -> Candidate | None:
+def best(found: list[Candidate]) -> Candidate | None:
     """Largest gain (to 12 places), then first."""
-    best = None
+    top = None
     for c in found:
-        if c.gain != INVALID and (best is None or round(c.gain, 12) > round(best.gain, 12)):
-            best = c
-    return best
+        if c.gain != INVALID and (top is None or round(c.gain, 12) > round(top.gain, 12)):
+            top = c
+    return top
 
 
 def centroid_order(u: np.ndarray, num_classes: int) -> list[int]:
@@ -50,8 +54,8 @@ def centroid_order(u: np.ndarray, num_classes: int) -> list[int]:
     return sorted(range(len(u)), key=lambda b: (centroid(u[b]), b))
 
 
-def best_binary(u: list, f: list, meta, history: dict, impurity: float) -> Candidate | None:
-    """u and f: for each feature an array bins x classes."""
+def binary_candidates(u: list, f: list, meta, history: dict, impurity: float) -> list[Candidate]:
+    """All splits in two. u and f: for each feature an array bins x classes."""
     found = []
     for k in range(meta.num_features):
         own, bins = history.get(k), meta.bins(k)
@@ -70,13 +74,22 @@ def best_binary(u: list, f: list, meta, history: dict, impurity: float) -> Candi
             ru, rf = total_u - lu, total_f - lf
             gain, entropies = gain_of([lu, ru], impurity, meta.params.min_info_gain)
             found.append(Candidate(gain, k, left, (lu, ru), (lf, rf), entropies))
-    return _best(found)
+    return found
 
 
-def best_multi(u: list, f: list, meta, used: set, impurity: float) -> Candidate | None:
+def multi_candidates(u: list, f: list, meta, used: set, impurity: float) -> list[Candidate]:
+    """A split by each feature not used yet."""
     found = []
     for k in range(meta.num_features):
         if k not in used:
             gain, entropies = gain_of(list(u[k]), impurity, meta.params.min_info_gain)
             found.append(Candidate(gain, k, tuple(range(meta.bins(k))), tuple(u[k]), tuple(f[k]), entropies))
-    return _best(found)
+    return found
+
+
+def best_binary(*about) -> Candidate | None:
+    return best(binary_candidates(*about))
+
+
+def best_multi(*about) -> Candidate | None:
+    return best(multi_candidates(*about))

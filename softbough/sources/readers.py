@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,8 @@ def split_by_hash(df: DataFrame, key: str, train_parts: int, parts: int) -> tupl
     return df.where(at < train_parts), df.where(at >= train_parts)
 
 
-def reservoir_sample(df: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """k rows at random, each equally likely; a top-k, so no row is moved that is not among a partition's first k."""
+def reservoir_sample(df: DataFrame, k: int, seed: int = 1, exclude: Column | None = None) -> DataFrame:
+    """k rows at random, each equally likely; rows for which exclude is true are never chosen. A top-k, so no row is moved that is not among a partition's first k."""
+    if exclude is not None:
+        df = df.where(~F.coalesce(exclude, F.lit(False)))
     return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(k).drop("__r")

@@ -107,6 +107,68 @@ def test_stream_scores(spark, tmp_path):
     assert sorted(r.prediction for r in spark.sql("select prediction from streamed").collect()) == want
 
 
+@pytest.mark.parametrize("split", ["multi_split", "binary_split"])
+def test_rows_that_fire_nothing(spark, split):
+    """NaN and null lie in no set, unknown categories neither; compiled expressions, Arrow batches and single rows agree."""
+    rows = [(int(x > 5) + c % 2, (float(x), c)) for x in range(11) for c in range(3)]
+    p = TreeParams(split=split, max_depth=3, max_bins=100, num_classes=3, cores={0: [0, 5, 10]}, categories={1: 3})
+    model = FuzzyTreeClassifier(p).fit(from_rows(spark, rows, ["x", "c"]), ["x", "c"], "label")
+    odd = [(1.0, 5.0), (float("nan"), 1.0), (None, 1.0), (3.0, None), (float("nan"), float("nan")), (float("inf"), 2.0), (-3.0, 0.0), (4.0, 1.5)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(odd)], "id int, x double, c double")
+    ways = [{r.id: r.confidences for r in model.transform(df, compiled_paths=n).collect()} for n in (10**6, 0)]
+    classes = {r.id: r.prediction for r in model.predict_class(df).collect()}
+    for i, values in enumerate(odd):
+        alone = model.predict_row([float("nan") if v is None else v for v in values])
+        assert ways[0][i] == pytest.approx(ways[1][i])
+        assert ways[0][i] == pytest.approx(list(alone.values()))
+        assert classes[i] == (max(range(3), key=lambda k: (ways[0][i][k], k)) if ways[0][i] else -1)
+    if split == "multi_split":
+        assert classes[4] == -1 and ways[0][4] == [] and -1 in (classes[0], classes[1])
+    else:
+        assert all(ways[0].values())  # a binary split has an else branch
+
+
+def test_node_helpers(spark):
+    m = Q._fixed_model("binary_split")
+    again = m.copy()
+    again.nodes[4].u[0] = 99
+    assert m.nodes[4].u[0] == 0.9 and m.nodes[4].frequencies() == [0.5, 0.5] and not m.nodes[4].is_mono_label()
+    row = spark.range(1).select(impurity.class_frequencies(F.array(F.lit(3), F.lit(1))).alias("f"), impurity.is_mono_label(F.array(F.lit(3), F.lit(0))).alias("m"), impurity.is_mono_label(F.array(F.lit(3), F.lit(1))).alias("n")).first()
+    assert row.f == [0.75, 0.25] and row.m and not row.n
+    lines = m.debug_string().splitlines()
+    assert lines[0] == "Fuzzy tree (binary) of depth 2 with 7 nodes and 4 leaves" and lines[1].endswith("If size in [0, 1]") and lines[3].endswith("Predict: 0: 0.9, 1: 0.1") and len(lines) == 11
+
+
+def test_reservoir(spark):
+    from softbough.sources.readers import reservoir_sample
+
+    df = spark.range(100)
+    got = [r.id for r in reservoir_sample(df, 30, 3, F.col("id") % 2 == 0).collect()]
+    assert len(set(got)) == 30 and all(i % 2 for i in got)
+    assert reservoir_sample(df, 500).count() == 100
+
+
+def test_libsvm(spark, tmp_path):
+    from softbough.sources.readers import read_libsvm
+
+    (tmp_path / "x.txt").write_text("1 1:0.5 3:2\n0 2:1\n")
+    df, names = read_libsvm(spark, str(tmp_path / "x.txt"), 3)
+    assert names == ["f0", "f1", "f2"] and sorted(map(tuple, df.collect())) == [(0, 0.0, 1.0, 0.0), (1, 0.5, 0.0, 2.0)]
+
+
+@pytest.mark.parametrize("split", ["binary_split", "multi_split"])
+def test_groups_of_nodes(spark, split, monkeypatch):
+    """Nodes in several groups a level give the same tree as all at once."""
+    from softbough.operators import growth
+
+    rows = [(int(a > 4) + int(b > 6), (float(a), float(b))) for a in range(11) for b in range(11)]
+    p = TreeParams(split=split, max_depth=3, max_bins=100, num_classes=3, cores={0: [0, 5, 10], 1: [0, 3, 7, 10]})
+    df = from_rows(spark, rows, ["a", "b"])
+    whole = FuzzyTreeClassifier(p).fit(df, ["a", "b"], "label").debug_string()
+    monkeypatch.setattr(growth, "_groups", lambda nodes, meta: [[n] for n in nodes])
+    assert FuzzyTreeClassifier(p).fit(df, ["a", "b"], "label").debug_string() == whole
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_query_equals_sql(spark, name):
