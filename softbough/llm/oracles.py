@@ -42,4 +42,31 @@ marked as (select l.*, s.key is not null and s.top <> l.doc_id as lost from line
 select doc_id, count(*)::BIGINT as n_lines, count(*) filter (lost)::BIGINT as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not lost), '')) as kept_sha256 from marked group by 1
 """
 
-SQL = {"op1_ngram_jaccard_join": OP1, "op8_block_ann": OP8, "op9_line_dedup": OP9}
+_STRENGTH = "(select coalesce(round(1 / least(greatest((round(sum(n * (bad / n - {m}) * (bad / n - {m})), 9) - round(sum({m} * (1 - {m})), 9)) / nullif(round(sum(n * {m} * (1 - {m})), 9) - round(sum({m} * (1 - {m})), 9), 0), 0.01::DOUBLE), 0.1::DOUBLE) - 1, 6), 10) as s from {t} where n > 0)"
+_SECOND = "'co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'co.nz', 'com.br'"
+
+OP3 = f"""
+with rests as (select page_id, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end, '') as rest from pages),
+parsed as materialized (select page_id, {_low("regexp_extract(rest, '^([^/?#]*)', 1)")} as host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) as path from rests),
+named as materialized (select *, string_split(host, '.') as names, case when len(names) >= 2 and array_to_string(names[-2:], '.') in ({_SECOND}) then 2 else 1 end as width from parsed),
+placed as materialized (select page_id, host, path, array_to_string(names[-width:], '.') as suffix, case when len(names) > width then array_to_string(names[-(width + 1):], '.') else host end as domain from named),
+seen as (select page_id, max(1 - quality) as bad from placed join labels on labels.doc_id = try_cast(regexp_extract(path, '/([0-9]+)', 1) as bigint) where quality is not null group by 1),
+hosts as materialized (select host, domain, suffix, count(bad) as n, coalesce(sum(bad), 0)::DOUBLE as bad from placed left join seen using (page_id) group by 1, 2, 3),
+domains as materialized (select domain, suffix, sum(n) as n, sum(bad) as bad from hosts group by 1, 2),
+suffixes as materialized (select suffix, sum(n) as n, sum(bad) as bad from domains group by 1),
+overall as materialized (select round(coalesce(sum(bad) / nullif(sum(n), 0), 0), 9) as m0 from suffixes),
+suffixes0 as materialized (select * from suffixes, overall),
+suffixes1 as materialized (select suffix, round((bad + s * m0) / (n + s), 9) as m1 from suffixes0, {_STRENGTH.format(m="m0", t="suffixes0")}),
+domains1 as materialized (select * from domains join suffixes1 using (suffix)),
+domains2 as materialized (select domain, suffix, round((bad + s * m1) / (n + s), 9) as m2 from domains1, {_STRENGTH.format(m="m1", t="domains1")}),
+hosts2 as materialized (select * from hosts join domains2 using (domain, suffix)),
+rated as (select host, n, s, round((bad + s * m2) / (n + s), 9) as rate from hosts2, {_STRENGTH.format(m="m2", t="hosts2")}),
+known as (select host, rate, round(rate - 1.645 * sqrt(rate * (1 - rate) / (n + s + 1)), 9) as low from rated),
+ruled as (select *, case
+  when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/' when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+  when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/' when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from placed)
+select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block' when host <> '' and low > m0 then 'block' else 'allow' end as verdict, rate, low
+from ruled left join known using (host), overall
+"""
+
+SQL = {"op3_url_filters": OP3, "op1_ngram_jaccard_join": OP1, "op8_block_ann": OP8, "op9_line_dedup": OP9}

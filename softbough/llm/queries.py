@@ -20,9 +20,11 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page outcomes are the quality labels of the same ids: 0 is a bad outcome."""
-    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), outcomes)
+    """A page shows the document whose number is in its path; that document's quality label is the page's outcome: 0 is a bad one."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    shown = url_filter.parse(pages.select("page_id", "url")).select("page_id", F.expr("try_cast(regexp_extract(path, '/([0-9]+)', 1) as long)").alias("doc_id"))
+    outcomes = shown.join(labels, "doc_id").select("page_id", (1 - F.col("quality")).alias("bad"))
+    return url_filter.filter_urls(pages, outcomes)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
