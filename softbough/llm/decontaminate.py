@@ -98,11 +98,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, penalty: int
         needed = F.when((F.col("n") >= exact) & (F.col("enough") == score), least_hits(masks, score, penalty)).otherwise(needed)
     few = items.select("item_id", "y", needed.alias("needed"))
     diagonals = store(diagonals.join(few, ["item_id", "y"]).where("hits >= needed").drop("hits", "needed"), "hits")
-    # one row for each document that has hits and each diagonal; its text comes by an equi-join on the document
-    lines = diagonals.join(items.select("item_id", "y", "enough", _words().alias("b")), ["item_id", "y"])
-    whole = docs.join(lines.hint("shuffle_hash"), ["doc_id", "x"]).select("doc_id", "item_id", "shift", "enough", _words().alias("a"), "b")
-    first, last = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("b"), F.size("a") - F.col("shift")) - 1
-    ranged = whole.select("doc_id", "item_id", "shift", "enough", first.alias("first"), F.transform(F.sequence(first, last), lambda i: F.get("a", i + F.col("shift")) == F.get("b", i)).alias("same"))
+    # one row for each document and item with hits, however many diagonals it has; the text comes by an equi-join on the document
+    lines = diagonals.groupBy("doc_id", "x", "item_id", "y").agg(F.collect_set("shift").alias("shifts")).join(items.select("item_id", "y", "enough", _words().alias("b")), ["item_id", "y"])
+    whole = docs.join(lines.hint("shuffle_hash"), ["doc_id", "x"]).select("doc_id", "item_id", "shifts", "enough", _words().alias("a"), "b")
     empty = F.expr("named_struct('at', 0, 'run', 0, 'begin', 0, 'hit', 0, 'score', 0, 'from', 0, 'upto', 0, 'matched', 0)")
 
     def step(s, same):
@@ -114,11 +112,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, penalty: int
         pick = lambda new, old: F.when(better, new).otherwise(s[old])
         return F.struct((s["at"] + 1).alias("at"), run.alias("run"), begin.alias("begin"), hit.alias("hit"), pick(run, "score").alias("score"), pick(begin, "from").alias("from"), pick(s["at"] + 1, "upto").alias("upto"), pick(hit, "matched").alias("matched"))
 
-    scored = ranged.withColumn("best", F.aggregate("same", empty, step)).where(F.col("best.score") >= F.col("enough"))
-    rows = scored.select("doc_id", "item_id", (F.col("first") + F.col("shift") + F.col("best.from")).cast("long").alias("begin"), F.col("best.matched").cast("long").alias("matched"), F.expr("cast(best.upto - best.from as long)").alias("length"), F.col("best.score").cast("long").alias("score"))
-    best = F.max(F.struct("score", -F.col("begin"), "matched", "length"))
-    top = rows.groupBy("doc_id", "item_id").agg(best.alias("t"))
-    return top.select("doc_id", "item_id", (-F.col("t.col2")).alias("begin"), "t.matched", "t.length", "t.score")
+    def overlap(shift):
+        """The best segment of one diagonal as (score, -begin, matched, length)."""
+        first, last = F.greatest(F.lit(0), -shift), F.least(F.size("b"), F.size("a") - shift) - 1
+        t = F.aggregate(F.transform(F.sequence(first, last), lambda i: F.get("a", i + shift) == F.get("b", i)), empty, step, lambda t: F.struct(
+            t["score"].alias("score"), t["from"].alias("from"), t["upto"].alias("upto"), t["matched"].alias("matched")))
+        return F.struct(t["score"].cast("long").alias("score"), (-(first + shift + t["from"])).cast("long").alias("back"), t["matched"].cast("long").alias("matched"), (t["upto"] - t["from"]).cast("long").alias("length"))
+
+    rows = whole.select("doc_id", "item_id", "enough", F.array_max(F.transform("shifts", overlap)).alias("t")).where(F.col("t.score") >= F.col("enough"))
+    top = rows.groupBy("doc_id", "item_id").agg(F.max("t").alias("t"))  # rows that share a doc_id
+    return top.select("doc_id", "item_id", (-F.col("t.back")).alias("begin"), "t.matched", "t.length", "t.score")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
