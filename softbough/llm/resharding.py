@@ -11,7 +11,7 @@ read_shards reads them back, with shard and slot as they lie in the files.
 The law is `bytes`: shards' sizes are near equal. A block larger than 1 / grain of a
 capacity is split by text; only the rows of one text that alone takes over 1 / hot of a capacity are split by document,
 so a group of equal texts that holds a third of all rows is spread, and all others stay together.
-Edge cases: null or empty text counts its overhead only, its checksum is 0; null
+Edge cases: rows whose old shard is null or no number of an old shard lie in none and are all moved; null or empty text counts its overhead only, its checksum is 0; null
 doc_id rows are placed like others; repeated rows are all placed; an empty table gives no rows. Further columns are not read.
 """
 from __future__ import annotations
@@ -72,8 +72,9 @@ class BlockPlan:
     """Where rows go: place() adds shard and first_slot to rows; affected are the shards that gain or lose rows."""
 
     def __init__(self, docs: DataFrame, old_shard, new_shards: int = 24, old_shards: int = 16, overhead: int = 8, blocks: int = 256, grain: int = 64, hot: int = 4) -> None:
-        self.old_shard, self.overhead, self.blocks = old_shard, overhead, blocks
-        self.spark = spark = docs.sparkSession
+        self.old_shard, self.overhead, self.blocks = F.when(old_shard.between(0, old_shards - 1), old_shard).otherwise(old_shards), overhead, blocks  # old_shards: in none
+        self.spark, self.old_shards = docs.sparkSession, old_shards
+        spark = self.spark
         self.rows = store(self._keyed(docs, "doc_id"), "sizes")
         whole = self.rows.groupBy("__old", "__block").agg(F.sum("__size").alias("bytes"))
         total = whole.agg(F.sum("bytes")).first()[0] or 0
@@ -91,12 +92,12 @@ class BlockPlan:
         self.big = spark.createDataFrame([(o, block, max(1, -(-size // most))) for (o, block), size in left.items()], "__old int, __block int, __splits int")
         self.hot = spark.createDataFrame(self.hot, "__old int, __block int, __t long, __base int, __parts int")
         found = sorted((r["__old"], r["__block"], r["__sub"], r.bytes, r.n) for r in self._split(self.rows).groupBy("__old", "__block", "__sub").agg(F.sum("__size").alias("bytes"), F.count("*").alias("n")).collect())
-        supply = [0] * old_shards
+        supply = [0] * (old_shards + 1)
         for o, _, _, size, _ in found:
             supply[o] += size
-        flow = min_cost_flow(supply, capacity, lambda i, j: 0.0 if i == j else 1.0)
+        flow = min_cost_flow(supply, capacity, lambda i, j: 0.0 if i == j < old_shards else 1.0)
         plan, need, next_slot = [], np.zeros(new_shards, np.int64), [0] * new_shards
-        for o in range(old_shards):
+        for o in range(old_shards + 1):
             need += flow[o]
             wanted = np.flatnonzero(flow[o])
             for _, block, sub, size, n in sorted((x for x in found if x[0] == o), key=lambda x: (-x[3], x[1:3])):
@@ -104,7 +105,7 @@ class BlockPlan:
                 need[j] -= size
                 plan.append((o, block, sub, j, next_slot[j]))
                 next_slot[j] += n
-        self.affected = sorted({s for o, _, _, j, _ in plan if o != j for s in (o, j)})
+        self.affected = sorted({s for o, _, _, j, _ in plan if not o == j < old_shards for s in (o, j) if s < old_shards or s == j})
         self.to = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], "__old int, __block int, __sub int, shard int, first_slot long")
 
     def _keyed(self, docs: DataFrame, *keep) -> DataFrame:
@@ -126,7 +127,7 @@ class BlockPlan:
         """(doc_id, size, text_crc32, old_shard, shard, slot) of all rows, as planned."""
         within = Window.partitionBy("__old", "__block", "__sub").orderBy("doc_id", "__crc")
         placed = self.place(self.rows).withColumn("at", F.row_number().over(within) - 1)
-        return placed.select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.col("__old").alias("old_shard"), "shard", (F.col("first_slot") + F.col("at")).alias("slot"))
+        return placed.select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.nullif(F.col("__old"), F.lit(self.old_shards)).alias("old_shard"), "shard", (F.col("first_slot") + F.col("at")).alias("slot"))
 
 
 def reshard(docs: DataFrame, old_shard, new_shards: int = 24, old_shards: int = 16, overhead: int = 8, blocks: int = 256, grain: int = 64, hot: int = 4) -> DataFrame:
