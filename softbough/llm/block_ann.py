@@ -1,7 +1,8 @@
 """Nearest neighbours by a block matrix join of int8 tiles.
 
 Vectors are packed into blocks: float rows, their int8 quantisation, a scale, norms and quantisation errors. Each
-query block meets each candidate block once (an equi-join on a tile column). A tile is one integer matrix product; with
+query block meets each candidate block once: an equi-join on a grid of query and candidate groups, of about `cell` blocks each, so the
+grid grows with the tables and a cell doesn't. A tile is one integer matrix product; with
 |q.c - q'.c'| <= |q - q'| |c| + |q'| |c - c'| it gives every pair a certain interval. Pairs whose upper end lies below the k-th best lower
 end of their query are dropped; the others are computed again in double precision, and heaps of k merge the tiles. So the
 result is exact, ties to the smaller vec_id.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import store
+from ._common import n_parts, store
 
 _BLOCK = "dim int, ids binary, codes binary, stats binary, vectors binary"
 
@@ -123,20 +124,25 @@ def _top(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, query_rows: int = 512, candidate_rows: int = 2048, groups: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, query_rows: int = 512, candidate_rows: int = 2048, cell: int = 16) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query row against all other rows.
 
-    is_query is a boolean column of vectors. A query block is copied to each of the candidate blocks' `groups`
-    (or fewer) groups, a candidate block once to each query block of its group.
+    is_query is a boolean column of vectors. A query block is copied to each group of `cell` (or fewer, if there are more tasks than cells)
+    candidate blocks, a candidate block to each group of `cell` query blocks.
     """
     spark = vectors.sparkSession
     given = vectors.where("vec_id is not null").select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query"))
     cols = ["dim", "ids", "codes", "stats", "vectors"]
-    one = lambda df, rows, what: store(df.select("vec_id", "embedding").mapInArrow(_blocks(rows), _BLOCK).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")), what)
+    one = lambda df, rows, what: store(df.select("vec_id", "embedding").mapInArrow(_blocks(rows), _BLOCK), what)
     cand = one(given, candidate_rows, "candidates")
-    query = one(given.where("is_query").dropDuplicates(["vec_id", "embedding"]).repartition(max(1, groups // 8)), query_rows, "queries")
-    named = lambda df, s: df.select("dim", "g", *(F.col(c).alias(f"{s}_{c}") for c in cols[1:]))
-    query = named(query, "q").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    tiles = query.join(named(cand, "c"), ["dim", "g"])
-    found = tiles.mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
+    query = one(given.where("is_query").dropDuplicates(["vec_id", "embedding"]), query_rows, "queries")
+    n_query, n_cand = query.count(), cand.count()
+    across = max(1, -(-n_query // cell))
+    down = max(1, -(-n_cand // cell), min(n_cand, -(-2 * n_parts(spark) // across)))
+    group = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    named = lambda df, s: df.select("dim", "qg", "cg", *(F.col(c).alias(f"{s}_{c}") for c in cols[1:]))
+    query = named(query.withColumn("qg", group(across)).withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))), "q")
+    cand = named(cand.withColumn("cg", group(down)).withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))), "c")
+    tiles = query.join(cand, ["dim", "qg", "cg"])
+    found = store(tiles.mapInArrow(_tiles(k), "query_id long, vec_id long, score double"), "heaps")
     return found.repartition("query_id").mapInArrow(_top(k), "query_id long, rank int, vec_id long, score double")
