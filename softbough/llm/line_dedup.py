@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, n_parts, shared_dir, store
+from ._common import checkpoints, discard, n_parts, store
 
 WHITE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -148,7 +148,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     lines = store(given.mapInArrow(_scan(min_chars), "h1 long, h2 long, doc_id long, x long, pos int"), "lines")
     parts = max(n_parts(spark), 1)
     order = ["h1", "h2", F.desc("doc_id")]
-    _checkpoints(spark)
+    checkpoints(spark)
     dealt = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order, "x", "pos").checkpoint()
     edges = dealt.mapInArrow(_edges, "h1 long, h2 long, n long, top long").collect()  # two rows a partition at most
     across: dict = {}
@@ -162,16 +162,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     return out
 
 
-def _checkpoints(spark) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
-def _apply(names):
+def _apply(names, bitmap):
     def run(batches):
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, keep in zip(batch.column("text").to_pylist(), batch.column("__keep").to_pylist()):
+            for text, keep in zip(batch.column("text").to_pylist(), batch.column(bitmap).to_pylist()):
                 lines = (text or "").split("\n")
                 n_lines.append(len(lines))
                 n_dropped.append(0)
@@ -191,8 +186,10 @@ def _apply(names):
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs with the repeated lines taken out of text, plus n_lines (before) and n_dropped; columns of these names are replaced."""
     docs = docs.drop("n_lines", "n_dropped")
-    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("__doc"), F.col("x").alias("__x"), F.col("keep").alias("__keep"))
-    on = (docs["doc_id"] == maps["__doc"]) & (F.expr("xxhash64(coalesce(text, ''))") == maps["__x"])
-    joined = docs.join(maps.hint("shuffle_hash"), on, "left").drop("__doc", "__x")
+    free = "_" * (1 + max(map(len, docs.columns)))  # longer than any column's name, so it clashes with none
+    doc, x, keep = free + "doc", free + "x", free + "keep"
+    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias(doc), F.col("x").alias(x), F.col("keep").alias(keep))
+    on = (docs["doc_id"] == maps[doc]) & (F.expr("xxhash64(coalesce(text, ''))") == maps[x])
+    joined = docs.join(maps.hint("shuffle_hash"), on, "left").drop(doc, x)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
-    return joined.mapInArrow(_apply(docs.columns), schema)
+    return joined.mapInArrow(_apply(docs.columns, keep), schema)

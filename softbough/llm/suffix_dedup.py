@@ -13,6 +13,9 @@ A match hidden from both orders by longer ones is found in a last step: the wind
 do not cover yet are keyed by their words, a bitmap of those keys picks the equal windows among all suffixes, and windows whose key
 two documents or more hold (counted with partial aggregation) are spans, too. So no shared passage is missed.
 
+Words around a suffix are compared by 16 bits of their hashes, so a word that differs passes for equal in one of 65 000 cases: a match of one word
+less than min_words may then count. Matches that are there are never lost by it.
+
 Words as in the other operators (A-Z lower-cased, runs outside [\\x20\\x09-\\x0D]).
 Edge cases: null, empty and short texts (fewer than min_words words) have no spans; repeats inside one document do not count; rows without doc_id
 are ignored; rows that share a doc_id are one document for comparison, so their copies do not count; an empty table gives no rows. Further columns are not read.
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, n_parts, shared_dir, store
+from ._common import checkpoints, discard, n_parts, store
 from ._text import _P, chunks, gram_hashes, mix, word_hashes
 
 _BITS = 25
@@ -177,8 +180,7 @@ def _match(k, side, min_words, ends):
 
 def _neighbours(kept: DataFrame, key: list[str], k, side, min_words) -> DataFrame:
     spark = kept.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    checkpoints(spark)
     order = ["h", *key, "doc_id"]
     dealt = kept.repartitionByRange(n_parts(spark), *order).sortWithinPartitions(*order, "pos").withColumn("p", F.spark_partition_id()).checkpoint()
     rows = dealt.mapInArrow(_ends, "h long, doc_id long, pos int, right binary, left binary, p int, side string").collect()  # at most four a partition
