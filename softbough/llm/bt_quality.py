@@ -3,7 +3,8 @@
 A document's features are whole-text statistics (character classes, words, lines, repetition), 28 in all, none hashed.
 Preference pairs join each labelled good document with bad ones; a logistic loss on feature differences
 gives weights, so that w.x ranks documents. The rank score is then put on a 0-1 scale by a monotone logistic fit on the same rows,
-and the query and the pipeline cut at a score of 0.3; threshold_at_quantile gives a quantile of the scores, but nothing calls it yet.
+and the model's threshold is the quantile of the fitted rows' scores at their share of label 0 (halfway between the two rows there). The
+pipeline cuts at it; the query cuts at 0.3, as its contract says.
 
 Training uses at most `most_labels` labelled rows (the smallest hashes of doc_id), a documented bound; scoring takes in
 every whole text and is one narrow pass.
@@ -92,6 +93,7 @@ class PairwiseModel:
     weights: np.ndarray
     slope: float
     shift: float
+    threshold: float = 0.0  # without both classes all rows are kept
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
@@ -129,7 +131,8 @@ def fit_pairwise(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, steps: int =
         hess = np.array([[(q * s * s).mean() + 1e-3, (q * s).mean()], [(q * s).mean(), q.mean() + 1e-6]])
         step = np.clip(np.linalg.solve(hess, g), -2, 2)
         a, b = a - step[0], b - step[1]
-    return PairwiseModel(mean, scale, w, float(a), float(b))
+    fitted = 1 / (1 + np.exp(-np.clip(a * s + b, -500, 500)))
+    return PairwiseModel(mean, scale, w, float(a), float(b), float(np.quantile(fitted, len(bad) / len(y), method="midpoint")))
 
 
 def _features_of(batches):
@@ -170,7 +173,3 @@ def score_quality(docs: DataFrame, model: PairwiseModel, keep: list[str] | None
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", score double"
     return given.mapInArrow(_score(model, names), schema)
 
-
-def threshold_at_quantile(scored: DataFrame, q: float, accuracy: int = 10_000) -> float:
-    """The score below which about the share q of all rows lies."""
-    return scored.agg(F.percentile_approx("score", q, accuracy)).first()[0]
