@@ -152,7 +152,6 @@ def test_token_store(docs, rows):
 
     path = token_store.tokenizer_file()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     segments, dictionary = token_store.write_store(docs, path)
     got = token_store.read_store(segments, dictionary, digest=True).collect()
     want = collections.Counter()
@@ -245,3 +244,18 @@ def test_long_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(df).collect()}
     assert got == brute_components(rows)
+
+
+def test_long_units_and_cuts(spark):
+    """Texts without spaces, of one character or many, have the library's ids; what no piece holds side by side parts units."""
+    import sentencepiece
+
+    path = piece_codec.model_file()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = np.random.default_rng(3)
+    texts = ["a" * 3000, "ab" * 1500, "".join(r.choice(list("etaoinshr"), 4000)), "x,y.z;" * 300, "日本語テスト" * 200, "a\0b\0\0c" * 50, "-" * 2500 + "end", "1234567890" * 100, "naïve,très.bon!", "😀" * 40, " lead", "trail ", "two  spaces"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {x.doc_id: x.ids for x in piece_codec.encode_pieces(df, path, ["doc_id"]).collect()}
+    assert got == {i: sp.encode(t) for i, t in enumerate(texts)}
+    parts, times = piece_codec.cut_units(["▁word,", "▁a"], piece_codec.load(path))
+    assert parts == ["▁word", ",", "▁a"] and times.tolist() == [2, 1]
