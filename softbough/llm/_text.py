@@ -10,29 +10,32 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ._common import process_cache
+
 CHUNK = 2 << 20
 _P, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
-_tables: dict = {}
 
 
 def _powers(n: int):
     """Powers of an odd multiplier and of its inverse, modulo 2**64."""
-    if len(_tables.get("pow", ())) < n:
+    kept = process_cache()
+    if len(kept.get("pow", ())) < n:
         size = max(n, CHUNK)
         power, inverse = np.full(size, _P, np.uint64), np.full(size, pow(_P, -1, 1 << 64), np.uint64)
         power[0] = inverse[0] = 1
-        _tables["pow"], _tables["inv"] = np.cumprod(power, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
-    return _tables["pow"], _tables["inv"]
+        kept["pow"], kept["inv"] = np.cumprod(power, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
+    return kept["pow"], kept["inv"]
 
 
 def _bytes_tables():
-    if "low" not in _tables:
+    kept = process_cache()
+    if "low" not in kept:
         low = np.arange(256, dtype=np.uint8)
         low[65:91] += 32
         ws = np.zeros(256, bool)
         ws[[9, 10, 11, 12, 13, 32]] = True
-        _tables["low"], _tables["ws"] = low, ws
-    return _tables["low"], _tables["ws"]
+        kept["low"], kept["ws"] = low, ws
+    return kept["low"], kept["ws"]
 
 
 def mix(x):

@@ -7,6 +7,7 @@ a bounded sample; each document is one frame of its own, so a short document can
 File format: a store is a table of segments in Parquet (so it can lie in any store that Spark reaches, and
 Spark's commit protocol covers lost executors). A segment has: part and seq (its place; segments in this order
 hold the documents in ascending doc_id order), dict_hash (crc32 of the dictionary), doc_ids (int64 array), counts (uint32 array, ids of each document),
+first_id and last_id (the smallest and the largest of doc_ids),
 offsets (uint64 array, one more than documents, into body) and body (zstandard frames without their content's size). The dictionary is a
 table of one row (dict_hash, dictionary, width). A reader refuses a segment whose dict_hash is not its dictionary's.
 
@@ -29,11 +30,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, n_parts, store
+from ._common import discard, n_parts, process_cache, store
 
 SEGMENT_BYTES = 4 << 20
 _NULL = -(1 << 63)
-_made: dict = {}
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -43,23 +43,25 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def _tokenizer(path: str):
-    if path not in _made:
+    kept, key = process_cache(), ("tokenizer", path)
+    if key not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _made[path] = Tokenizer.from_file(path)
-    return _made[path]
+        kept[key] = Tokenizer.from_file(path)
+    return kept[key]
 
 
 def _widths(path: str) -> np.ndarray:
     """Bytes that each id stands for: a byte-level token has a character for each."""
-    if ("widths", path) not in _made:
+    kept, key = process_cache(), ("widths", path)
+    if key not in kept:
         vocab = _tokenizer(path).get_vocab()
         out = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             out[i] = len(token)
-        _made["widths", path] = out
-    return _made["widths", path]
+        kept[key] = out
+    return kept[key]
 
 
 def _one_by_one(units: list[str], path: str) -> list[np.ndarray]:
@@ -84,9 +86,9 @@ def _joined(units: pa.Array, path: str, block: int = 40_000):
 def remembered(units: pa.Array, key, encode, most: int):
     """(pool, begins, lengths) of distinct units; encode gives (pool, offsets) of those that earlier slices didn't have.
 
-    What is kept lies in flat arrays, `most` units at most before a slice is added; beyond, those of the slice at hand stay.
+    What is kept lies in flat arrays and outlives the task in its worker, `most` units at most before a slice is added; beyond, those of the slice at hand stay.
     """
-    kept, pool, lens = _made.get(key) or (pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    kept, pool, lens = process_cache().get(key) or (pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
     if len(kept) > most:
         stay = pc.is_in(kept, value_set=units)
         at = np.flatnonzero(stay.to_numpy(zero_copy_only=False))
@@ -98,11 +100,11 @@ def remembered(units: pa.Array, key, encode, most: int):
     ids, offs = encode(more)
     at[new] = len(kept) + np.arange(len(new))
     pool, lens = np.concatenate([pool, ids]), np.concatenate([lens, np.diff(offs)])
-    _made[key] = pa.concat_arrays([kept, more]), pool, lens
+    process_cache()[key] = pa.concat_arrays([kept, more]), pool, lens
     return pool, (np.cumsum(lens) - lens)[at], lens[at]
 
 
-def _distinct_ids(units: pa.Array, path: str, most: int = 1_500_000):
+def _distinct_ids(units: pa.Array, path: str, most: int = 1_000_000):
     """(pool, begins, lengths) of distinct units, given without the space before them. A comma or full stop after a letter is encoded apart."""
     spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), units, pa.scalar("", pa.large_string()))
     odd = pc.match_substring_regex(spaced, r"[\s\x0b\x{85}\p{Z}]$").to_numpy(zero_copy_only=False)
@@ -192,13 +194,13 @@ def _serialized(batch, path, end, width):
             yield np.append(ids[offs[i] : offs[i + 1]], np.uint32(end)).astype(width).tobytes()
 
 
-def train_dictionary(docs: DataFrame, path: str, end: int, width: str, sample: int = 2000, size: int = 64 << 10) -> bytes:
-    """A zstandard dictionary from the documents with the `sample` smallest hashes of doc_id."""
+def train_dictionary(docs: DataFrame, path: str, end: int, width: str, sample: int = 2000, size: int = 64 << 10, sample_bytes: int = 64 << 10) -> bytes:
+    """A zstandard dictionary of `size` bytes from the documents with the `sample` smallest hashes of doc_id, of each at most its first sample_bytes. It decides on compression only."""
     import zstandard
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"x": pa.array([x[: 64 << 10] for x in _serialized(batch, path, end, width)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"x": pa.array([x[:sample_bytes] for x in _serialized(batch, path, end, width)], pa.binary())})
 
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` keys
@@ -213,6 +215,8 @@ def train_dictionary(docs: DataFrame, path: str, end: int, width: str, sample: i
 def write_store(docs: DataFrame, path: str, end: int = 2, width: str = "<u2", level: int = 3):
     """(segments, dictionary): the store's two tables, written to the shared folder."""
     spark = docs.sparkSession
+    if max(end, len(_widths(path)) - 1) > np.iinfo(width).max:
+        raise ValueError(f"ids up to {max(end, len(_widths(path)) - 1)} don't fit into {width}")
     docs = docs.select("doc_id", "text")
     raw = train_dictionary(docs, path, end, width)
     said = spark.createDataFrame([(zlib.crc32(raw), bytearray(raw), width)], "dict_hash long, dictionary binary, width string")
@@ -239,7 +243,7 @@ def write_store(docs: DataFrame, path: str, end: int = 2, width: str = "<u2", le
         def flush(part):
             offs = np.concatenate([[0], np.cumsum([len(x) for x in body])]).astype(np.uint64)
             return pa.RecordBatch.from_pydict({
-                "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "dict_hash": [zlib.crc32(shared.value)], "n_docs": [len(ids)], "n_ids": [int(sum(counts))],
+                "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "dict_hash": [zlib.crc32(shared.value)], "n_docs": [len(ids)], "n_ids": [int(sum(counts))], "first_id": [min(ids)], "last_id": [max(ids)],
                 "doc_ids": pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), "counts": pa.array([np.array(counts, "<u4").tobytes()], pa.binary()), "offsets": pa.array([offs.astype("<u8").tobytes()], pa.binary()), "body": pa.array([b"".join(body)], pa.binary()),
             })
 
@@ -256,7 +260,7 @@ def write_store(docs: DataFrame, path: str, end: int = 2, width: str = "<u2", le
         if ids:
             yield flush(part)
 
-    out = store(ordered.mapInArrow(segments, "part int, seq int, dict_hash long, n_docs long, n_ids long, doc_ids binary, counts binary, offsets binary, body binary"), "segments")
+    out = store(ordered.mapInArrow(segments, "part int, seq int, dict_hash long, n_docs long, n_ids long, first_id long, last_id long, doc_ids binary, counts binary, offsets binary, body binary"), "segments")
     discard(frames)
     return out, store(said, "dictionary")
 
@@ -306,7 +310,8 @@ def read_document(segments: DataFrame, dictionary: DataFrame, doc_id: int) -> li
     said = dictionary.first()
     d = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(said.dictionary)))
     places = []
-    for r in segments.select("part", "seq", "doc_ids").toLocalIterator():
+    near = segments.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))  # one, or a few if rows repeat
+    for r in near.select("part", "seq", "doc_ids").toLocalIterator():
         places += [(r.part, r.seq, int(i)) for i in np.flatnonzero(np.frombuffer(r.doc_ids, "<i8") == doc_id)]
     out = []
     for part, seq, i in places:
