@@ -1,10 +1,11 @@
 """SentencePiece (BPE with byte fallback) encoding and decoding by suffix-array matching.
 
-A batch's distinct units (a run of word marks with what follows) are concatenated; a suffix array of that text, sorted
+A text's units are runs of word marks with what follows, cut where no piece holds the two characters at the cut side by side, as no merge
+can cross there. A batch's distinct units are concatenated; a suffix array of that text, sorted
 as deep as the longest piece, is searched by bisection for every piece of the vocabulary at once. The occurrence ranges are the edges of
 a lattice, sorted by end position. Relaxation goes over the end positions of all units together: an edge is on
 the encoding of its prefix if its left neighbour there and it are a pair that the model's merges leave apart, which
-holds for exactly one edge of each end. So ids equal those of the sentencepiece library, and no unit is cut.
+holds for exactly one edge of each end. So ids equal those of the sentencepiece library.
 
 Pieces hold a word mark only at their beginning, so units are independent (checked when the model is loaded). Characters without
 a piece are their UTF-8 bytes. Edge cases: null and empty texts have no ids; a text that holds the word mark U+2581 itself decodes to a space there; other
@@ -20,11 +21,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ._common import process_cache
 from .token_store import _gather, _pieces, _take, remembered
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.S)
-_models: dict = {}
 
 
 def model_file(name: str = "piece_bpe_32k.model") -> str:
@@ -56,7 +57,11 @@ class PieceModel:
         self.piece_chars = np.zeros((len(names), self.depth), np.uint32)
         for row, p in zip(self.piece_chars, names):
             row[: len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32)
-        self.pairs: dict[int, bool] = {}
+        codes = self.piece_chars.astype(np.int64)
+        beside = (codes[:, :-1] << 32 | codes[:, 1:])[codes[:, 1:] > 0]
+        self.beside = np.unique(beside)  # characters that stand side by side in a piece
+        self.known, self.flags = np.zeros(0, np.int64), np.zeros(0, bool)  # pairs of pieces by code, sorted
+        self.recent: dict[int, bool] = {}  # and those not sorted in yet
 
     def merge(self, text: str) -> list[str]:
         """The model's merges applied to a short text: the best rank first, the leftmost of equal ones."""
@@ -72,33 +77,51 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether the merges of left + right end in these two; left -1 is the unit's beginning. Ids from size on are characters without piece."""
-        codes = (left + 1) * np.int64(1 << 32) + right
+    def _is_apart(self, code: int) -> bool:
+        a, b = (code >> 32) - 1, code & 0xFFFFFFFF
+        if b >= self.size:
+            return True
+        if a < 0 or a >= self.size:
+            return self.merge(self.text[b]) == [self.text[b]]
+        return self.merge(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
+
+    def apart(self, codes: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+        """Whether the merges of left + right end in these two, for codes of pairs (see pair_code)."""
         some, back = np.unique(codes, return_inverse=True)
-        out = np.ones(len(some), bool)
-        pairs = self.pairs
-        for i, c in enumerate(some.tolist()):
-            ok = pairs.get(c)
+        out = np.zeros(len(some), bool)
+        new = np.ones(len(some), bool)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, some), len(self.known) - 1)
+            new = self.known[at] != some
+            out[~new] = self.flags[at[~new]]
+        recent = self.recent
+        for i in np.flatnonzero(new).tolist():
+            code = int(some[i])
+            ok = recent.get(code)
             if ok is None:
-                a, b = (c >> 32) - 1, c & 0xFFFFFFFF
-                if b >= self.size:
-                    ok = True
-                elif a < 0 or a >= self.size:
-                    ok = self.merge(self.text[b]) == [self.text[b]]
-                else:
-                    ok = self.merge(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
-                if len(pairs) > 1_000_000:
-                    pairs.clear()
-                pairs[c] = ok
+                ok = recent[code] = self._is_apart(code)
             out[i] = ok
+        if len(recent) > max(10_000, len(self.known) // 8):
+            if len(self.known) > most:
+                self.known, self.flags = self.known[:0], self.flags[:0]
+            codes = np.concatenate([self.known, np.fromiter(recent, np.int64, len(recent))])
+            flags = np.concatenate([self.flags, np.fromiter(recent.values(), bool, len(recent))])
+            order = np.argsort(codes, kind="stable")
+            self.known, self.flags = codes[order], flags[order]
+            recent.clear()
         return out[back]
 
 
+def pair_code(left, right):
+    """left -1 is a unit's beginning. Ids from the model's size on are characters without a piece."""
+    return (left + 1) * (1 << 32) + right
+
+
 def load(path: str) -> PieceModel:
-    if path not in _models:
-        _models[path] = PieceModel(path)
-    return _models[path]
+    kept, key = process_cache(), ("piece model", path)
+    if key not in kept:
+        kept[key] = PieceModel(path)
+    return kept[key]
 
 
 def suffix_array(chars: np.ndarray, depth: int) -> np.ndarray:
@@ -173,11 +196,22 @@ def encode_units(units: list[str], model: PieceModel) -> tuple[np.ndarray, np.nd
     width = np.zeros(len(chars) + 1, np.int64)
     starts = np.zeros(len(chars) + 1, bool)
     starts[begin] = True
-    for a, b in zip(cut[:-1], cut[1:]):
-        s, t = start[a:b], piece[a:b]
-        ok = model.apart(np.where(starts[s], -1, last[s]), t)
+    edges = np.diff(cut)
+    few = len(edges) - int(np.argmax(edges[::-1] > 64)) if (edges > 64).any() else 0  # from this end on, few units are that long
+    few = len(edges) if len(edges) - few < 500 else few
+    for a, b in zip(cut[:few], cut[1 : few + 1]):
+        s, t = start[a:b], piece[a:b].astype(np.int64)
+        ok = model.apart(pair_code(np.where(starts[s], -1, last[s]), t))
         to = s[ok] + size[a:b][ok]
         last[to], width[to] = t[ok], size[a:b][ok]
+    memo: dict[int, bool] = {}
+    for s, t, n in zip(*(x[cut[few] : cut[-1]].tolist() for x in (start, piece, size))):  # the ends of very long units, one by one
+        code = pair_code(-1 if starts[s] else int(last[s]), t)
+        ok = memo.get(code)
+        if ok is None:
+            ok = memo[code] = bool(model.apart(np.array([code]))[0])
+        if ok:
+            last[s + n], width[s + n] = t, n
     # a unit's end is the separator's place, where no other unit begins
     at, who, steps, rows = begin + lens, np.flatnonzero(lens > 0), [], []
     at = at[who]
@@ -229,6 +263,19 @@ def _fresh(units: pa.Array, model):
     return tok.astype(np.uint32), offs
 
 
+def cut_units(units: list[str], model) -> tuple[list[str], np.ndarray]:
+    """The units cut where no piece holds the two characters at the cut, and each one's number of parts."""
+    text = "".join(units)
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    begin = np.cumsum([0, *map(len, units)])[:-1]
+    first = np.ones(len(chars), bool)
+    code = chars[:-1] << 32 | chars[1:]
+    first[1:] = model.beside[np.minimum(np.searchsorted(model.beside, code), len(model.beside) - 1)] != code
+    first[begin] = True
+    at = np.flatnonzero(first)
+    return [text[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(text)])], np.diff(np.append(np.searchsorted(at, begin), len(at)))
+
+
 def encode_column(texts: pa.Array, path: str, cache_units: int = 1_000_000):
     """(ids, offsets) of a string column."""
     model = load(path)
@@ -249,8 +296,12 @@ def encode_column(texts: pa.Array, path: str, cache_units: int = 1_000_000):
             own = _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
             parts[i] = np.array([index.setdefault(u, len(index)) for u in own], np.int64)
         names, codes, counts = list(index), np.concatenate(parts), np.array([len(p) for p in parts])
-    pool, begins, lens = remembered(pa.array(names, pa.large_string()), ("pieces", path), lambda more: _fresh(more, model), cache_units)
-    ids, offs = _take(pool, begins, lens, codes)
+    parts, times = cut_units(names, model)
+    parts = pa.array(parts, pa.large_string()).dictionary_encode()
+    pool, begins, lens = remembered(parts.dictionary, ("pieces", path), lambda more: _fresh(more, model), cache_units)
+    pool, offs = _take(pool, begins, lens, parts.indices.to_numpy().astype(np.int64))
+    marks = offs[np.concatenate([[0], np.cumsum(times)])]
+    ids, offs = _take(pool, marks[:-1], np.diff(marks), codes)
     at = np.concatenate([[0], np.cumsum(counts)])
     return ids.astype(np.uint32), offs[at]
 
