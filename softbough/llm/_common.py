@@ -61,7 +61,7 @@ def store(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(df: DataFrame | None) -> None:
     """Deletes a table that store() wrote and that no later plan reads."""
     path = getattr(df, "stored_at", None)
     if path:

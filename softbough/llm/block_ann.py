@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import n_parts, store
+from ._common import discard, n_parts, store
 
 _BLOCK = "dim int, ids binary, codes binary, stats binary, vectors binary"
 
@@ -141,8 +141,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, query_rows: int = 512, ca
     down = max(1, -(-n_cand // cell), min(n_cand, -(-2 * n_parts(spark) // across)))
     group = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
     named = lambda df, s: df.select("dim", "qg", "cg", *(F.col(c).alias(f"{s}_{c}") for c in cols[1:]))
-    query = named(query.withColumn("qg", group(across)).withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))), "q")
-    cand = named(cand.withColumn("cg", group(down)).withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))), "c")
-    tiles = query.join(cand, ["dim", "qg", "cg"])
+    queries = named(query.withColumn("qg", group(across)).withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))), "q")
+    candidates = named(cand.withColumn("cg", group(down)).withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))), "c")
+    tiles = queries.join(candidates, ["dim", "qg", "cg"])
     found = store(tiles.mapInArrow(_tiles(k), "query_id long, vec_id long, score double"), "heaps")
+    discard(query)
+    discard(cand)
     return found.repartition("query_id").mapInArrow(_top(k), "query_id long, rank int, vec_id long, score double")

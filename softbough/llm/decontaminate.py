@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import store
+from ._common import discard, store
 
 #: Selected positions; this mask spans five words, selects four, and hits whatever scores 6 or more at a penalty of 2.
 MASKS = ((0, 1, 2, 4),)
@@ -88,9 +88,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, penalty: int
         return reduce(DataFrame.unionByName, parts)
 
     seeds = store(all_seeds(items, "item_id", "y", of_items=True).withColumnRenamed("pos", "item_pos").distinct(), "seeds")
-    if seeds.count() <= broadcast_rows:
-        seeds = F.broadcast(seeds)
-    hits = all_seeds(docs, "doc_id", "x").join(seeds, "seed")
+    hits = all_seeds(docs, "doc_id", "x").join(F.broadcast(seeds) if seeds.count() <= broadcast_rows else seeds, "seed")
     diagonals = hits.groupBy("doc_id", "x", "item_id", "y", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count("*").alias("hits"))
     lowest = min(min_score, -(-exact * share // 100))
     needed = F.lit(1)
@@ -98,6 +96,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, penalty: int
         needed = F.when((F.col("n") >= exact) & (F.col("enough") == score), least_hits(masks, score, penalty)).otherwise(needed)
     few = items.select("item_id", "y", needed.alias("needed"))
     diagonals = store(diagonals.join(few, ["item_id", "y"]).where("hits >= needed").drop("hits", "needed"), "hits")
+    discard(seeds)
     # one row for each document and item with hits, however many diagonals it has; the text comes by an equi-join on the document
     lines = diagonals.groupBy("doc_id", "x", "item_id", "y").agg(F.collect_set("shift").alias("shifts")).join(items.select("item_id", "y", "enough", _words().alias("b")), ["item_id", "y"])
     whole = docs.join(lines.hint("shuffle_hash"), ["doc_id", "x"]).select("doc_id", "item_id", "shifts", "enough", _words().alias("a"), "b")

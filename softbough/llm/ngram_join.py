@@ -510,15 +510,15 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     candidates = expanded(found.where("kind = 0").select("a", "b").distinct(), hubs.unionByName(own).distinct())
     links = verified(docs, candidates, k, num, den)
     discard(candidates)
+    made, open_ = [links], None
     rest = found.where("kind = 1").select("token", F.col("a").alias("g"), "n", "pos")
     for turn in range(star_rounds):
         comp = connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("c"))
         in_comp = members.select("doc", "g", "sig").join(comp, "doc", "left").withColumn("c", F.coalesce("c", "doc"))
         rest = rest.join(in_comp.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "g")
         per = rest.groupBy("token").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
-        open_ = store(rest.join(per.where("first < last").select("token"), "token"), "open")
-        if not turn:
-            discard(found)
+        was, open_ = open_, store(rest.join(per.where("first < last").select("token"), "token"), "open")
+        discard(was if turn else found)
         if not open_.take(1):
             break
         if turn < star_rounds - 1:  # each group with one hub: the first in this turn's random order of those its lists begin with
@@ -535,9 +535,12 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
             candidates = left_open(pair.join(signs.toDF("a", "na", "ga"), "a").join(signs.toDF("b", "nb", "gb"), "b"))
         more = verified(docs, candidates, k, num, den)
         discard(candidates)
+        made.append(more)
         links = links.unionByName(more)
         rest = open_.select("token", "g", "n", "pos")
     comp = connected_components(links)
+    for t in (*made, open_, members):
+        discard(t)
     named = classes.join(comp, classes.doc == comp.node, "left").select("s1", "s2", "n", F.coalesce("component", "doc").alias("component_id"))
     full = sets.where("n > 0").select("doc_id", "s1", "s2", "n").join(named, ["s1", "s2", "n"]).select("doc_id", "n", "component_id")
     empty = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))

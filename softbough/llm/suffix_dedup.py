@@ -293,13 +293,15 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, k: int = 20) -> DataFra
     seen = docs.select("text").mapInArrow(_count(k, span), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     bits = _bitmap(seen)
     kept = store(docs.mapInArrow(_emit(k, span, side, spark.sparkContext.broadcast(bits)), "h long, doc_id long, pos int, right binary, left binary"), "suffixes")
-    spans = _neighbours(kept, ["right", "left"], k, side, min_words).unionByName(_neighbours(kept, ["left", "right"], k, side, min_words))
+    spans = [_neighbours(kept, key, k, side, min_words) for key in (["right", "left"], ["left", "right"])]
     joined = "doc_id long, n_spans int, n_words long, spans array<struct<begin:int,end:int>>"
 
     def by_document(found):
         return found.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")).mapInArrow(_join_spans, joined)
 
-    first = store(by_document(spans), "joined")
+    first = store(by_document(spans[0].unionByName(spans[1])), "joined")
+    for t in spans:
+        discard(t)
     hidden = _hidden(kept, first, k, side)
     discard(kept)
     whole = first.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.begin", "s.end")
