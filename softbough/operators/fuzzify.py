@@ -39,7 +39,7 @@ def checked_label(label: Column, num_classes: int) -> Column:
     return F.when((label >= 0) & (label < num_classes), label.cast("int")).otherwise(F.raise_error(F.lit("label outside 0 .. num_classes - 1")).cast("int"))
 
 
-def fuzzify(df: DataFrame, features: list[str], label: str, metadata) -> DataFrame:
-    """(label, bins): bins is an array over features of arrays of (bin, md)."""
+def fuzzify(df: DataFrame, features: list[str], label: str, metadata, weight: str | None = None) -> DataFrame:
+    """(label, bins, w): bins is an array over features of arrays of (bin, md), w how many rows this one stands for."""
     bins = [feature_bins(F.col(c), s) for c, s in zip(features, metadata.sets)]
-    return df.select(checked_label(F.col(label), metadata.params.num_classes).alias("label"), F.array(*bins).alias("bins"))
+    return df.select(checked_label(F.col(label), metadata.params.num_classes).alias("label"), F.array(*bins).alias("bins"), (F.col(weight) if weight else F.lit(1).cast("long")).alias("w"))

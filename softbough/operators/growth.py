@@ -35,14 +35,14 @@ def _route_binary(frontier: DataFrame, splits: DataFrame, tnorm) -> DataFrame:
         return F.when(F.size(side) > 0, F.struct(F.col(node).alias("node"), ad.alias("ad2"), hist.alias("hist2")))
 
     kids = F.array_compact(F.array(child("left_id", "lin"), child("right_id", "lout")))
-    out = rows.select("label", "bins", F.inline(kids))
-    return out.where("node is not null").select(F.col("node").alias("node_id"), "label", "bins", F.col("ad2").alias("ad"), F.col("hist2").alias("hist"))
+    out = rows.select("label", "bins", "w", F.inline(kids))
+    return out.where("node is not null").select(F.col("node").alias("node_id"), "label", "bins", F.col("ad2").alias("ad"), F.col("hist2").alias("hist"), "w")
 
 
 def _route_multi(frontier: DataFrame, splits: DataFrame, tnorm) -> DataFrame:
     rows = frontier.join(F.broadcast(splits), "node_id").withColumn("fired", F.get("bins", F.col("feature")))
-    rows = rows.select("label", "bins", "ad", "hist", "first_child", F.inline("fired")).where("md <> 0")
-    return rows.select((F.col("first_child") + F.col("bin")).alias("node_id"), "label", "bins", tnorm.column(F.col("ad"), F.col("md")).alias("ad"), "hist")
+    rows = rows.select("label", "bins", "ad", "hist", "w", "first_child", F.inline("fired")).where("md <> 0")
+    return rows.select((F.col("first_child") + F.col("bin")).alias("node_id"), "label", "bins", tnorm.column(F.col("ad"), F.col("md")).alias("ad"), "hist", "w")
 
 
 def _groups(nodes: list, meta: Metadata):
@@ -61,21 +61,36 @@ def node_arrays(rows, nodes, meta: Metadata) -> dict:
     return stats
 
 
+def weighted(df: DataFrame, features: list[str], label: str, few: bool) -> tuple[DataFrame, str]:
+    """df's label and features with a weight column, whose name is returned: equal rows become one if they are few, else each row has weight 1."""
+    names = list(dict.fromkeys([label, *features]))
+    w = "_" * max(map(len, names)) + "w"  # longer than any other name
+    if few:
+        return df.groupBy(*names).agg(F.count("*").alias(w)), w
+    return df.select(*names, F.lit(1).cast("long").alias(w)), w
+
+
 class FuzzyTreeClassifier:
-    """fit(df, features, label) gives a FuzzyTreeModel. Features are numeric columns, categorical ones codes from 0."""
+    """fit(df, features, label) gives a FuzzyTreeModel. Features are numeric columns, categorical ones codes from 0.
+
+    Rows that agree in label and features are grown as one weighted row where a sketch says that they are at most a quarter of all rows
+    (one aggregation with map-side combine); else the rows themselves are grown and nothing is shuffled for it.
+    """
 
     def __init__(self, params: TreeParams):
         self.params = params
 
     def fit(self, df: DataFrame, features: list[str], label: str) -> FuzzyTreeModel:
         p = self.params
-        meta = Metadata(p, len(features), df.count())
+        seen = df.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(label, *features)).alias("d")).first()
+        meta = Metadata(p, len(features), seen.n)
         if meta.node_bytes() > p.max_memory_mb << 20:
             raise ValueError("the statistics of one node take more than max_memory_mb")
         if p.subsampling_rate < 1:
             df = df.sample(p.subsampling_rate, p.seed)
         spark, tnorm = df.sparkSession, tnorm_by_name(p.tnorm)
-        frontier = fuzzify(df, features, label, meta).select(F.lit(1).cast("long").alias("node_id"), "label", "bins", F.lit(1.0).alias("ad"), F.create_map().cast("map<int,int>").alias("hist"))
+        rows, w = weighted(df, features, label, seen.d * 4 <= seen.n)
+        frontier = fuzzify(rows, features, label, meta, w).select(F.lit(1).cast("long").alias("node_id"), "label", "bins", F.lit(1.0).alias("ad"), F.create_map().cast("map<int,int>").alias("hist"), "w")
         frontier = frontier.persist(StorageLevel.MEMORY_AND_DISK)
         root = Node(1, 0)
         nodes, open_, next_id, old = {1: root}, [root], 2, []
@@ -135,6 +150,8 @@ class FuzzyTreeClassifier:
                     new = _route_multi(frontier, spark.createDataFrame(splits, "node_id long, feature int, first_child long"), tnorm)
                     new = new.join(F.broadcast(spark.createDataFrame([(n.node_id,) for n in open_], "node_id long")), "node_id", "left_semi")
                 old.append(frontier)
+                if grown[0].level % 4 == 0 and spark.sparkContext.getCheckpointDir():
+                    new = new.checkpoint()  # a lost executor's rows are made again from here
                 frontier = new.persist(StorageLevel.MEMORY_AND_DISK)
                 while len(old) > 2:  # the last two levels stay, from which a lost partition is made again
                     old.pop(0).unpersist()

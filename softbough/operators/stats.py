@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 def exploded(frontier: DataFrame) -> DataFrame:
     """One row for each (row, node, feature, fired bin)."""
-    return frontier.select("node_id", "label", "ad", F.posexplode("bins").alias("feature", "fired")).select("node_id", "label", "ad", "feature", F.inline("fired"))
+    return frontier.select("node_id", "label", "ad", "w", F.posexplode("bins").alias("feature", "fired")).select("node_id", "label", "ad", "w", "feature", F.inline("fired"))
 
 
 def node_stats(frontier: DataFrame, tnorm, allowed: DataFrame | None = None, multi: bool = False) -> DataFrame:
-    """sum of T(u, ad) and count by (node_id, feature, bin, label).
+    """sum of T(u, ad) and number of rows by (node_id, feature, bin, label); a row counts w times.
 
     allowed: (node_id, feature, bins) for features already used on a node's path. In a binary tree only those bins
     count there, with degree T(1, ad) each; in a multi-way tree a used feature is no candidate. It is
@@ -27,7 +27,7 @@ def node_stats(frontier: DataFrame, tnorm, allowed: DataFrame | None = None, mul
             rows = rows.where("bins is null or array_contains(bins, bin)")
             u = F.when(F.col("bins").isNull(), F.col("md")).otherwise(1.0)
     rows = rows.where(u != 0)
-    return rows.groupBy("node_id", "feature", "bin", "label").agg(F.sum(tnorm.column(u, F.col("ad"))).alias("u"), F.count("*").alias("freq"))
+    return rows.groupBy("node_id", "feature", "bin", "label").agg(F.sum(tnorm.column(u, F.col("ad")) * F.col("w")).alias("u"), F.sum("w").alias("freq"))
 
 
 def prefix_stats(stats: DataFrame, order: str = "bin", keys=("node_id", "feature", "label")) -> DataFrame:

@@ -50,7 +50,7 @@ def _params(split="multi_split", **more):
 
 def _frontier(spark, d):
     bins = fuzzify(_lineitem(spark, d), FEATURES, "y", Metadata(_params(), 2, 1))
-    return bins.select(F.lit(1).cast("long").alias("node_id"), "label", "bins", F.lit(1.0).alias("ad"))
+    return bins.select(F.lit(1).cast("long").alias("node_id"), "label", "bins", F.lit(1.0).alias("ad"), "w")
 
 
 # SQL pieces -----------------------------------------------------------------------------------------------------------
@@ -216,7 +216,7 @@ def _category_root(df, feature, label, classes, arity):
     """As _root(), for one categorical feature (codes from 0)."""
     meta = Metadata(TreeParams(num_classes=classes, max_bins=100, categories={0: arity}), 1, 1_000_000)
     rows = fuzzify(df.select(feature.alias("x"), label.alias("y")), ["x"], "y", meta)
-    stats = node_stats(rows.select(F.lit(1).cast("long").alias("node_id"), "label", "bins", F.lit(1.0).alias("ad")), tnorm("product"))
+    stats = node_stats(rows.select(F.lit(1).cast("long").alias("node_id"), "label", "bins", F.lit(1.0).alias("ad"), "w"), tnorm("product"))
     u, f = node_arrays(stats.collect(), [1], meta)[1]  # arity x classes rows
     return u, f, meta, {}, I.entropy_value(u[0].sum(0))
 

@@ -139,6 +139,22 @@ def test_node_helpers(spark):
     assert lines[0] == "Fuzzy tree (binary) of depth 2 with 7 nodes and 4 leaves" and lines[1].endswith("If size in [0, 1]") and lines[3].endswith("Predict: 0: 0.9, 1: 0.1") and len(lines) == 11
 
 
+@pytest.mark.parametrize("split", ["binary_split", "multi_split"])
+def test_weighted_rows(spark, split, monkeypatch):
+    """Equal rows grown as one give the tree of the rows themselves."""
+    from softbough.operators import growth
+
+    rows = [(int(a > 4) + int(b > 6), (float(a), float(b))) for a in range(11) for b in range(11) for _ in range(1 + (a * b) % 9)]
+    df = from_rows(spark, rows, ["a", "_w"])
+    p = TreeParams(split=split, max_depth=5, max_bins=100, num_classes=3, cores={0: [0, 5, 10], 1: [0, 3, 7, 10]})
+    trees, plain = [], growth.weighted
+    for few in (True, False):
+        monkeypatch.setattr(growth, "weighted", lambda df, features, label, _: plain(df, features, label, few))
+        model = FuzzyTreeClassifier(p).fit(df, ["a", "_w"], "label")
+        trees.append([(n.node_id, n.feature, n.left_bins, n.f.tolist(), pytest.approx(n.u.tolist())) for n in model.nodes.values()])
+    assert trees[0] == trees[1] and sum(trees[0][0][3]) == len(rows)
+
+
 def test_reservoir(spark):
     from softbough.sources.readers import reservoir_sample
 
