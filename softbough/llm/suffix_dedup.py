@@ -2,7 +2,7 @@
 
 Suffixes are kept only where a k-word window has the smallest hash of its neighbourhood, so every shared passage of min_words words
 has a kept suffix at the same place in both copies. Suffixes whose first k words occur once are dropped: a first pass counts
-the windows' hashes and a bitmap of fixed size (a superset of the repeated ones) tells the second pass which to emit, each with
+the windows' hashes, and a bitmap of the repeated ones (where they are few millions; a semi-join beyond) tells which of the second pass to keep, each with
 the words around it as 16-bit hashes. These are sorted twice over the cluster, by the words to the right and by those to the left,
 range partitioned on the whole key, so a passage that a third of all documents hold is dealt over many tasks. Every
 suffix is compared with the nearest neighbour of another document on either side, also across partitions (whose ends
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._common import checkpoints, discard, n_parts, store
 from ._text import _P, chunks, gram_hashes, mix, word_hashes
 
-_BITS = 25
+_MOST_BITS = 27
 
 
 def _selected(raw, offs, k, span):
@@ -61,18 +61,23 @@ def _count(k, span):
     return run
 
 
-def _bitmap(keys: DataFrame):
-    """A bitmap of 2**_BITS bits of the column h."""
-    bit = F.col("h").bitwiseAND(F.lit((1 << _BITS) - 1))
-    words = keys.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast((h & {(1 << _BITS) - 1}) & 31 as int))").alias("x"))
-    got = words.groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()  # at most 2**20 rows
-    bits = np.zeros(1 << (_BITS - 5), np.uint32)
-    bits[got["w"].to_numpy()] = got["x"].to_numpy().astype(np.uint32)
-    return bits
+def _bitmap(keys: DataFrame, most: int = _MOST_BITS) -> np.ndarray | None:
+    """A bitmap of the column h, with 16 bits or more for each row; None if that takes over 2**most bits."""
+    bits = max(16, (16 * keys.count()).bit_length())
+    if bits > most:
+        return None
+    bit = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    words = keys.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast((h & {(1 << bits) - 1}) & 31 as int))").alias("x"))
+    got = words.groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()  # at most 2**(most - 5) rows
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[got["w"].to_numpy()] = got["x"].to_numpy().astype(np.uint32)
+    return out
 
 
 def _hit(bits, h):
-    b = h & np.uint64((1 << _BITS) - 1)
+    if bits is None:
+        return np.ones(h.shape, bool)
+    b = h & np.uint64(32 * len(bits) - 1)
     return ((bits[(b >> np.uint64(5)).astype(np.int64)] >> (b & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
 
 
@@ -263,7 +268,7 @@ def _hidden(kept: DataFrame, joined: DataFrame, k, side) -> DataFrame:
     rows = kept.select("doc_id", "pos", F.lit(-1).alias("end"), "h", "right", "left").unionByName(spans)
     rows = rows.repartition(n_parts(spark), "doc_id").sortWithinPartitions("doc_id", "pos", F.col("end").desc())
     rest = store(rows.mapInArrow(_rest(k, side), "key long, doc_id long, begin int"), "rest")
-    bits = spark.sparkContext.broadcast(_bitmap(rest.select(F.col("key").alias("h"))))
+    bits = spark.sparkContext.broadcast(_bitmap(rest.select(F.col("key").alias("h"))))  # without one, all windows are counted
     same = kept.mapInArrow(_same_windows(side, bits), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     found = store(rest.join(same.select("key"), "key").select("doc_id", "begin", (F.col("begin") + k + side).alias("end")).distinct(), "hidden")
     discard(rest)
@@ -291,8 +296,11 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, k: int = 20) -> DataFra
     span, side = min_words - k + 1, min_words - k
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     seen = docs.select("text").mapInArrow(_count(k, span), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    seen = store(seen.select("h"), "repeated")
     bits = _bitmap(seen)
-    kept = store(docs.mapInArrow(_emit(k, span, side, spark.sparkContext.broadcast(bits)), "h long, doc_id long, pos int, right binary, left binary"), "suffixes")
+    suffixes = docs.mapInArrow(_emit(k, span, side, spark.sparkContext.broadcast(bits)), "h long, doc_id long, pos int, right binary, left binary")
+    kept = store(suffixes if bits is not None else suffixes.join(seen, "h", "left_semi"), "suffixes")
+    discard(seen)
     spans = [_neighbours(kept, key, k, side, min_words) for key in (["right", "left"], ["left", "right"])]
     joined = "doc_id long, n_spans int, n_words long, spans array<struct<begin:int,end:int>>"
 
