@@ -445,32 +445,47 @@ def cross_pairs(members: DataFrame, num: int, den: int, block: int = 1024) -> Da
     return dealt.mapInArrow(_cross(num, den), "a long, b long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, heavy: int = 4096) -> DataFrame:
     """Those of the (a, b) pairs that link. Sets are made again from the texts of the documents in pairs only, found by
-    a bitmap where there are a few million of them at most, by a join beyond."""
+    a bitmap where there are a few million of them at most, by a join beyond. The set of a document in more than `heavy` pairs (a hub) is
+    copied once for each `heavy` of them, which are dealt over as many tasks."""
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("n"))
+    ids = store(ids, "ids")
     bits, bitmap = _bitmap_bits(spark, ids)
     if bitmap is None:
-        bloom, given = None, docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+        bloom, given = None, docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
     else:
         bloom, given = spark.sparkContext.broadcast(bitmap), docs.select("doc_id", "text", F.expr(f"pmod(xxhash64(doc_id), {1 << bits})").alias("h"))
     sets = store(given.mapInArrow(_emit_sets(k, bloom), "doc_id long, shingles binary"), "sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    hubs = ids.where(F.col("n") > heavy).select("id", F.ceil(F.col("n") / heavy).alias("k"))
+    n_hubs = hubs.count()
+
+    def attached(rows, key, name):
+        own = sets.select(F.col("doc_id").alias(key), F.col("shingles").alias(name))
+        if not n_hubs:
+            return rows.join(own, key)
+        known = hubs.withColumnRenamed("id", key)
+        known = F.broadcast(known) if n_hubs <= 100_000 else known
+        rows = rows.join(known, key, "left").withColumn("deal", F.expr("coalesce(pmod(xxhash64(a, b), k), 0L)")).drop("k")
+        own = own.join(known, key, "left").withColumn("deal", F.expr("explode(sequence(0L, coalesce(k, 1L) - 1))")).drop("k")
+        return rows.join(own, [key, "deal"]).drop("deal")
+
+    both = attached(attached(pairs, "a", "sa"), "b", "sb")
     out = store(both.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long"), "links")
     discard(sets)
+    discard(ids)
     if bloom:
         bloom.destroy()
     return out
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, most_frequent: int = 1 << 17, short: int = 4, star_rounds: int = 2, list_rows: int = 4_000_000) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, most_frequent: int = 1 << 17, short: int = 4, star_rounds: int = 2, list_rows: int = 4_000_000, heavy: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; components of Jaccard similarity >= num / den.
 
     most_frequent bounds the shingles that the order puts last (it changes cost, not results); lists that stand for up
     to `short` classes give all pairs; star_rounds is how many turns the others get, of which the last pairs across components. A task's
-    memory holds about list_rows postings, and a hot shingle's list is dealt in pieces of a fortieth of that.
+    memory holds about list_rows postings, and a hot shingle's list is dealt in pieces of a fortieth of that; heavy is how many pairs share one copy of a hub's set.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
@@ -508,7 +523,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     hubs = found.where("kind between 2 and 8").groupBy("kind", "b").agg(F.min(F.struct("token", "a")).alias("h")).select(F.col("h.a").alias("a"), "b")
     own = found.where("kind = 9").select("a", F.col("a").alias("b"))
     candidates = expanded(found.where("kind = 0").select("a", "b").distinct(), hubs.unionByName(own).distinct())
-    links = verified(docs, candidates, k, num, den)
+    links = verified(docs, candidates, k, num, den, heavy)
     discard(candidates)
     made, open_ = [links], None
     rest = found.where("kind = 1").select("token", F.col("a").alias("g"), "n", "pos")
@@ -533,7 +548,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
             pair = cross_pairs(open_.select("token", "g", "n", "pos").join(in_comp, "g"), num, den).distinct()
             signs = members.select("doc", "n", "sig")
             candidates = left_open(pair.join(signs.toDF("a", "na", "ga"), "a").join(signs.toDF("b", "nb", "gb"), "b"))
-        more = verified(docs, candidates, k, num, den)
+        more = verified(docs, candidates, k, num, den, heavy)
         discard(candidates)
         made.append(more)
         links = links.unionByName(more)
