@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from softbough.llm import decontaminate, queries, resharding, suffix_dedup, token_store
 
 
-def test_hidden_matches(spark):
+def test_hidden_matches(spark, monkeypatch):
     """A passage of 50 words that other documents hide by sharing longer contexts on one side only."""
     r = np.random.default_rng(11)
     fresh = lambda n: [f"w{x}" for x in r.integers(0, 1 << 40, n)]
@@ -30,8 +30,11 @@ def test_hidden_matches(spark):
             if len(seen[tuple(w[p : p + 50])]) > 1:
                 want[i].update(range(p, p + 50))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
-    got = {x.doc_id: {z for s in x.spans for z in range(s.begin, s.end)} for x in suffix_dedup.repeated_spans(df).collect()}
-    assert len(want) == 12 and got == dict(want)
+    plain = suffix_dedup._bitmap
+    for most in (27, 0):  # with bitmaps, and with joins in their place
+        monkeypatch.setattr(suffix_dedup, "_bitmap", lambda keys: plain(keys, most))
+        got = {x.doc_id: {z for s in x.spans for z in range(s.begin, s.end)} for x in suffix_dedup.repeated_spans(df).collect()}
+        assert len(want) == 12 and got == dict(want)
 
 
 def best_score(a, b):
@@ -240,6 +243,6 @@ def test_many_near_copies_in_pieces(spark):
     rows += [(200 + i, " ".join(base[:60] + other[: 10 + i])) for i in range(40)] + [(300 + i, rows[0][1]) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute_components(rows)
-    for list_rows, short in ((40_000, 4), (4_000_000, 1)):
-        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_jaccard_join(df, short=short, list_rows=list_rows).collect()}
+    for list_rows, short, heavy in ((40_000, 4, 3), (4_000_000, 1, 4096)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_jaccard_join(df, short=short, list_rows=list_rows, heavy=heavy).collect()}
         assert got == want
