@@ -24,6 +24,39 @@ reach(doc_id, c) as (select doc_id, doc_id from words union select e.b, r.c from
 select r.doc_id, coalesce(any_value(s.n), 0)::BIGINT as n_shingles, min(r.c) as component_id from reach r left join sizes s on s.doc_id = r.doc_id group by 1
 """
 
+#: All windows of 50 words by their text; windows that two documents hold are joined where they touch.
+OP2 = f"""
+with words as materialized (
+  select doc_id, list_filter(regexp_split_to_array({_low("coalesce(text, '')")}, '{_WHITE}'), lambda x: x <> '') as w from documents where doc_id is not null
+), windows as materialized (select doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) as h from (select doc_id, w, unnest(range(0, len(w) - 49)) as i from words where len(w) >= 50)),
+shared as (select h from windows group by 1 having count(distinct doc_id) > 1),
+held as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 50, true) as first from windows where h in (select h from shared)),
+numbered as (select doc_id, i, sum(first::INTEGER) over (partition by doc_id order by i) as k from held),
+spans as (select doc_id, min(i) as a, max(i) + 50 as b from numbered group by doc_id, k)
+select doc_id, count(*)::INTEGER as n_spans, sum(b - a)::BIGINT as n_words, string_agg(a || '-' || b, ',' order by a) as spans from spans group by 1
+"""
+
+_SPLIT = f"list_filter(regexp_split_to_array(lower(text), '{_WHITE}'), lambda x: x <> '')"
+_DIAGONAL = "partition by doc_id, item_id, shift order by i"
+
+#: Diagonals with enough equal words, and on each the best segment by prefix sums: the sum up to a word less the least sum before it.
+OP4 = f"""
+with d as materialized (select doc_id, {_SPLIT} as w from documents where doc_id is not null and text is not null),
+b as materialized (select distinct item_id, {_SPLIT} as v from benchmark where item_id is not null and text is not null),
+items as materialized (select item_id, v, case when len(v) < 10 then len(v) else least(10, (len(v) * 60 + 99) // 100) end as enough from b where len(v) > 0),
+dw as (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as p from d),
+iw as (select item_id, enough, unnest(v) as word, unnest(range(0, len(v))) as q from items),
+diagonals as materialized (select doc_id, item_id, p - q as shift, any_value(enough) as enough from dw join iw using (word) group by 1, 2, 3 having count(*) >= any_value(enough)),
+places as (select doc_id, item_id, shift, enough, w, v, unnest(range(greatest(0, -shift), least(len(v), len(w) - shift))) as i from diagonals join d using (doc_id) join items using (item_id, enough)),
+gains as (select doc_id, item_id, shift, enough, i, case when w[i + shift + 1] = v[i + 1] then 1 else -2 end as g from places),
+sums as (select *, sum(g) over ({_DIAGONAL}) as s from gains),
+runs as materialized (select *, min(s - g) over ({_DIAGONAL}) as low from sums),
+tops as (select doc_id, item_id, shift, enough, max(s - low) as score, arg_min(i, (low - s, i)) as last, arg_min(low, (low - s, i)) as low from runs group by 1, 2, 3, 4),
+best as (select t.doc_id, t.item_id, t.shift, t.score, t.last, max(r.i) as first from tops t join runs r on r.doc_id = t.doc_id and r.item_id = t.item_id and r.shift = t.shift and r.i <= t.last and r.s - r.g = t.low where t.score >= t.enough group by all)
+select doc_id, item_id, (first + shift)::BIGINT as begin, ((score + 2 * (last - first + 1)) // 3)::BIGINT as matched, (last - first + 1)::BIGINT as length, score::BIGINT as score
+from best qualify row_number() over (partition by doc_id, item_id order by score desc, first + shift, (score + 2 * (last - first + 1)) desc) = 1
+"""
+
 OP8 = """
 with v as materialized (
   select vec_id, embedding::DOUBLE[] as e from embeddings
@@ -69,4 +102,4 @@ select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/
 from ruled left join known using (host), overall
 """
 
-SQL = {"op3_url_filters": OP3, "op1_ngram_jaccard_join": OP1, "op8_block_ann": OP8, "op9_line_dedup": OP9}
+SQL = {"op1_ngram_jaccard_join": OP1, "op2_suffix_array_dedup": OP2, "op3_url_filters": OP3, "op4_benchmark_decontamination": OP4, "op8_block_ann": OP8, "op9_line_dedup": OP9}

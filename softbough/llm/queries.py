@@ -16,7 +16,9 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    """Spans in words as text, begin-end with the end behind the last word."""
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string"))), ","))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
