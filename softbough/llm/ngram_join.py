@@ -11,8 +11,10 @@ similarity t or more share a shingle among their first n - ceil(t n) + 1 ones, t
    of which it keeps the first in a random order, for two such orders; so a group has two such pairs at most.
 3. Surviving group pairs are expanded to members (stars: to all members of the one and the hub's first), dropped if parity signatures tell
    enough differing elements (never a link), and verified on the whole sets.
-4. Long lists whose members are in one component by now are done. The others get a star around another hub, and what that
-   leaves is paired across components, in blocks of bounded size: all members outside the list's largest component against all others.
+4. Long lists whose members are in one component by now are done. The others get a star around another hub. What that
+   leaves is compared across components, in blocks of bounded size: all members outside the list's largest component against all others by their signatures.
+   Each such member is verified with its nearest only, as long as that joins components; then all pairs still across components are verified, which
+   then are few. Where no signatures leave a pair open, nothing is left to verify.
 
 So every link between different texts that matters for the components is verified, but pairs inside a large group of
 copies are never emitted. Lists of very frequent shingles are dealt in pieces, each with hubs of its own, which step 4 brings together.
@@ -340,9 +342,14 @@ def _verify(num, den):
     return run
 
 
+def _apart(sa, sb) -> np.ndarray:
+    """Differing bits of signatures: at most the elements that the sets have apart."""
+    return np.bitwise_count(sa ^ sb).sum(-1, dtype=np.int64)
+
+
 def _near(sa, sb, total, num, den):
-    """Whether two signatures leave open that the sets link: den * (S - D) >= num * (S + D) for D, the elements apart, at least their differing bits."""
-    return np.bitwise_count(sa ^ sb).sum(-1, dtype=np.int64) * (den + num) <= total * (den - num)
+    """Whether two signatures leave open that the sets link: den * (S - D) >= num * (S + D) for D, the elements apart."""
+    return _apart(sa, sb) * (den + num) <= total * (den - num)
 
 
 def _narrow(column) -> np.ndarray:
@@ -375,8 +382,8 @@ def _prefilter(num, den):
 _CELL = ("token", "i", "j", "doc", "n", "pos", "c", "block")
 
 
-def _cross(num, den, most=1 << 20):
-    """Pairs across components of rows sorted by their cell (token, i, j), which has a few blocks' rows."""
+def _cross(num, den, nearest: bool, most=1 << 20):
+    """Pairs across components of rows sorted by their cell (token, i, j), which has a few blocks' rows: all that may link, or of each minor member the one nearest by signatures."""
 
     def pairs(doc, n, pos, c, block, sig):
         step = max(1, most // max(1, len(doc)))
@@ -386,54 +393,69 @@ def _cross(num, den, most=1 << 20):
             i = rows[i]
             ok = passes(n[i], pos[i], n[j], pos[j], num, den)
             i, j = i[ok], j[ok]
-            ok = _near(sig[i], sig[j], n[i] + n[j], num, den)
-            yield np.stack([doc[i[ok]], doc[j[ok]]], 1)
+            total, apart = n[i] + n[j], _apart(sig[i], sig[j])
+            ok = apart * (den + num) <= total * (den - num)
+            i, j, share = i[ok], j[ok], apart[ok] / total[ok]
+            if nearest:
+                i, j, share = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(share, 2)
+                ok = block[i] >= 0
+                i, j, share = i[ok], j[ok], share[ok]
+            yield doc[i], doc[j], share
+
+    def reduced(held):
+        a, b, share = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((b, share, a) if nearest else (b, a))
+        a, b, share = a[order], b[order], share[order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (False if nearest else b[1:] != b[:-1])
+        return a[first], b[first], share[first]
 
     def run(batches):
         held, size, tail = [], 0, None
 
-        def given():
-            out = np.unique(np.concatenate(held), axis=0)
-            held.clear()
-            return pa.RecordBatch.from_pydict({"a": out[:, 0], "b": out[:, 1]})
-
         def cells(cols, last):
             """Cells but for the last one, which may go on in the next batch."""
             key = np.stack(cols[:3], 1)
             cut = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)
             for a, b in zip(cut, np.append(cut[1:], len(key)) if last else cut[1:]):
-                yield [x[a:b] for x in cols[3:]]
+                yield from pairs(*(x[a:b] for x in cols[3:]))
             cols[:] = [x[cut[-1] :] for x in cols]
 
-        for batch in batches:
-            if not batch.num_rows:
+        def given():
+            a, b, share = reduced(held)
+            held.clear()
+            return pa.RecordBatch.from_pydict({"a": a, "b": b, "share": share})
+
+        def found():
+            nonlocal tail
+            for batch in batches:
+                if batch.num_rows:
+                    cols = [batch.column(x).to_numpy().astype(np.int64) for x in _CELL] + [_narrow(batch.column("sig"))]
+                    tail = cols if tail is None else [np.concatenate(x) for x in zip(tail, cols)]
+                    yield from cells(tail, False)
+            if tail is not None:
+                yield from cells(tail, True)
+
+        for p in found():
+            if not len(p[0]):
                 continue
-            cols = [batch.column(x).to_numpy().astype(np.int64) for x in _CELL] + [_narrow(batch.column("sig"))]
-            tail = cols if tail is None else [np.concatenate(x) for x in zip(tail, cols)]
-            for cell in cells(tail, False):
-                for p in pairs(*cell):
-                    held.append(p)
-                    size += len(p)
-                    if size > most:
-                        yield given()
-                        size = 0
-        if tail is not None:
-            for cell in cells(tail, True):
-                for p in pairs(*cell):
-                    held.append(p)
-                    if sum(map(len, held)) > most:
-                        yield given()
+            held.append(p)
+            size += len(p[0])
+            if size > most:
+                yield given()
+                size = 0
         if held:
             yield given()
 
     return run
 
 
-def cross_pairs(members: DataFrame, num: int, den: int, block: int = 1024) -> DataFrame:
+def cross_pairs(members: DataFrame, num: int, den: int, block: int = 1024, nearest: bool = False) -> DataFrame:
     """All pairs (a, b) across components within the lists of members (token, doc, n, pos, c, sig) that pass the filters.
 
     A list's largest component is dealt in blocks of about `block` members, the others (the minor ones) in blocks of their own. Each minor block
     meets each other block in a cell of its own; blocks of the largest component don't meet, so near copies cost what lies apart from them.
+    With nearest, only the pair of each minor member with the one nearest to it by signatures.
     """
     per = members.groupBy("token", "c").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
     per = per.select("token", F.col("top.c").alias("major"), F.ceil(F.col("top.n") / block).cast("int").alias("majors"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("minors")).where("minors > 0")
@@ -442,7 +464,10 @@ def cross_pairs(members: DataFrame, num: int, den: int, block: int = 1024) -> Da
     given = given.withColumn("other", F.explode(F.sequence(F.when(F.col("is_major"), 0).otherwise(-F.col("majors")), F.col("minors") - 1)))
     given = given.withColumn("i", F.expr("if(block < 0, other, if(other < 0, block, least(block, other)))")).withColumn("j", F.expr("if(block < 0, block, if(other < 0, other, greatest(block, other)))"))
     dealt = given.select(*_CELL, "sig").repartition(n_parts(members.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(_cross(num, den), "a long, b long")
+    found = dealt.mapInArrow(_cross(num, den, nearest), "a long, b long, share double")
+    if nearest:
+        found = found.groupBy("a").agg(F.min(F.struct("share", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b"))
+    return found.select("a", "b").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, heavy: int = 4096) -> DataFrame:
@@ -480,11 +505,11 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, heav
     return out
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, most_frequent: int = 1 << 17, short: int = 4, star_rounds: int = 2, list_rows: int = 4_000_000, heavy: int = 4096) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, most_frequent: int = 1 << 17, short: int = 4, star_rounds: int = 1, nearest_rounds: int = 2, list_rows: int = 4_000_000, heavy: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; components of Jaccard similarity >= num / den.
 
     most_frequent bounds the shingles that the order puts last (it changes cost, not results); lists that stand for up
-    to `short` classes give all pairs; star_rounds is how many turns the others get, of which the last pairs across components. A task's
+    to `short` classes give all pairs; star_rounds is how many stars the others get before members are compared across components, nearest_rounds how often with their nearest only. A task's
     memory holds about list_rows postings, and a hot shingle's list is dealt in pieces of a fortieth of that; heavy is how many pairs share one copy of a hub's set.
     """
     spark = docs.sparkSession
@@ -527,7 +552,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     discard(candidates)
     made, open_ = [links], None
     rest = found.where("kind = 1").select("token", F.col("a").alias("g"), "n", "pos")
-    for turn in range(star_rounds):
+    how, turn = "star" if star_rounds else "nearest", 0
+    while True:
         comp = connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("c"))
         in_comp = members.select("doc", "g", "sig").join(comp, "doc", "left").withColumn("c", F.coalesce("c", "doc"))
         rest = rest.join(in_comp.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "g")
@@ -536,7 +562,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
         discard(was if turn else found)
         if not open_.take(1):
             break
-        if turn < star_rounds - 1:  # each group with one hub: the first in this turn's random order of those its lists begin with
+        if how == "star":  # each group with one hub: the first in this turn's random order of those its lists begin with
             key = F.struct(F.xxhash64("g", F.lit(turn)).alias("at"), "g", "n", "pos", "lo", "hi")
             hub = open_.groupBy("token").agg(F.min(key).alias("h"))
             pair = open_.join(hub, "token").where("lo <> h.lo or hi <> h.hi or lo <> hi")
@@ -545,14 +571,26 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
             pair = pair.groupBy(F.col("g").alias("b")).agg(F.min(F.struct("h.at", "h.g")).alias("h")).select(F.col("h.g").alias("a"), "b")
             candidates = expanded(None, pair)
         else:
-            pair = cross_pairs(open_.select("token", "g", "n", "pos").join(in_comp, "g"), num, den).distinct()
+            pair = cross_pairs(open_.select("token", "g", "n", "pos").join(in_comp, "g"), num, den, nearest=how == "nearest")
             signs = members.select("doc", "n", "sig")
+            pair = store(pair, "nearest")
+            if not pair.take(1):
+                discard(pair)
+                break
             candidates = left_open(pair.join(signs.toDF("a", "na", "ga"), "a").join(signs.toDF("b", "nb", "gb"), "b"))
+            discard(pair)
         more = verified(docs, candidates, k, num, den, heavy)
         discard(candidates)
         made.append(more)
         links = links.unionByName(more)
         rest = open_.select("token", "g", "n", "pos")
+        if how == "all":
+            break
+        turn += 1
+        if how == "nearest":
+            how = "nearest" if turn < star_rounds + nearest_rounds and more.take(1) else "all"
+        elif turn >= star_rounds:
+            how = "nearest"
     comp = connected_components(links)
     for t in (*made, open_, members):
         discard(t)
