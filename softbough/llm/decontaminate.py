@@ -114,9 +114,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, penalty: int
     def overlap(shift):
         """The best segment of one diagonal as (score, -begin, matched, length)."""
         first, last = F.greatest(F.lit(0), -shift), F.least(F.size("b"), F.size("a") - shift) - 1
-        t = F.aggregate(F.transform(F.sequence(first, last), lambda i: F.get("a", i + shift) == F.get("b", i)), empty, step, lambda t: F.struct(
-            t["score"].alias("score"), t["from"].alias("from"), t["upto"].alias("upto"), t["matched"].alias("matched")))
-        return F.struct(t["score"].cast("long").alias("score"), (-(first + shift + t["from"])).cast("long").alias("back"), t["matched"].cast("long").alias("matched"), (t["upto"] - t["from"]).cast("long").alias("length"))
+        same = F.transform(F.sequence(first, last), lambda i: F.get("a", i + shift) == F.get("b", i))
+        return F.aggregate(same, empty, step, lambda t: F.struct(  # the result is read once, so the fold runs once
+            t["score"].cast("long").alias("score"), (-(first + shift + t["from"])).cast("long").alias("back"), t["matched"].cast("long").alias("matched"), (t["upto"] - t["from"]).cast("long").alias("length")))
 
     rows = whole.select("doc_id", "item_id", "enough", F.array_max(F.transform("shifts", overlap)).alias("t")).where(F.col("t.score") >= F.col("enough"))
     top = rows.groupBy("doc_id", "item_id").agg(F.max("t").alias("t"))  # rows that share a doc_id
