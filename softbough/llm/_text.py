@@ -81,7 +81,9 @@ def word_hashes(raw, offs):
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
     power, inverse = _powers(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+    np.add(text, np.uint64(1), out=total[1:], dtype=np.uint64)
+    total[1:] *= power[:n]
+    np.cumsum(total, out=total)
     return mix((total[e] - total[s]) * inverse[s]), np.searchsorted(s, offs).astype(np.int64)
 
 

@@ -9,9 +9,10 @@ suffix is compared with the nearest neighbour of another document on either side
 are exchanged, two rows each); the match is extended to the left and right, and where it has min_words words or more,
 it is a repeated span. Spans of a document that touch are joined, so longer passages come out whole.
 
-A match hidden from both orders by longer ones is found in a last step: the windows of min_words words around a suffix that the spans
-do not cover yet are keyed by their words, a bitmap of those keys picks the equal windows among all suffixes, and windows whose key
-two documents or more hold (counted with partial aggregation) are spans, too. So no shared passage is missed.
+A match hidden from both orders by longer ones is found in a last step. The orders tell how many words to the right and how many to the left
+a suffix shares with another document at most, so only windows of min_words words within that reach can be elsewhere, too. Those that the spans do not cover
+yet are keyed by their words, a bitmap of those keys picks the equal windows among all suffixes (where they are many millions: all windows of suffixes
+that begin with the same k words), and windows whose key two documents or more hold (counted with partial aggregation) are spans, too. So no shared passage is missed.
 
 Words around a suffix are compared by 16 bits of their hashes, so a word that differs passes for equal in one of 65 000 cases: a match of one word
 less than min_words may then count. Matches that are there are never lost by it.
@@ -53,7 +54,7 @@ def _selected(raw, offs, k, span):
 def _count(k, span):
     def run(batches):
         for batch in batches:
-            for _, raw, offs in chunks(batch.column("text"), 8 << 20):
+            for _, raw, offs in chunks(batch.column("text")):
                 _, _, h, _ = _selected(raw, offs, k, span)
                 some, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"h": some.view(np.int64), "n": n.astype(np.int64)})
@@ -110,7 +111,7 @@ _ENDS = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()
 
 
 def _ends(batches):
-    """The first row and the last two rows of different documents of a partition, for its neighbours."""
+    """The first rows of a partition's first two runs of one document, and the last rows of its last two, for its neighbours."""
     head, tail = [], []
     part = None
     for batch in batches:
@@ -121,20 +122,43 @@ def _ends(batches):
             firsts = [0, *edge[:1].tolist()]
             lasts = [*(edge[-1:] - 1).tolist(), batch.num_rows - 1]
             rows = batch.take(pa.array(firsts + lasts)).select(_COLS).to_pylist()
-            head = (head + rows[: len(firsts)])[:2] if len(head) < 2 or head[0]["doc_id"] == head[1]["doc_id"] else head
-            tail = rows[len(firsts) :] if len(lasts) > 1 else ([*tail[-1:], rows[-1]])
+            for r in rows[: len(firsts)]:
+                if len(head) < 2 and not (head and _run(head[-1]) == _run(r)):
+                    head.append(r)
+            for r in rows[len(firsts) :]:
+                tail = [*(tail[:-1] if tail and _run(tail[-1]) == _run(r) else tail), r][-2:]
     for side, rows in (("head", head), ("tail", tail)):
         for r in rows:
             yield pa.RecordBatch.from_pylist([r | {"p": part, "side": side}], schema=_ENDS)
 
 
-def _match(k, side, min_words, ends):
-    """Extends matches between neighbours of one sorted partition; rows of other partitions' ends stand at both ends."""
+def _run(row):
+    return row["h"], row["doc_id"]
+
+
+def _beside(lists):
+    """The first two runs of several partitions' ends."""
+    out: list = []
+    for r in (r for rows in lists for r in rows):
+        if not out or _run(out[-1]) != _run(r):
+            out.append(r)
+        if len(out) == 2:
+            break
+    return out
+
+
+def _match(k, side, min_words, ends, to_right):
+    """Extends matches between neighbours of one sorted partition; rows of other partitions' ends stand at both ends. Also how many words
+    each suffix (begin; no end) shares at most with another document in the direction of the order."""
 
     def common(x, y):
         differ = (x != y) | (x == 0)
         return np.where(differ.any(1), differ.argmax(1), side)
 
+    def rows_of(doc, begin, end, reach):
+        end, reach = (pa.nulls(len(doc), pa.int32()) if x is None else pa.array(x.astype(np.int32)) for x in (end, reach))
+        return pa.RecordBatch.from_pydict({"doc_id": doc, "begin": begin.astype(np.int32), "end": end, "reach": reach})
+
     def found(rows):
         h, d, pos, right, left = rows
         n = len(h)
@@ -142,6 +166,7 @@ def _match(k, side, min_words, ends):
         new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
         begin = np.flatnonzero(new)
         size = np.diff(np.concatenate([begin, [n]]))
+        reach = np.full(n, -1)
         for other in (np.repeat(begin, size) - 1, np.repeat(begin + size, size)):
             i = np.flatnonzero((other >= 0) & (other < n))
             i = i[h[other[i]] == h[i]]
@@ -149,10 +174,14 @@ def _match(k, side, min_words, ends):
                 continue
             j = other[i]
             r, l = common(right[i], right[j]), common(left[i], left[j])
+            reach[i] = np.maximum(reach[i], r if to_right else l)
             ok = k + r + l >= min_words
             for e in (i[ok], j[ok]):  # both ends of a match
                 if len(e):
-                    yield pa.RecordBatch.from_pydict({"doc_id": d[e], "begin": (pos[e] - l[ok]).astype(np.int32), "end": (pos[e] + k + r[ok]).astype(np.int32)})
+                    yield rows_of(d[e], pos[e] - l[ok], pos[e] + k + r[ok], None)
+        i = np.flatnonzero(reach >= 0)
+        if len(i):
+            yield rows_of(d[i], pos[i], None, reach[i])
 
     def arrays(source):
         wide = lambda c: np.frombuffer(b"".join(c), ">u2").reshape(-1, side).astype(np.uint16)
@@ -174,7 +203,7 @@ def _match(k, side, min_words, ends):
             # keep the last document's rows and one row before them
             h, d = rows[0], rows[1]
             same = np.flatnonzero((h != h[-1]) | (d != d[-1]))
-            cut = int(same[-1]) if len(same) else max(0, len(h) - 1)
+            cut = int(same[-1]) if len(same) else 0
             tail = [x[cut:] for x in rows]
         if tail is not None and after:
             more = arrays(list(zip(*([r[c] for c in _COLS] for r in after))))
@@ -193,11 +222,12 @@ def _neighbours(kept: DataFrame, key: list[str], k, side, min_words) -> DataFram
     for r in rows:
         by.setdefault(r.p, {"head": [], "tail": []})[r.side].append(r)
     parts, ends = sorted(by), {}
-    for i, p in enumerate(parts):
-        ends[p] = (by[parts[i - 1]]["tail"] if i else [], by[parts[i + 1]]["head"] if i + 1 < len(parts) else [])
+    for i, p in enumerate(parts):  # a partition of one run leaves its neighbour's neighbour to look at
+        before = _beside(by[x]["tail"][::-1] for x in parts[:i][::-1])
+        ends[p] = (before[::-1], _beside(by[x]["head"] for x in parts[i + 1 :]))
     ends = {p: tuple([{c: r[c] if c in _COLS[:3] else bytes(r[c]) for c in _COLS} for r in e] for e in both) for p, both in ends.items()}
-    found = dealt.mapInArrow(_match(k, side, min_words, spark.sparkContext.broadcast(ends)), "doc_id long, begin int, end int")
-    return store(found.distinct(), "spans")
+    found = dealt.mapInArrow(_match(k, side, min_words, spark.sparkContext.broadcast(ends), key[0] == "right"), "doc_id long, begin int, end int, reach int")
+    return store(found, "spans")
 
 
 def _window_keys(h, right, left, side):
@@ -217,30 +247,55 @@ def _words_of(column, side):
     return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, side).astype(np.uint64)
 
 
-def _rest(k, side):
-    """Windows that no span covers; rows are suffixes and joined spans (no h), sorted by document, position, spans first."""
+def _open(k, side):
+    """Suffixes with windows within reach that no span covers, as bits by the words to the left; rows are suffixes and joined spans, sorted by document, position, spans first."""
 
     def run(batches):
         last = (-1, -1, -1)  # document, begin and end of the span before
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d, pos, end = (batch.column(c).to_numpy() for c in ("doc_id", "pos", "end"))
+            d, pos, end, r, l = (batch.column(c).to_numpy() for c in ("doc_id", "pos", "end", "r", "l"))
             span = end >= 0
             d, pos, end, span = (np.concatenate([[x], y]) for x, y in zip((*last, True), (d, pos, end, span)))
             at = np.maximum.accumulate(np.where(span, np.arange(len(d)), 0))
             last = (d[at[-1]], pos[at[-1]], end[at[-1]])
             i = np.flatnonzero(~span)
-            rows = batch.take(pa.array(i - 1))
-            for a in range(0, len(i), 4096):
-                part, b = rows.slice(a, 4096), i[a : a + 4096]
+            near, words = at[i], np.arange(side + 1)[:, None]
+            begin = pos[i] - words
+            covered = (d[near] == d[i]) & (pos[near] <= begin) & (end[near] >= begin + k + side)
+            free = ~covered & (words <= l[i - 1]) & (side - words <= r[i - 1])
+            some = free.any(0)
+            bits = (free.astype(np.int64) << words).sum(0)
+            if some.any():
+                yield pa.RecordBatch.from_pydict({"doc_id": d[i[some]], "pos": pos[i[some]].astype(np.int32), "windows": bits[some]})
+
+    return run
+
+
+def _picked(bitmap):
+    def run(batches):
+        bits = bitmap.value
+        for batch in batches:
+            keep = np.flatnonzero(_hit(bits, batch.column("at").to_numpy().view(np.uint64)))
+            if len(keep):
+                yield batch.select(_COLS).take(pa.array(keep))
+
+    return run
+
+
+def _rest(side):
+    """The open windows of suffixes."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
                 key, held = _window_keys(part.column("h").to_numpy().view(np.uint64), _words_of(part.column("right"), side), _words_of(part.column("left"), side), side)
-                begin = pos[b] - np.arange(side + 1)[:, None]
-                near = at[b]
-                covered = (d[near] == d[b]) & (pos[near] <= begin) & (end[near] >= begin + k + side)
-                x, y = np.nonzero(held & ~covered)
+                x, y = np.nonzero(held & (part.column("windows").to_numpy() >> np.arange(side + 1)[:, None] & 1).astype(bool))
                 if len(x):
-                    yield pa.RecordBatch.from_pydict({"key": key[x, y].view(np.int64), "doc_id": d[b[y]], "begin": begin[x, y].astype(np.int32)})
+                    h, d, pos = (part.column(c).to_numpy()[y] for c in _COLS[:3])
+                    yield pa.RecordBatch.from_pydict({"key": key[x, y].view(np.int64), "doc_id": d, "begin": (pos - x).astype(np.int32), "h": h})
 
     return run
 
@@ -261,17 +316,25 @@ def _same_windows(side, bitmap):
     return run
 
 
-def _hidden(kept: DataFrame, joined: DataFrame, k, side) -> DataFrame:
+def _hidden(kept: DataFrame, joined: DataFrame, right: DataFrame, left: DataFrame, k, side) -> DataFrame:
     """(doc_id, begin, end) of the repeated windows that the joined spans do not cover."""
     spark = kept.sparkSession
-    spans = joined.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.begin").alias("pos"), F.col("s.end").alias("end"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("binary").alias("right"), F.lit(None).cast("binary").alias("left"))
-    rows = kept.select("doc_id", "pos", F.lit(-1).alias("end"), "h", "right", "left").unionByName(spans)
-    rows = rows.repartition(n_parts(spark), "doc_id").sortWithinPartitions("doc_id", "pos", F.col("end").desc())
-    rest = store(rows.mapInArrow(_rest(k, side), "key long, doc_id long, begin int"), "rest")
-    bits = spark.sparkContext.broadcast(_bitmap(rest.select(F.col("key").alias("h"))))  # without one, all windows are counted
-    same = kept.mapInArrow(_same_windows(side, bits), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    none = F.lit(None).cast("int")
+    spans = joined.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.begin").alias("pos"), F.col("s.end").alias("end"), F.lit(-1).alias("r"), F.lit(-1).alias("l"))
+    given = [t.where("reach is not null").select("doc_id", F.col("begin").alias("pos"), r.alias("r"), l.alias("l")) for t, r, l in ((right, F.col("reach"), none), (left, none, F.col("reach")))]
+    reach = given[0].unionByName(given[1]).groupBy("doc_id", "pos").agg(F.max("r").alias("r"), F.max("l").alias("l")).where(F.col("r") + F.col("l") >= side)
+    rows = reach.withColumn("end", F.lit(-1)).unionByName(spans).repartition(n_parts(spark), "doc_id").sortWithinPartitions("doc_id", "pos", F.col("end").desc())
+    open_ = store(rows.mapInArrow(_open(k, side), "doc_id long, pos int, windows long"), "open")
+    at = F.xxhash64("doc_id", "pos")
+    bits = _bitmap(open_.select(at.alias("h")))
+    some = kept.withColumn("at", at).mapInArrow(_picked(spark.sparkContext.broadcast(bits)), kept.schema) if bits is not None else kept
+    rest = store(some.join(open_, ["doc_id", "pos"]).mapInArrow(_rest(side), "key long, doc_id long, begin int, h long"), "rest")
+    bits = _bitmap(rest.select(F.col("key").alias("h")))
+    some = kept if bits is not None else kept.join(rest.select("h").distinct(), "h", "left_semi")
+    same = some.mapInArrow(_same_windows(side, spark.sparkContext.broadcast(bits)), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     found = store(rest.join(same.select("key"), "key").select("doc_id", "begin", (F.col("begin") + k + side).alias("end")).distinct(), "hidden")
     discard(rest)
+    discard(open_)
     return found
 
 
@@ -307,10 +370,10 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, k: int = 20) -> DataFra
     def by_document(found):
         return found.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")).mapInArrow(_join_spans, joined)
 
-    first = store(by_document(spans[0].unionByName(spans[1])), "joined")
-    for t in spans:
+    matches = spans[0].unionByName(spans[1]).where("end is not null").select("doc_id", "begin", "end")
+    first = store(by_document(matches), "joined")
+    hidden = _hidden(kept, first, *spans, k, side)
+    for t in (*spans, kept):
         discard(t)
-    hidden = _hidden(kept, first, k, side)
-    discard(kept)
     whole = first.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.begin", "s.end")
     return by_document(whole.unionByName(hidden))
