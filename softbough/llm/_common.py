@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import sys
 import tempfile
@@ -70,6 +71,12 @@ def discard(df: DataFrame | None) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver drop the shuffle files that no plan refers to any more; else they stay until its memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpoints(spark: SparkSession) -> None:
     """Sees to it that checkpoint() has a folder."""
     if spark.sparkContext.getCheckpointDir() is None:

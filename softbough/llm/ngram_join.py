@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, n_parts, store
+from ._common import discard, n_parts, release, store
 from ._text import chunks, mix, shingle_sets
 from .components import connected_components
 
@@ -502,6 +502,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, heav
     discard(ids)
     if bloom:
         bloom.destroy()
+    release(spark)
     return out
 
 
@@ -530,8 +531,12 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     rows = sets.where("prefix is not null").select("g", "n", F.lit(None).cast("long").alias("m"), "prefix").unionByName(groups.select("g", F.lit(None).cast("int").alias("n"), "m", F.lit(None).cast("binary").alias("prefix")))
     rows = rows.repartition(n_parts(spark), "g").sortWithinPartitions("g", F.desc_nulls_last("m"))
     lists = store(rows.mapInArrow(_postings(parts, hot), "part int, block binary"), "postings")
+    prefixes, sets = sets, store(sets.select("doc_id", "n", "s1", "s2"), "sizes")  # prefixes and signatures have done
+    discard(prefixes)
+    release(spark)
     found = store(lists.repartition(n_parts(spark), "part").sortWithinPartitions("part").mapInArrow(_match(num, den, short), _FOUND), "pairs")
     discard(lists)
+    release(spark)
     x = members.select(F.col("g").alias("gx"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga"))
     y = members.select(F.col("g").alias("gy"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb"), "lead")
 
@@ -548,6 +553,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     hubs = found.where("kind between 2 and 8").groupBy("kind", "b").agg(F.min(F.struct("token", "a")).alias("h")).select(F.col("h.a").alias("a"), "b")
     own = found.where("kind = 9").select("a", F.col("a").alias("b"))
     candidates = expanded(found.where("kind = 0").select("a", "b").distinct(), hubs.unionByName(own).distinct())
+    release(spark)
     links = verified(docs, candidates, k, num, den, heavy)
     discard(candidates)
     made, open_ = [links], None
@@ -594,6 +600,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     comp = connected_components(links)
     for t in (*made, open_, members):
         discard(t)
+    release(spark)
     named = classes.join(comp, classes.doc == comp.node, "left").select("s1", "s2", "n", F.coalesce("component", "doc").alias("component_id"))
     full = sets.where("n > 0").select("doc_id", "s1", "s2", "n").join(named, ["s1", "s2", "n"]).select("doc_id", "n", "component_id")
     empty = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
