@@ -347,6 +347,14 @@ def _apart(sa, sb) -> np.ndarray:
     return np.bitwise_count(sa ^ sb).sum(-1, dtype=np.int64)
 
 
+def _apart_at(sig, i, j, some: int = 1 << 14) -> np.ndarray:
+    """_apart() of the rows i and j, of which no more than `some` are copied at a time."""
+    out = np.empty(len(i), np.int64)
+    for a in range(0, len(i), some):
+        out[a : a + some] = _apart(sig[i[a : a + some]], sig[j[a : a + some]])
+    return out
+
+
 def _near(sa, sb, total, num, den):
     """Whether two signatures leave open that the sets link: den * (S - D) >= num * (S + D) for D, the elements apart."""
     return _apart(sa, sb) * (den + num) <= total * (den - num)
@@ -382,7 +390,7 @@ def _prefilter(num, den):
 _CELL = ("token", "i", "j", "doc", "n", "pos", "c", "block")
 
 
-def _cross(num, den, nearest: bool, most=1 << 20):
+def _cross(num, den, nearest: bool, most=1 << 18):
     """Pairs across components of rows sorted by their cell (token, i, j), which has a few blocks' rows: all that may link, or of each minor member the one nearest by signatures."""
 
     def pairs(doc, n, pos, c, block, sig):
@@ -393,7 +401,7 @@ def _cross(num, den, nearest: bool, most=1 << 20):
             i = rows[i]
             ok = passes(n[i], pos[i], n[j], pos[j], num, den)
             i, j = i[ok], j[ok]
-            total, apart = n[i] + n[j], _apart(sig[i], sig[j])
+            total, apart = n[i] + n[j], _apart_at(sig, i, j)
             ok = apart * (den + num) <= total * (den - num)
             i, j, share = i[ok], j[ok], apart[ok] / total[ok]
             if nearest:
@@ -422,8 +430,7 @@ def _cross(num, den, nearest: bool, most=1 << 20):
             cols[:] = [x[cut[-1] :] for x in cols]
 
         def given():
-            a, b, share = reduced(held)
-            held.clear()
+            a, b, share = held.pop()
             return pa.RecordBatch.from_pydict({"a": a, "b": b, "share": share})
 
         def found():
@@ -442,9 +449,13 @@ def _cross(num, den, nearest: bool, most=1 << 20):
             held.append(p)
             size += len(p[0])
             if size > most:
-                yield given()
-                size = 0
+                held[:] = [reduced(held)]
+                size = len(held[0][0])
+                if size > most // 2:
+                    yield given()
+                    size = 0
         if held:
+            held[:] = [reduced(held)]
             yield given()
 
     return run
