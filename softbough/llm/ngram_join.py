@@ -146,8 +146,27 @@ def _scan_sets(k, num, den, frequent):
     return run
 
 
+def _one_each(batches):
+    """Rows of (g, n, m, prefix), sorted by g with its number of classes first -> one row for each group."""
+    last, many, done = None, 1, False
+    for batch in batches:
+        m, at, ms = batch.column("m").to_pylist(), [], []
+        bare = batch.column("prefix").is_null().to_pylist()
+        for i, g in enumerate(batch.column("g").to_pylist()):
+            if g != last:
+                last, many, done = g, 1, False
+            if bare[i]:
+                many = min(m[i], 1 << 31)
+            elif not done:
+                done = True
+                at.append(i)
+                ms.append(many)
+        few = batch.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_pydict({"g": few.column("g"), "n": few.column("n"), "m": pa.array(ms, pa.int64()), "prefix": few.column("prefix")})
+
+
 def _postings(parts: int, hot):
-    """Rows of (g, n, m, prefix), sorted by g with its number of classes first -> blocks of postings, dealt by shingle."""
+    """Groups (g, n, m, prefix) -> blocks of postings, dealt by shingle."""
 
     def deal(held):
         g, n, m, prefixes = zip(*held)
@@ -169,25 +188,19 @@ def _postings(parts: int, hot):
         blobs = []
         for p in full:
             o = order[cut[p] : cut[p + 1]]
-            have, local = np.unique(group[o], return_inverse=True)
-            blobs.append(_pack(g[have], tok[o], n[have], m[have], local, pos[o], piece[o]))
+            have, times = np.unique(group[o], return_counts=True)  # a group's shingles stand together
+            blobs.append(_pack(g[have], tok[o], n[have], m[have], times, pos[o], piece[o]))
         return pa.RecordBatch.from_pydict({"part": pa.array(full, pa.int32()), "block": pa.array(blobs, pa.binary())})
 
     def run(batches):
-        held, size, last, many, done = [], 0, None, 1, False
+        held, size = [], 0
         for batch in batches:
-            for g, n, m, prefix in zip(*(batch.column(c).to_pylist() for c in ("g", "n", "m", "prefix"))):
-                if g != last:
-                    last, many, done = g, 1, False
-                if prefix is None:
-                    many = min(m, 1 << 31)
-                elif not done:
-                    done = True
-                    held.append((g, n, many, prefix))
-                    size += len(prefix)
-            if size > 8 * FLUSH:
-                yield deal(held)
-                held, size = [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "n", "m", "prefix"))):
+                held.append(row)
+                size += len(row[3])
+                if size > 8 * FLUSH:
+                    yield deal(held)
+                    held, size = [], 0
         if held:
             yield deal(held)
 
@@ -197,17 +210,20 @@ def _postings(parts: int, hot):
 _FIELDS = (np.int64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
 
 
-def _pack(g, tok, n, m, local, pos, piece) -> bytes:
-    """Groups' ids, shingles, groups' sizes and numbers of classes; for each shingle its group here, its place in the prefix and its piece."""
-    return np.array([len(g), len(tok)], np.int64).tobytes() + b"".join(x.astype(t).tobytes() for x, t in zip((g, tok, n, m, local, pos, piece), _FIELDS))
+def _pack(g, tok, n, m, times, pos, piece) -> bytes:
+    """Groups' ids, shingles, groups' sizes, numbers of classes and numbers of shingles here; for each shingle its place in the prefix and its piece.
+    Bytes of one rank stand together, so the high ones, which are nearly all zero, compress."""
+    planes = lambda x: x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return np.array([len(g), len(tok)], np.int64).tobytes() + b"".join(planes(np.ascontiguousarray(x.astype(t))) for x, t in zip((g, tok, n, m, times, pos, piece), _FIELDS))
 
 
 def _unpack(blob):
     groups, tokens = np.frombuffer(blob, np.int64, 2).tolist()
     out, at = [], 16
-    for t, length in zip(_FIELDS, (groups, tokens, groups, groups, tokens, tokens, tokens)):
-        out.append(np.frombuffer(blob, t, length, at))
-        at += out[-1].nbytes
+    for t, length in zip(_FIELDS, (groups, tokens, groups, groups, groups, tokens, tokens)):
+        size = np.dtype(t).itemsize
+        out.append(np.frombuffer(blob, np.uint8, length * size, at).reshape(size, length).T.copy().view(t).reshape(length))
+        at += length * size
     return out
 
 
@@ -234,7 +250,7 @@ def _match(num, den, short):
         got = [_unpack(b) for b in blobs]
         first = np.cumsum([0] + [len(x[0]) for x in got])
         g, tok, n, m, _, pos, piece = (np.concatenate([x[i] for x in got]) for i in range(7))
-        who = np.concatenate([x[4] + b for x, b in zip(got, first)])
+        who = np.concatenate([np.repeat(np.arange(len(x[0])) + b, x[4]) for x, b in zip(got, first)])
         got = None
         order = np.lexsort((piece, tok))
         tok, piece, who, pos = tok[order], piece[order], who[order], pos[order]
@@ -369,6 +385,12 @@ def _narrow(column) -> np.ndarray:
     return out
 
 
+def _narrowed(batches):
+    for batch in batches:
+        sigs = _narrow(batch.column("sig"))
+        yield batch.set_column(batch.schema.get_field_index("sig"), "sig", pa.array([x.tobytes() for x in sigs], pa.binary()))
+
+
 def _prefilter(num, den):
     def run(batches):
         for batch in batches:
@@ -541,12 +563,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     parts = max(n_parts(spark), -(-total // (8 * list_rows)))
     rows = sets.where("prefix is not null").select("g", "n", F.lit(None).cast("long").alias("m"), "prefix").unionByName(groups.select("g", F.lit(None).cast("int").alias("n"), "m", F.lit(None).cast("binary").alias("prefix")))
     rows = rows.repartition(n_parts(spark), "g").sortWithinPartitions("g", F.desc_nulls_last("m"))
-    lists = store(rows.mapInArrow(_postings(parts, hot), "part int, block binary"), "postings")
+    single = store(rows.mapInArrow(_one_each, "g long, n int, m long, prefix binary"), "groups")
     prefixes, sets = sets, store(sets.select("doc_id", "n", "s1", "s2"), "sizes")  # prefixes and signatures have done
     discard(prefixes)
     release(spark)
+    lists = single.mapInArrow(_postings(parts, hot), "part int, block binary")  # they lie on disk once, as they are dealt
     found = store(lists.repartition(n_parts(spark), "part").sortWithinPartitions("part").mapInArrow(_match(num, den, short), _FOUND), "pairs")
-    discard(lists)
+    discard(single)
     release(spark)
     x = members.select(F.col("g").alias("gx"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga"))
     y = members.select(F.col("g").alias("gy"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb"), "lead")
@@ -572,8 +595,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     how, turn = "star" if star_rounds else "nearest", 0
     while True:
         comp = connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("c"))
-        in_comp = members.select("doc", "g", "sig").join(comp, "doc", "left").withColumn("c", F.coalesce("c", "doc"))
-        rest = rest.join(in_comp.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "g")
+        placed = lambda rows: rows.join(comp, "doc", "left").withColumn("c", F.coalesce("c", "doc"))
+        rest = rest.join(placed(members.select("doc", "g")).groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "g")
         per = rest.groupBy("token").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
         was, open_ = open_, store(rest.join(per.where("first < last").select("token"), "token"), "open")
         discard(was if turn else found)
@@ -588,7 +611,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
             pair = pair.groupBy(F.col("g").alias("b")).agg(F.min(F.struct("h.at", "h.g")).alias("h")).select(F.col("h.g").alias("a"), "b")
             candidates = expanded(None, pair)
         else:
-            pair = cross_pairs(open_.select("token", "g", "n", "pos").join(in_comp, "g"), num, den, nearest=how == "nearest")
+            narrow = members.select("doc", "g", "sig").mapInArrow(_narrowed, "doc long, g long, sig binary")  # sent once for each list and cell
+            pair = cross_pairs(open_.select("token", "g", "n", "pos").join(placed(narrow), "g"), num, den, nearest=how == "nearest")
             signs = members.select("doc", "n", "sig")
             pair = store(pair, "nearest")
             if not pair.take(1):
