@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, discard, n_parts, store
+from ._common import bounded_batches, discard, lean, n_parts, store
 from ._text import chunks, word_hashes
 
 N_FEATURES = 28
 BUCKET = 8192
+CHUNK = 1 << 19  # bytes of text at once: counting takes about thirty times as much
 PAIRS = 5
 _RARE = 64  # rows of the rarer class in a bucket, about, at least
 _FEW = 1 << 16  # scores that the driver may hold
@@ -245,7 +246,7 @@ def fit_pairwise(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, seed: int =
 def _features_of(batches):
     for batch in batches:
         ids = batch.column("doc_id")
-        for a, raw, offs in chunks(batch.column("text")):
+        for a, raw, offs in chunks(batch.column("text"), CHUNK):
             x = features(raw, offs)
             yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(a, len(x)), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
@@ -283,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", ridge: flo
     """Fits on all labelled rows of labels (doc_id, label). Only their features are shuffled and stored, for the time of the fit."""
     spark = docs.sparkSession
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    known = docs.select("doc_id", "text").mapInArrow(_features_of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x binary")
+    known = docs.select("doc_id", "text").mapInArrow(lean(_features_of), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x binary")
     rows = store(known.join(chosen, "doc_id").select("label", F.xxhash64("doc_id").alias("h"), "x"), "labelled")
     n, n_good, n_bad = rows.agg(F.count("*"), F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if not n:
@@ -295,12 +296,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", ridge: flo
     copy = F.explode(F.sequence(F.lit(0), F.when(F.col("label") == rarer, F.lit(copies - 1)).otherwise(F.lit(0))))
     given = rows.withColumn("copy", copy).select(((F.pmod("h", F.lit(buckets)) + F.col("copy")) % buckets).cast("int").alias("bucket"), "label", (F.col("copy") == 0).alias("own"), "x")
     dealt = given.repartition(n_parts(spark), "bucket").sortWithinPartitions("bucket", "label", "own", "x")  # the same model for any order of rows
-    held = store(dealt.mapInArrow(_bucketed, "bucket int, label binary, own binary, x binary"), "buckets")
+    held = store(dealt.mapInArrow(lean(_bucketed), "bucket int, label binary, own binary, x binary"), "buckets")
     discard(rows)
 
     def ask(f):
         with bounded_batches(spark):
-            got = held.mapInArrow(_asked(f), "bucket int, out binary").toArrow()
+            got = held.mapInArrow(lean(_asked(f)), "bucket int, out binary").toArrow()
         return [np.frombuffer(x) for _, x in sorted(zip(got["bucket"].to_pylist(), got["out"].to_pylist()))]
 
     model = _fit(ask, ridge, seed)
@@ -311,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", ridge: flo
 def _score(model, names):
     def run(batches):
         for batch in batches:
-            parts = [model.score(_widen(features(raw, offs))) for _, raw, offs in chunks(batch.column("text"))]
+            parts = [model.score(_widen(features(raw, offs))) for _, raw, offs in chunks(batch.column("text"), CHUNK)]
             cols = {c: batch.column(c) for c in names}
             yield pa.RecordBatch.from_pydict(cols | {"score": pa.array(np.concatenate(parts) if parts else [], pa.float64())})
 
@@ -323,5 +324,5 @@ def score_quality(docs: DataFrame, model: PairwiseModel, keep: list[str] | None
     names = [c for c in (keep or docs.columns) if c != "score"]
     given = docs.select(*dict.fromkeys([*names, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", score double"
-    return given.mapInArrow(_score(model, names), schema)
+    return given.mapInArrow(lean(_score(model, names)), schema)
 

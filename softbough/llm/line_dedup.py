@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpoints, discard, n_parts, store
+from ._common import checkpoints, discard, lean, n_parts, store
 
 WHITE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -145,19 +145,19 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     """(doc_id, x, keep) for the documents that lose a line; x is xxhash64 of the text, keep a bitmap for unpack_bitmap()."""
     spark = docs.sparkSession
     given = docs.where("doc_id is not null").select("doc_id", "text", F.expr("xxhash64(coalesce(text, ''))").alias("x"))
-    lines = store(given.mapInArrow(_scan(min_chars), "h1 long, h2 long, doc_id long, x long, pos int"), "lines")
+    lines = store(given.mapInArrow(lean(_scan(min_chars)), "h1 long, h2 long, doc_id long, x long, pos int"), "lines")
     parts = max(n_parts(spark), 1)
     order = ["h1", "h2", F.desc("doc_id")]
     checkpoints(spark)
     dealt = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order, "x", "pos").checkpoint()
-    edges = dealt.mapInArrow(_edges, "h1 long, h2 long, n long, top long").collect()  # two rows a partition at most
+    edges = dealt.mapInArrow(lean(_edges), "h1 long, h2 long, n long, top long").collect()  # two rows a partition at most
     across: dict = {}
     for e in edges:
         n, top = across.get((e.h1, e.h2), (0, e.top))
         across[e.h1, e.h2] = (n + e.n, max(top, e.top))
-    lost = dealt.mapInArrow(_stream(min_docs, spark.sparkContext.broadcast(across)), "doc_id long, x long, pos int")
+    lost = dealt.mapInArrow(lean(_stream(min_docs, spark.sparkContext.broadcast(across))), "doc_id long, x long, pos int")
     grouped = lost.groupBy("doc_id", "x").agg(F.collect_set("pos").alias("at"))
-    out = store(grouped.mapInArrow(_pack, "doc_id long, x long, keep binary"), "bitmaps")
+    out = store(grouped.mapInArrow(lean(_pack), "doc_id long, x long, keep binary"), "bitmaps")
     discard(lines)
     return out
 
@@ -192,4 +192,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     on = (docs["doc_id"] == maps[doc]) & (F.expr("xxhash64(coalesce(text, ''))") == maps[x])
     joined = docs.join(maps.hint("shuffle_hash"), on, "left").drop(doc, x)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
-    return joined.mapInArrow(_apply(docs.columns, keep), schema)
+    return joined.mapInArrow(lean(_apply(docs.columns, keep)), schema)

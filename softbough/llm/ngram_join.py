@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, n_parts, release, store
+from ._common import discard, lean, n_parts, release, store
 from ._text import chunks, mix, shingle_sets
 from .components import connected_components
 
@@ -76,7 +76,7 @@ def frequent_shingles(docs: DataFrame, k: int, most: int):
     The counts take in all documents but for shingles seen once in a block. They only choose
     an order, so the result of the join does not depend on them; their number is bounded.
     """
-    found = docs.select("text").mapInArrow(_scan_frequent(k), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    found = docs.select("text").mapInArrow(lean(_scan_frequent(k)), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     top = found.where("c >= 4").orderBy(F.desc("c"), "token").limit(most).toArrow()
     tokens, counts = top["token"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(tokens)
@@ -497,7 +497,7 @@ def cross_pairs(members: DataFrame, num: int, den: int, block: int = 1024, neare
     given = given.withColumn("other", F.explode(F.sequence(F.when(F.col("is_major"), 0).otherwise(-F.col("majors")), F.col("minors") - 1)))
     given = given.withColumn("i", F.expr("if(block < 0, other, if(other < 0, block, least(block, other)))")).withColumn("j", F.expr("if(block < 0, block, if(other < 0, other, greatest(block, other)))"))
     dealt = given.select(*_CELL, "sig").repartition(n_parts(members.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    found = dealt.mapInArrow(_cross(num, den, nearest), "a long, b long, share double")
+    found = dealt.mapInArrow(lean(_cross(num, den, nearest)), "a long, b long, share double")
     if nearest:
         found = found.groupBy("a").agg(F.min(F.struct("share", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b"))
     return found.select("a", "b").distinct()
@@ -515,7 +515,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, heav
         bloom, given = None, docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
     else:
         bloom, given = spark.sparkContext.broadcast(bitmap), docs.select("doc_id", "text", F.expr(f"pmod(xxhash64(doc_id), {1 << bits})").alias("h"))
-    sets = store(given.mapInArrow(_emit_sets(k, bloom), "doc_id long, shingles binary"), "sets")
+    sets = store(given.mapInArrow(lean(_emit_sets(k, bloom)), "doc_id long, shingles binary"), "sets")
     hubs = ids.where(F.col("n") > heavy).select("id", F.ceil(F.col("n") / heavy).alias("k"))
     n_hubs = hubs.count()
 
@@ -530,7 +530,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, heav
         return rows.join(own, [key, "deal"]).drop("deal")
 
     both = attached(attached(pairs, "a", "sa"), "b", "sb")
-    out = store(both.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long"), "links")
+    out = store(both.select("a", "b", "sa", "sb").mapInArrow(lean(_verify(num, den)), "a long, b long"), "links")
     discard(sets)
     discard(ids)
     if bloom:
@@ -550,7 +550,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     tokens, counts = frequent_shingles(docs, k, most_frequent)
     frequent = spark.sparkContext.broadcast((tokens, counts))
-    sets = store(docs.mapInArrow(_scan_sets(k, num, den, frequent), _SETS), "scan")
+    sets = store(docs.mapInArrow(lean(_scan_sets(k, num, den, frequent)), _SETS), "scan")
     frequent.destroy()
     classes = store(sets.where("n > 0").groupBy("s1", "s2", "n", "g").agg(F.min("doc_id").alias("doc")), "classes")
     groups = classes.groupBy("g").agg(F.count("*").alias("m"), F.min("doc").alias("lead")).where("m > 1")
@@ -563,12 +563,12 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     parts = max(n_parts(spark), -(-total // (8 * list_rows)))
     rows = sets.where("prefix is not null").select("g", "n", F.lit(None).cast("long").alias("m"), "prefix").unionByName(groups.select("g", F.lit(None).cast("int").alias("n"), "m", F.lit(None).cast("binary").alias("prefix")))
     rows = rows.repartition(n_parts(spark), "g").sortWithinPartitions("g", F.desc_nulls_last("m"))
-    single = store(rows.mapInArrow(_one_each, "g long, n int, m long, prefix binary"), "groups")
+    single = store(rows.mapInArrow(lean(_one_each), "g long, n int, m long, prefix binary"), "groups")
     prefixes, sets = sets, store(sets.select("doc_id", "n", "s1", "s2"), "sizes")  # prefixes and signatures have done
     discard(prefixes)
     release(spark)
-    lists = single.mapInArrow(_postings(parts, hot), "part int, block binary")  # they lie on disk once, as they are dealt
-    found = store(lists.repartition(n_parts(spark), "part").sortWithinPartitions("part").mapInArrow(_match(num, den, short), _FOUND), "pairs")
+    lists = single.mapInArrow(lean(_postings(parts, hot)), "part int, block binary")  # they lie on disk once, as they are dealt
+    found = store(lists.repartition(n_parts(spark), "part").sortWithinPartitions("part").mapInArrow(lean(_match(num, den, short)), _FOUND), "pairs")
     discard(single)
     release(spark)
     x = members.select(F.col("g").alias("gx"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga"))
@@ -581,7 +581,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
         return left_open(both.where("a <> b"))
 
     def left_open(pairs):
-        tested = pairs.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(_prefilter(num, den), "a long, b long")
+        tested = pairs.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(lean(_prefilter(num, den)), "a long, b long")
         return store(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
     hubs = found.where("kind between 2 and 8").groupBy("kind", "b").agg(F.min(F.struct("token", "a")).alias("h")).select(F.col("h.a").alias("a"), "b")
@@ -611,7 +611,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
             pair = pair.groupBy(F.col("g").alias("b")).agg(F.min(F.struct("h.at", "h.g")).alias("h")).select(F.col("h.g").alias("a"), "b")
             candidates = expanded(None, pair)
         else:
-            narrow = members.select("doc", "g", "sig").mapInArrow(_narrowed, "doc long, g long, sig binary")  # sent once for each list and cell
+            narrow = members.select("doc", "g", "sig").mapInArrow(lean(_narrowed), "doc long, g long, sig binary")  # sent once for each list and cell
             pair = cross_pairs(open_.select("token", "g", "n", "pos").join(placed(narrow), "g"), num, den, nearest=how == "nearest")
             signs = members.select("doc", "n", "sig")
             pair = store(pair, "nearest")

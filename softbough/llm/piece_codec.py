@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ._common import process_cache
+from ._common import lean, process_cache
 from .token_store import _gather, _pieces, _take, remembered
 
 MARK = "▁"
@@ -327,7 +327,7 @@ def encode_pieces(docs: DataFrame, path: str, keep: list[str] | None = None) ->
     """docs (or its columns `keep`) with ids array<int>."""
     names = [c for c in (keep or docs.columns) if c != "ids"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", ids array<int>"
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(_encode(path, names), schema)
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(lean(_encode(path, names)), schema)
 
 
 def decode_pieces(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
@@ -339,7 +339,7 @@ def decode_pieces(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"decoded": pa.array(out, pa.string())})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema) + ", decoded string"
-    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, schema)
+    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(lean(run), schema)
 
 
 def piece_digest(docs: DataFrame, path: str) -> DataFrame:
@@ -358,4 +358,4 @@ def piece_digest(docs: DataFrame, path: str) -> DataFrame:
                     same.append(b"".join([raw[x] for x in own.tolist()]) == (b" " + text.encode() if text else b""))
                 yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "n_pieces": np.diff(offs), "ids_crc32": pa.array(sums, pa.int64()), "round_trip": pa.array(same, pa.bool_())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
